@@ -69,7 +69,7 @@ def judged_rows(run: DataFrame, qrels: DataFrame) -> DataFrame:
     key = F.struct((-F.round("score", 9)).alias("s"), F.col("did").alias("d"))
     scored = run.select(*RUN_KEYS, "did", key.alias("key"))
     hits = scored.join(judgments, ["qid", "did"])
-    cuts = hits.groupBy(*RUN_KEYS).agg(F.array_sort(F.collect_list("key")).alias("cuts"))
+    cuts = hits.groupBy(*RUN_KEYS).agg(F.sort_array(F.collect_list("key")).alias("cuts"))
     gap = F.size(F.filter("cuts", lambda c: c < F.col("key")))
     filled = scored.join(cuts, RUN_KEYS).groupBy(*RUN_KEYS, gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(*RUN_KEYS).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)

@@ -79,7 +79,7 @@ def _gold(spark, sf_dir):
     top = lambda run: run.where(F.col("rank") <= POOL_DEPTH).select("qid", "did")
     pool = top(run_b(spark, sf_dir)).union(top(run_c(spark, sf_dir))).distinct()
     h, n = F.col("h"), F.col("n")
-    grade = F.when(h * 10 >= n * 9, 3).when(h * 10 >= n * 6, 2).when(h * 10 >= n * 4, 1).otherwise(0)
+    grade = F.when(h * 20 >= n * 11, 3).when(h * 20 >= n * 9, 2).when(h * 20 >= n * 7, 1).otherwise(0)
     return pool.join(overlap(spark, sf_dir), ["qid", "did"]).select("qid", "did", grade.alias("label"), "h", "n", "m")
 
 
@@ -100,7 +100,7 @@ def pred(spark, sf_dir):
 def raters(spark, sf_dir):
     """(qid, did, r1, r2, r3), all binary."""
     rank_b = run_b(spark, sf_dir).select("qid", "did", "rank")
-    j = F.col("h") * 8 >= F.col("n") + F.col("m") - F.col("h")
+    j = F.col("h") * 40 >= F.col("n") + F.col("m") - F.col("h")
     return gold_counts(spark, sf_dir).join(rank_b, ["qid", "did"], "left").select(
         "qid", "did", (F.col("label") >= 2).cast("int").alias("r1"), j.cast("int").alias("r2"),
         (F.coalesce("rank", F.lit(999)) <= 12).cast("int").alias("r3"))

@@ -65,14 +65,14 @@ part("run_c", "all_c", topk("all_c", 40, extra=", 'c' run_id"))
 part("runs", "run_a run_b run_c", """SELECT run_id, qid, did, rank, score FROM run_a UNION ALL
     SELECT run_id, qid, did, rank, score FROM run_b UNION ALL SELECT run_id, qid, did, rank, score FROM run_c""")
 part("gold_counts", "run_b run_c overlap", """SELECT qid, did, h, n, m,
-    CASE WHEN h * 10 >= n * 9 THEN 3 WHEN h * 10 >= n * 6 THEN 2 WHEN h * 10 >= n * 4 THEN 1 ELSE 0 END AS label
+    CASE WHEN h * 20 >= n * 11 THEN 3 WHEN h * 20 >= n * 9 THEN 2 WHEN h * 20 >= n * 7 THEN 1 ELSE 0 END AS label
     FROM (SELECT qid, did FROM run_b WHERE rank <= 25 UNION SELECT qid, did FROM run_c WHERE rank <= 25)
     JOIN overlap USING (qid, did)""")
 part("gold", "gold_counts", "SELECT qid, did, label FROM gold_counts")
 part("pred", "run_a", """SELECT qid, did,
     CASE WHEN rank <= 2 THEN 3 WHEN rank <= 8 THEN 2 WHEN rank <= 18 THEN 1 ELSE 0 END AS label
     FROM run_a WHERE rank <= 30""")
-part("raters", "gold_counts run_b", """SELECT qid, did, CAST(label >= 2 AS INT) r1, CAST(h * 8 >= n + m - h AS INT) r2,
+part("raters", "gold_counts run_b", """SELECT qid, did, CAST(label >= 2 AS INT) r1, CAST(h * 40 >= n + m - h AS INT) r2,
     CAST(coalesce(rank, 999) <= 12 AS INT) r3
     FROM gold_counts LEFT JOIN (SELECT qid, did, rank FROM run_b) USING (qid, did)""")
 part("vecs", "", "SELECT CAST(vec_id AS VARCHAR) id, CAST(embedding AS DOUBLE[]) v, label FROM embeddings")
