@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from judgeline.plans import q_metrics, q_retrieval, q_fusion, q_agreement, q_training  # noqa: F401
+from judgeline.plans import q_metrics, q_retrieval, q_fusion, q_agreement, q_training, q_tables  # noqa: F401
 from judgeline.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
