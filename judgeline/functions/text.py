@@ -60,7 +60,7 @@ def summary_budget(text: Column | str) -> Column:
 
 
 def mandatory_terms(query: Column | str) -> Column:
-    return F.transform(F.split(_col(query), ","), F.trim)
+    return F.transform(F.split(_col(query), ","), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
 
 
 # --- chunkers: Column -> ARRAY<STRING> -------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Ranking quality: per query first, means second.
 
-Every metric needs ranks of judged documents only, so the run is cut to judged rows by an inner join and one pass
-per (run, query) over those rows yields all metrics together.
+Every metric needs ranks of judged documents only, so the run is cut to judged rows by an inner join, and one
+aggregation per (run, query) yields all metrics together. Running counts, where a metric needs them, are made in
+rank buckets, so that a query with very many judgments does not end up in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from judgeline.operators.sizing import cumulate, value_buckets
+
 RUN_KEYS = ["run_id", "qid"]
+RANK_BUCKET = 16_384
 # Cut-offs of the judged share, of recall, and of the evaluation's defaults.
 JUDGED_CUTS = (10, 20, 50, 100)
 RECALL_CUTS = (10, 100, 1000)
@@ -141,16 +145,18 @@ def query_metrics(
 
     totals = qrels.groupBy("qid").agg(
         F.count_if(label >= rel).alias("n_rel"), F.count_if(label < rel).alias("n_non"))
-    upto = Window.partitionBy(*RUN_KEYS).orderBy("rank")
-    running = upto.rowsBetween(Window.unboundedPreceding, 0)
     rows = judged_rows(run, qrels)
-    if "bpref" in metrics:
+    names = {m.partition("@")[0] for m in metrics}
+    running = {}
+    if "condensed_ndcg" in names:
+        running["cond_rank"] = F.lit(1).cast("long")
+    if "map" in names:
+        running["rel_upto"] = (label >= rel).cast("long")
+    if "bpref" in names:
+        running["non_upto"] = (label < rel).cast("long")
         rows = rows.join(totals, "qid")
-    rows = rows.withColumns({
-        "cond_rank": F.row_number().over(upto),
-        "rel_upto": F.sum((label >= rel).cast("int")).over(running),
-        "non_upto": F.sum((label < rel).cast("int")).over(running),
-    })
+    if running:
+        rows = cumulate(rows, F.floor(rank / RANK_BUCKET), [rank], running, RUN_KEYS)
     found = rows.groupBy(*RUN_KEYS).agg(*aggs)
     out = evaluated_queries(run, qrels).join(totals, "qid").join(found, RUN_KEYS, "left")
     if ideal:
@@ -211,13 +217,17 @@ def official_mrr(run: DataFrame, reference: DataFrame, cut: int = 10) -> DataFra
         "run_id", (F.coalesce("rr", F.lit(0.0)) / n_ref).alias("mrr"), "queries_ranked")
 
 
+def _by_score_desc(cells: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Running sums from the highest score down."""
+    return cumulate(value_buckets(cells, "score", keys), -F.col("_vb"), [F.col("score").desc()], sums, keys)
+
+
 def tied_ndcg(scored: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """Linear-gain nDCG of (score, label) groups; documents of one score share their mean gain."""
     keys = keys or ["qid"]
     ties = scored.groupBy(*keys, "score").agg(
         F.count(F.lit(1)).alias("c"), F.avg(F.col("label").cast("double")).alias("gain"))
-    above = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ties.withColumn("before", F.coalesce(F.sum("c").over(above), F.lit(0)))
+    placed = _by_score_desc(ties, keys, {"upto": F.col("c")}).withColumn("before", F.col("upto") - F.col("c"))
     dcg = placed.groupBy(*keys).agg(F.sum(F.col("gain") * discount_sum(
         F.col("before") + 1, F.least(F.col("before") + F.col("c"), F.lit(k)))).alias("dcg"))
     counts = scored.where(F.col("label") > 0).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("c"))
@@ -256,10 +266,9 @@ def graded_pair_accuracy(scored: DataFrame, keys: list[str] | None = None, level
     cells = scored.groupBy(*keys, "score", "label").agg(F.count(F.lit(1)).alias("c"))
     per_score = cells.groupBy(*keys, "score").agg(
         *[F.sum(F.when(F.col("label") == g, F.col("c")).otherwise(0)).alias(f"c{g}") for g in range(levels)])
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    run = per_score
-    for g in range(levels - 1):
-        run = run.withColumn(f"b{g}", F.coalesce(F.sum(f"c{g}").over(below), F.lit(0)))
+    upto = {f"b{g}": F.col(f"c{g}") for g in range(levels - 1)}
+    run = cumulate(value_buckets(per_score, "score", keys), F.col("_vb"), [F.col("score")], upto, keys)
+    run = run.withColumns({f"b{g}": F.col(f"b{g}") - F.col(f"c{g}") for g in range(levels - 1)})
     won = sum((F.col(f"c{hi}") * sum((F.col(f"b{lo}") for lo in range(hi)), F.lit(0)) for hi in range(1, levels)),
               F.lit(0))
     sums = run.groupBy(*keys).agg(
@@ -273,8 +282,7 @@ def average_precision(scored: DataFrame, keys: list[str] | None = None) -> DataF
     keys = keys or []
     steps = scored.groupBy(*keys, "score").agg(
         F.count(F.lit(1)).alias("c"), F.sum(F.col("label").cast("long")).alias("p"))
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = steps.withColumns({"cc": F.sum("c").over(order), "cp": F.sum("p").over(order)})
+    cum = _by_score_desc(steps, keys, {"cc": F.col("c"), "cp": F.col("p")})
     return cum.groupBy(*keys).agg(
         F.sum("p").alias("n_pos"),
         F.try_divide(F.sum(F.col("p") * F.col("cp") / F.col("cc")), F.sum("p")).alias("average_precision"))

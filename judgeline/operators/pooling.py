@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from judgeline.functions.text import tokenize_ws
 from judgeline.operators.retrieve import LONG_TERM, bm25_run, topk_run
-from judgeline.operators.sizing import hash32, hash_key, hinter
+from judgeline.operators.sizing import hash32, hash_key, hinter, number_by_hash, number_rows
 from judgeline.session import written
 
 RING = 1 << 32
@@ -138,9 +138,9 @@ def mine_negatives(
     quota = F.when(F.col("p") * neg_ratio == 0, F.col("a")).otherwise(F.col("p") * neg_ratio)
     plan = counts.withColumn("quota", quota).withColumn("n1", F.least("a", "quota")).withColumn(
         "cap", F.least(F.col("p") * med_cap, F.col("quota") - F.col("n1")))
-    mixed = Window.partitionBy("qid").orderBy(hash_key(seed, F.col("qid"), F.col("did")), "did")
-    tier1 = hard.join(plan.select("qid", "quota"), "qid").withColumn("_n", F.row_number().over(mixed)).where(
-        F.col("_n") <= F.col("quota")).select("qid", "did", F.lit(1).alias("tier"))
+    mixed = hard.join(plan.select("qid", "quota"), "qid").withColumn("_h", hash_key(seed, F.col("qid"), F.col("did")))
+    tier1 = number_by_hash(mixed, "_h", ["did"], ["qid"]).where(F.col("rn") <= F.col("quota")).select(
+        "qid", "did", F.lit(1).alias("tier"))
     if run is None:
         asked = queries.join(plan.select("qid"), "qid", "left_semi")
         run = topk_run(bm25_run(corpus, asked, k1=k1, b=b, lower=lower), med_top_k, offset=med_offset)
@@ -180,10 +180,12 @@ def partition_negatives(pairs: DataFrame, n: int, seed: str = "42", strict_ratio
     Surplus negatives are left out in hash order; too few fail the job. ``strict_ratio`` also fails on a surplus and
     keeps the negatives in id order.
     """
-    order = (lambda: F.col("did")) if strict_ratio else (lambda: hash_key(seed, F.col("qid"), F.col("did")))
-    own = Window.partitionBy("qid", "label")
-    numbered = pairs.select("qid", "did", "label").withColumn(
-        "rn", F.row_number().over(own.orderBy(order(), "did")))
+    rows = pairs.select("qid", "did", "label")
+    if strict_ratio:
+        numbered = number_rows(rows, F.substring("did", 1, 3), [F.col("did")], ["qid", "label"])
+    else:
+        hashed = rows.withColumn("_h", hash_key(seed, F.col("qid"), F.col("did")))
+        numbered = number_by_hash(hashed, "_h", ["did"], ["qid", "label"])
     pos = numbered.where(F.col("label") == 1).select("qid", F.col("did").alias("positive"), F.col("rn").alias("block"))
     neg = numbered.where(F.col("label") == 0)
     sizes = pairs.groupBy("qid").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("m"))

@@ -40,44 +40,63 @@ def group_sizes(df: DataFrame, key: str = "qid", line: str = "line_no") -> DataF
     return rows.groupBy(key, island).agg(F.min(line).alias("first_line"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
+EMA_BLOCK = 256
+EMA_SPAN = 512
+
+
 def ema(df: DataFrame, value: str, order: str, alpha: float, keys: list[str], block: Column | None = None) -> DataFrame:
     """Exponential moving average per series; NULL values stay NULL and do not count.
 
-    A series is cut into blocks of neighbouring rows. A block is folded on its own; since a step is an affine map, the
-    blocks of a series then need only their decay and their inner result to hand the average on. ``block`` is an
-    integer column that grows with ``order``; by default the rows are numbered and cut every 4096 rows.
+    A step of the average is an affine map, so a series is cut into blocks of neighbouring rows, blocks into spans of
+    neighbouring blocks, and every piece is folded on its own into its count and its inner result. Carried averages
+    then pass from span to span and from block to block; no task sees more than one piece of rows. ``block`` is an
+    integer column that grows with ``order``; by default rows are numbered and cut every ``EMA_BLOCK`` rows.
     """
-    rows = df.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    cols = [*keys, F.col(order).cast("long").alias("_o"), F.col(value).cast("double").alias("_v")]
     if block is None:
-        rows = number_by_line(rows, "_o", keys, "_n").withColumn("_b", F.floor(F.col("_n") / 4096))
+        rows = number_by_line(df.select(*cols), "_o", keys, "_n").withColumn("_b", F.floor(F.col("_n") / EMA_BLOCK))
     else:
-        rows = df.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"), block.alias("_b"))
-    blocks = rows.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("_o", "_v"))).alias("_rows"))
+        rows = df.select(*cols, block.cast("long").alias("_b"))
     none = F.lit(None).cast("double")
 
     def step(prev: Column, v: Column) -> Column:
         return F.when(v.isNull(), prev).when(prev.isNull(), v).otherwise(v * alpha + prev * (1 - alpha))
 
-    # The last average if the block came first, and if it continued from an average of 0 (then it is affine).
-    ends = blocks.withColumns({
-        "_n": F.size(F.filter("_rows", lambda r: r["_v"].isNotNull())),
-        "_first": F.aggregate("_rows", none, lambda a, r: step(a, r["_v"])),
-        "_from0": F.aggregate("_rows", F.lit(0.0), lambda a, r: step(a, r["_v"])),
-    })
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(F.struct("_b", "_n", "_first", "_from0")).over(before)
-    carry = F.aggregate(earlier, none, lambda a, e: F.when(e["_n"] == 0, a).when(a.isNull(), e["_first"]).otherwise(
-        e["_from0"] + a * F.pow(F.lit(1 - alpha), e["_n"])))
-    start = F.struct(carry.alias("avg"), F.array().cast("array<struct<o:bigint,e:double>>").alias("out"))
+    def through(avg: Column, piece: Column) -> Column:
+        """The average after a piece that starts from ``avg`` (NULL: nothing before)."""
+        return F.when(piece["n"] == 0, avg).when(avg.isNull(), piece["first"]).otherwise(
+            piece["from0"] + avg * F.pow(F.lit(1 - alpha), piece["n"]))
+
+    listed = rows.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("_o", "_v"))).alias("_rows"))
+    piece = F.struct(
+        F.col("_b").alias("b"), F.size(F.filter("_rows", lambda r: r["_v"].isNotNull())).cast("long").alias("n"),
+        F.aggregate("_rows", none, lambda a, r: step(a, r["_v"])).alias("first"),
+        F.aggregate("_rows", F.lit(0.0), lambda a, r: step(a, r["_v"])).alias("from0"))
+    spans = listed.select(*keys, F.floor(F.col("_b") / EMA_SPAN).alias("_s"), piece.alias("p")).groupBy(
+        *keys, "_s").agg(F.sort_array(F.collect_list("p")).alias("_pieces"))
+    whole = F.struct(
+        F.aggregate("_pieces", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n"),
+        F.aggregate("_pieces", none, through).alias("first"),
+        F.aggregate("_pieces", F.lit(0.0), through).alias("from0"))
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.withColumn("_whole", whole).withColumn(
+        "_carry", F.aggregate(F.collect_list("_whole").over(before), none, through))
+
+    def hand_on(state: Column, p: Column) -> Column:
+        entry = F.struct(p["b"].alias("_b"), state["avg"].alias("_carry"))
+        return F.struct(through(state["avg"], p).alias("avg"), F.concat(state["out"], F.array(entry)).alias("out"))
+
+    begin = F.struct(F.col("_carry").alias("avg"), F.array().cast("array<struct<_b:bigint,_carry:double>>").alias("out"))
+    carries = carried.select(*keys, F.inline(F.aggregate("_pieces", begin, hand_on)["out"]))
 
     def walk(state: Column, r: Column) -> Column:
         now = step(state["avg"], r["_v"])
-        shown = F.when(r["_v"].isNotNull(), now)
-        return F.struct(now.alias("avg"), F.concat(state["out"], F.array(
-            F.struct(r["_o"].cast("bigint").alias("o"), shown.alias("e")))).alias("out"))
+        entry = F.struct(r["_o"].alias("o"), F.when(r["_v"].isNotNull(), now).alias("e"))
+        return F.struct(now.alias("avg"), F.concat(state["out"], F.array(entry)).alias("out"))
 
-    out = ends.select(*keys, F.aggregate("_rows", start, walk)["out"].alias("_out"))
-    return out.select(*keys, F.inline("_out")).select(*keys, F.col("o").alias(order), F.col("e").alias("ema"))
+    start = F.struct(F.col("_carry").alias("avg"), F.array().cast("array<struct<o:bigint,e:double>>").alias("out"))
+    out = listed.join(carries, [*keys, "_b"]).select(*keys, F.inline(F.aggregate("_rows", start, walk)["out"]))
+    return out.select(*keys, F.col("o").alias(order), F.col("e").alias("ema"))
 
 
 def _hashed(df: DataFrame, cols: list[str], seed: str) -> DataFrame:

@@ -35,32 +35,47 @@ def hash_key(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
-def number_rows(
-    df: DataFrame, bucket: Column, order: list[Column], keys: list[str] | None = None, name: str = "rn"
-) -> DataFrame:
-    """Exact 1-based numbering inside each key group, with no group sorted in one task.
+def cumulate(df: DataFrame, bucket: Column, order: list[Column], sums: dict[str, Column], keys: list[str] | None = None):
+    """Inclusive running sums inside each key group, with no group ordered in one task.
 
-    ``bucket`` must grow with ``order`` (rows of a lower bucket come first). Rows are numbered inside a bucket and
-    shifted by the number of rows in lower buckets, so the only ordered pass over a whole group sees one row per
-    bucket.
+    ``bucket`` must grow with ``order`` (rows of a lower bucket come first). Sums run inside a bucket and are shifted
+    by the totals of the lower buckets, so the only ordered pass over a whole group sees one row per bucket.
     """
     keys = list(keys or [])
     rows = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        rows.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    )
-    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    shift = totals.select(
+        *keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums])
     return (
-        rows.withColumn(name, local)
+        rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
         .join(shift, [*keys, "_bucket"])
-        .withColumn(name, (F.col(name) + F.col("_shift")).cast("long"))
-        .drop("_bucket", "_shift")
+        .withColumns({n: F.col(n) + F.col(f"_t_{n}") for n in sums})
+        .drop("_bucket", *[f"_t_{n}" for n in sums])
     )
 
 
+def number_rows(
+    df: DataFrame, bucket: Column, order: list[Column], keys: list[str] | None = None, name: str = "rn"
+) -> DataFrame:
+    """Exact 1-based numbering inside each key group, bucket by bucket."""
+    return cumulate(df, bucket, order, {name: F.lit(1).cast("long")}, keys)
+
+
+def value_buckets(cells: DataFrame, value: str, keys: list[str] | None = None, parts: int = 1024) -> DataFrame:
+    """Adds ``_vb``, the equal-width bucket of a number between its smallest and largest value per key."""
+    keys = list(keys or [])
+    span = cells.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    if keys:
+        rows = cells.join(span, keys)
+    else:
+        one = span.select(F.struct("_lo", "_hi").alias("s")).scalar()
+        rows = cells.withColumn("_s", one).withColumns({"_lo": F.col("_s._lo"), "_hi": F.col("_s._hi")}).drop("_s")
+    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    return rows.withColumn("_vb", F.coalesce(F.floor(share * parts), F.lit(0))).drop("_lo", "_hi")
+
+
 #: Lines per bucket when numbering rows by line number.
 LINE_BUCKET = 65_536
 
@@ -78,36 +93,26 @@ def number_by_hash(df: DataFrame, hash_col: str, tie: list[str], keys: list[str]
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """Linear-interpolated exact quantiles per key, without holding a group's values in one task.
 
-    Values are first counted (map-side), cumulated per equal-width bucket and only the two order statistics
-    that each quantile needs are kept.
+    Values are first counted (map-side), cumulated bucket by bucket, and only the two order statistics that each
+    quantile needs are kept.
     """
     keys = list(keys or [])
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    span = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+        F.count(F.lit(1)).alias("_c"))
+    cum = cumulate(value_buckets(counts, "_v", keys), F.col("_vb"), [F.col("_v")], {"_to": F.col("_c")}, keys)
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
-        rows = counts.join(span, keys)
+        cum = cum.join(totals, keys)
     else:
-        one = span.select(F.struct("_lo", "_hi", "_n").alias("s")).scalar()
-        rows = counts.withColumn("_s", one).select("_v", "_c", "_s.*")
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    rows = rows.withColumn("_b", F.coalesce(F.floor(share * 1024), F.lit(0)))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = rows.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bn")).select(
-        *keys, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_shift"))
-    cum = rows.withColumn("_cum", F.sum("_c").over(inside)).join(shift, [*keys, "_b"]).select(
-        *keys, "_v", "_n", (F.col("_cum") + F.col("_shift") - F.col("_c")).alias("_from"),
-        (F.col("_cum") + F.col("_shift") - 1).alias("_to"))
+        cum = cum.withColumn("_n", totals.scalar())
+    n = F.col("_n")
 
     def at(position: Column) -> Column:
-        return F.max(F.when(position.between(F.col("_from"), F.col("_to")), F.col("_v")))
+        return F.max(F.when((position >= F.col("_to") - F.col("_c")) & (position < F.col("_to")), F.col("_v")))
 
     out = []
     for name, p in probs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(p))
+        pos = (n - 1) * F.lit(float(p))
         low, high = at(F.floor(pos)), at(F.ceil(pos))
         out.append((low + (high - low) * F.max(pos - F.floor(pos))).alias(name))
     return cum.groupBy(*keys).agg(*out)

@@ -1,6 +1,15 @@
 """All registered queries."""
 
-from judgeline.plans import q_metrics, q_retrieval, q_fusion, q_agreement, q_training, q_tables  # noqa: F401
-from judgeline.plans.registry import ORACLE, QUERIES
+from judgeline.plans import (  # noqa: F401
+    q_agreement,
+    q_files,
+    q_fusion,
+    q_metrics,
+    q_retrieval,
+    q_tables,
+    q_text,
+    q_training,
+)
+from judgeline.plans.registry import QUERIES, oracle
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["QUERIES", "oracle"]

@@ -11,6 +11,7 @@ from judgeline.operators import metrics as M
 from judgeline.plans import fixtures as fx
 from judgeline.plans.registry import query
 from judgeline.plans.sqlparts import part
+from judgeline.session import written
 
 KEEP = {"qid", "n", "label", "support", "n_queries", "n_f1_zero", "n_weak_kappa", "feature", "metric", "quartile"}
 
@@ -227,7 +228,8 @@ FEATURES = ["q_len", "n_unique", "avg_idf", "sum_idf", "max_idf", "clarity"]
 
 def difficulty_table(spark, sf):
     pq = M.query_metrics(fx.run_a(spark, sf), fx.gold(spark, sf), ["ndcg_exp@10", "bpref"]).drop("run_id")
-    return D.query_features(fx.corpus(spark, sf), fx.queries(spark, sf)).join(pq, "qid")
+    table = D.query_features(fx.corpus(spark, sf), fx.queries(spark, sf)).join(pq, "qid")
+    return written(table, "difficulty")  # read more than once
 
 
 def _corr(f, m):
@@ -261,7 +263,7 @@ part("boot", "qi", f"""SELECT b, avg(y.v) m FROM (SELECT b, {HASH.format("concat
     round(quantile_cont(m, 0.975), 6) high FROM boot""")
 def bootstrap_ci(spark, sf):
     pq = M.query_metrics(fx.run_a(spark, sf), fx.gold(spark, sf), ["ndcg_exp@10"])
-    return r6(D.bootstrap_ci(pq, "ndcg_exp_10", reps=500))
+    return r6(D.bootstrap_ci(written(pq, "scores"), "ndcg_exp_10", reps=500))
 
 
 part("dl", "pq", "SELECT qid, y.map - x.map d FROM pq x JOIN pq y USING (qid) WHERE x.run_id = 'a' AND y.run_id = 'b'")
@@ -273,7 +275,7 @@ part("flips", "dl", f"""SELECT rep, avg(d * CASE WHEN {HASH.format("concat_ws('|
     round((count_if(round(abs(m), 9) >= round(abs(o), 9)) + 1) / 501, 6) p_value FROM flips, (SELECT avg(d) o FROM dl) GROUP BY o""")
 def paired_randomization(spark, sf):
     pq = M.query_metrics(fx.runs(spark, sf), fx.gold(spark, sf), ["map"])
-    return r6(D.paired_randomization(M.run_delta(pq, "map", "a", "b"), reps=500), "hits")
+    return r6(D.paired_randomization(written(M.run_delta(pq, "map", "a", "b"), "deltas"), reps=500), "hits")
 
 
 # --- similarity and text quality -------------------------------------------------------------------------------

@@ -206,9 +206,6 @@ def group_sizes(spark, sf):
     return P.group_sizes(fx.read(spark, sf, "events"), "event_type", "event_id")
 
 
-part("evn", "", """SELECT event_type, event_id, CASE WHEN value > 3 THEN value END v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) n FROM events""")
-
-
 @query("ema", "", """WITH RECURSIVE evn AS MATERIALIZED (SELECT event_type, event_id, CASE WHEN value > 3 THEN value END v,
     row_number() OVER (PARTITION BY event_type ORDER BY event_id) n FROM events),
     walk AS (SELECT event_type, event_id, n, v, v e FROM evn WHERE n = 1 UNION ALL
@@ -219,7 +216,7 @@ def ema(spark, sf):
     """Small values count as missing."""
     rows = fx.read(spark, sf, "events").select(
         "event_type", "event_id", F.when(F.col("value") > 3, F.col("value")).alias("value"))
-    out = P.ema(rows, "value", "event_id", 0.1, ["event_type"], block=F.floor(F.col("event_id") / 512))
+    out = P.ema(rows, "value", "event_id", 0.1, ["event_type"], block=F.floor(F.col("event_id") / 256))
     return out.select("event_type", "event_id", F.round("ema", 6).alias("ema"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from judgeline.plans.sqlparts import with_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_SQL: dict[str, tuple[str, str]] = {}
 
 
 def query(name: str, parts: str = "", sql: str | None = None):
@@ -20,7 +20,11 @@ def query(name: str, parts: str = "", sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_parts(parts, sql)
+            _SQL[name] = (parts, sql)
         return fn
 
     return add
+
+
+def oracle() -> dict[str, str]:
+    return {name: with_parts(parts, sql) for name, (parts, sql) in _SQL.items()}
