@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,21 +68,29 @@ def mandatory_terms(query: Column | str) -> Column:
 # --- chunkers: Column -> ARRAY<STRING> -------------------------------------------------------------------------
 
 
-def _windows(words: Column, length: int, stride: int) -> Column:
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride))
-    parts = F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(length)), " "))
-    return F.when(n > 0, parts).otherwise(F.array().cast("array<string>"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def word_windows(words: Column, length: int, stride: int) -> Column:
+    """Joined windows of ``length`` words that start at 0, stride, 2 * stride, ... below the number of words."""
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(stride))
+        return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(length)), " "))
+
+    return let(words, lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(F.array().cast("array<string>")))
 
 
 def chunk_sliding(text: Column | str, max_length: int = 512, stride: int | None = None) -> Column:
     """Windows of ``max_length`` words that start at every multiple of ``stride``, nested tails included."""
-    return _windows(tokenize_ws(text, lower=False), max_length, stride or max(max_length // 2, 1))
+    return word_windows(tokenize_ws(text, lower=False), max_length, stride or max(max_length // 2, 1))
 
 
 def chunk_fixed(text: Column | str, window_size: int = 256) -> Column:
     """Neighbouring windows of single-space pieces."""
-    return _windows(F.split(_col(text), " "), window_size, window_size)
+    return word_windows(F.split(_col(text), " "), window_size, window_size)
 
 
 def chunk_paragraphs(text: Column | str) -> Column:
@@ -113,15 +123,18 @@ def chunk_paragraph_pack(text: Column | str, max_words: int = 256) -> Column:
 
 def chunk_headers(text: Column | str, chunk_size: int = 256) -> Column:
     """The text again, cut into numbered sections that state their word range."""
-    words = tokenize_ws(text, lower=False)
-    n = F.size(words)
 
-    def section(chunk: Column, i: Column) -> Column:
-        first = i * chunk_size
-        last = F.least(first + chunk_size, n)
-        return F.format_string("## CHUNK_%03d (words %d-%d)\n\n%s", i + 1, first + 1, last, chunk)
+    def sections(words: Column) -> Column:
+        n = F.size(words)
+
+        def section(chunk: Column, i: Column) -> Column:
+            first = i * chunk_size
+            last = F.least(first + chunk_size, n)
+            return F.format_string("## CHUNK_%03d (words %d-%d)\n\n%s", i + 1, first + 1, last, chunk)
+
+        return F.array_join(F.transform(word_windows(words, chunk_size, chunk_size), section), "\n\n")
 
-    return F.array_join(F.transform(_windows(words, chunk_size, chunk_size), section), "\n\n")
+    return let(tokenize_ws(text, lower=False), sections)
 
 
 # --- identifiers -----------------------------------------------------------------------------------------------

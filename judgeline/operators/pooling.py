@@ -61,43 +61,54 @@ def ring_negatives(wanted: DataFrame, corpus: DataFrame, used: DataFrame, seed:
 
     ``wanted`` holds (qid, rem, terms), ``corpus`` (did, text), ``used`` (qid, did). Documents lie on a hash ring and a
     query walks it from its own hash. It first meets the cells just ahead of it, about four times what it needs; a
-    query that found enough clean documents there is done, since any later one lies further away. Only the others
-    look through the rest of the ring, where a document counts if it is clean, or if the query is short of any
-    documents at all. The walk table is broadcast when its counted size allows it, so that texts stay where they are.
-    Returns (qid, did, tier 3 or 4, rn).
+    query that found enough clean documents there is done, since any later one lies further away. The others walk
+    on, to sixteen times as far, and whoever is still short looks through the whole rest, where a document counts if
+    it is clean, or if the query is short of any documents at all. The walk tables are broadcast when their counted
+    size allows it, so that texts stay where they are. Returns (qid, did, tier 3 or 4, rn).
     """
     n_docs = corpus.count()
     bits = max(1, min(24, math.ceil(math.log2(max(n_docs, 2) / cell_docs)) if n_docs > cell_docs else 1))
     cells, width = 1 << bits, RING >> bits
     ring = _ring(corpus.select("did", F.lower("text").alias("text")), seed, bits)
     start = hash32(seed, "q", F.col("qid"))
-    steps = F.least(F.ceil(F.col("rem") * 4 / cell_docs) + 1, F.lit(cells - 1)).cast("long")
-    first = F.shiftright("_start", 32 - bits).cast("long")
-    # _reach: the ring distance up to which the walked cells cover everything.
     queries = written(
-        wanted.where(F.col("rem") > 0).withColumn("_start", start).withColumns({"_steps": steps, "_first": first})
-        .withColumn("_reach", (F.col("_first") + F.col("_steps") + 1) * width - F.col("_start")), "ring-queries")
+        wanted.where(F.col("rem") > 0).withColumn("_start", start)
+        .withColumn("_first", F.shiftright("_start", 32 - bits).cast("long")), "ring-queries")
     distance = F.pmod(F.col("_point") - F.col("_start"), F.lit(RING))
     tier = F.when(_clean(F.col("text"), F.col("terms")), 3).otherwise(4)
     free = used.select("qid", "did")
-
-    walk = queries.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_steps")))).withColumn(
-        "_cell", (F.col("_first") + F.col("_step")) % cells)
-    near = ring.join(hinter(walk)(walk), "_cell").withColumn("_dist", distance).where(
-        F.col("_dist") < F.col("_reach")).select("qid", "rem", "did", "_dist", tier.alias("tier"))
-    near = written(near.join(free, ["qid", "did"], "left_anti"), "ring-near")
-
-    met = near.groupBy("qid").agg(F.count(F.lit(1)).alias("_any"), F.count_if(F.col("tier") == 3).alias("_clean"))
-    short = queries.join(met, "qid", "left").where(F.coalesce("_clean", F.lit(0)) < F.col("rem"))
-    arcs = short.withColumn("_arc", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    cols = ["qid", "rem", "did", "_dist", "tier"]
+
+    def steps(factor: int) -> Column:
+        """Cells to walk for ``factor`` times the wanted number; the last cell, cut by the start, is left to the rest."""
+        return F.least(F.ceil(F.col("rem") * factor / cell_docs) + 1, F.lit(cells - 1)).cast("long")
+
+    def reach(last: Column) -> Column:
+        """The ring distance up to which the walked cells cover everything."""
+        return (F.col("_first") + last + 1) * width - F.col("_start")
+
+    found, short, walked = None, queries, F.lit(-1).cast("long")
+    for factor in (4, 64):
+        last = steps(factor)
+        far = short.where(last > walked).withColumns({"_from": F.greatest(reach(walked), F.lit(0)), "_to": reach(last)})
+        walk = far.withColumn("_step", F.explode(F.sequence(walked + 1, last))).withColumn(
+            "_cell", (F.col("_first") + F.col("_step")) % cells)
+        met = ring.join(hinter(walk)(walk), "_cell").withColumn("_dist", distance).where(
+            (F.col("_dist") >= F.col("_from")) & (F.col("_dist") < F.col("_to"))).withColumn("tier", tier)
+        met = written(met.select(*cols).join(free, ["qid", "did"], "left_anti"), "ring-walk")
+        found = met if found is None else found.unionByName(met)
+        seen = found.groupBy("qid").agg(
+            F.count(F.lit(1)).alias("_any"), F.count_if(F.col("tier") == 3).alias("_clean"))
+        short = written(queries.join(seen, "qid", "left").where(F.coalesce("_clean", F.lit(0)) < F.col("rem")), "ring-short")
+        walked = last
+    arcs = short.withColumn("_reach", reach(walked)).withColumn("_arc", F.explode(F.sequence(F.lit(0), F.lit(63))))
     rest = (
         ring.withColumn("_arc", F.shiftright("_point", 26).cast("int")).join(hinter(arcs)(arcs), "_arc")
-        .withColumns({"_dist": distance, "tier": tier})
-        .where((F.col("_dist") >= F.col("_reach")) & (
-            (F.col("tier") == 3) | (F.coalesce("_any", F.lit(0)) < F.col("rem"))))
-        .select("qid", "rem", "did", "_dist", "tier").join(free, ["qid", "did"], "left_anti")
+        .withColumn("_dist", distance).where(F.col("_dist") >= F.col("_reach")).withColumn("tier", tier)
+        .where((F.col("tier") == 3) | (F.coalesce("_any", F.lit(0)) < F.col("rem")))
+        .select(*cols).join(free, ["qid", "did"], "left_anti")
     )
-    found = near.unionByName(rest)
+    found = found.unionByName(rest)
     # On a large ring, first within ever coarser arcs, so that no task sorts a whole corpus for one query.
     for arc in (a for a in (1 << 8, 1 << 16) if a < cells):
         inside = Window.partitionBy("qid", "_arc").orderBy("tier", "_dist", "did")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from judgeline.operators import retrieve as R
-from judgeline.session import scratch_path
+from judgeline.session import scratch_path, spread
 
 RUN_DEPTH = 40
 POOL_DEPTH = 25
@@ -41,7 +41,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("did"), "text", "source", "lang")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("did"), "text", "source", "lang")
+    return spread(docs)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,8 +393,8 @@ def rerank_with_model(spark, sf):
     (SELECT did, w, unnest(range(CAST(ceil(len(w) / 100) AS BIGINT))) i FROM (SELECT CAST(doc_id AS VARCHAR) did, {tokens('text', False)} w FROM documents))""")
 def plugin_chunker(spark, sf):
     """A chunker of one's own: windows over the words in reverse."""
-    from judgeline.functions.text import _windows
-    mine = lambda text, window: _windows(F.reverse(tokenize_ws(text, lower=False)), window, window)
+    from judgeline.functions.text import word_windows
+    mine = lambda text, window: word_windows(F.reverse(tokenize_ws(text, lower=False)), window, window)
     return U.chunk_corpus(fx.corpus(spark, sf), mine, 100).select("cid", "text")
 
 
