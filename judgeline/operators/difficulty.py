@@ -21,7 +21,7 @@ def query_features(corpus: DataFrame, queries: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("qtf"))
     small = hinter(terms)
     docs = corpus.select("did", tokenize_letters("text").alias("toks"))
-    tokens = docs.select("did", F.explode("toks").alias("term")).join(
+    tokens = docs.select("did", F.explode_outer("toks").alias("term")).join(
         small(terms.select("term").distinct()), "term", "left_semi")
     stats = tokens.groupBy("did", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(
         F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))

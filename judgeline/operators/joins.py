@@ -22,7 +22,7 @@ def enrich_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, strict
         query, text = _needed(F.col("_q"), "query", "qid"), _needed(F.col("_t"), "document", "did")
     else:
         query, text = F.coalesce("_q", F.lit("")), F.coalesce("_t", F.lit(""))
-    return rows.withColumns({"query": query, "text": text}).drop("_q", "_t")
+    return rows.select(*pairs.columns, query.alias("query"), text.alias("text"))
 
 
 def enrich_triplets(triplets: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ def query_terms(queries: DataFrame, lower: bool = True) -> DataFrame:
 
 def corpus_stats(corpus: DataFrame, tokens: Column) -> DataFrame:
     """(term, cf, df): occurrences in the collection and documents that hold the term."""
-    per_doc = corpus.select("did", F.explode(tokens).alias("term")).groupBy("did", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    per_doc = corpus.select("did", F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull()).groupBy(
+        "did", "term").agg(F.count(F.lit(1)).alias("tf"))
     return per_doc.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
@@ -68,7 +68,7 @@ def document_terms(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ``docs`` holds (did, toks). The semi-join runs on the exploded tokens before the shuffle, so only tokens that
     some query asks for travel.
     """
-    hits = docs.select("did", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(
+    hits = docs.select("did", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).join(
         vocabulary, "term", "left_semi")
     return hits.repartition("did").groupBy("did", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -95,7 +95,7 @@ def bm25_run(
     totals = docs.agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).alias("t")).select("t")
     df = (
-        docs.select(F.explode(F.array_distinct("toks")).alias("term"))
+        docs.select(F.explode_outer(F.array_distinct("toks")).alias("term"))
         .join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     )
     weights = terms.join(df, "term").select(
@@ -118,7 +118,7 @@ def overlap_counts(corpus: DataFrame, queries: DataFrame, lower: bool = True) ->
     terms = sets.select("qid", F.size("qs").alias("n"), F.explode("qs").alias("term"))
     small = hinter(terms)
     vocabulary = small(terms.select("term").distinct())
-    hits = docs.select("did", F.size("toks").alias("m"), F.explode("toks").alias("term")).join(
+    hits = docs.select("did", F.size("toks").alias("m"), F.explode_outer("toks").alias("term")).join(
         vocabulary, "term", "left_semi")
     return (
         hits.repartition("did").join(small(terms), "term")
@@ -287,7 +287,7 @@ def term_in_token(terms: DataFrame, tokens: DataFrame, shortest: int = 1) -> Dat
 
 def docs_with_terms(corpus: DataFrame, terms: DataFrame, shortest: int = 1) -> DataFrame:
     """(term, did) for every document whose lower-cased text holds the (whitespace-free) term as a substring."""
-    tokens = corpus.select("did", F.explode(F.array_distinct(tokenize_ws("text"))).alias("token"))
+    tokens = corpus.select("did", F.explode_outer(F.array_distinct(tokenize_ws("text"))).alias("token"))
     vocabulary = tokens.select("token").distinct()
     inside = term_in_token(terms.select("term").distinct(), vocabulary, shortest)
     return tokens.join(inside, "token").select("term", "did").distinct()
@@ -307,7 +307,7 @@ def exact_match_run(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     long_q = q.where(F.size("w") >= 3).select(
         "qid", "query", longest(F.slice("w", 2, F.size("w") - 2)).alias("token"))
     short_q = q.where((F.size("w") > 0) & (F.size("w") < 3)).select("qid", "query", longest(F.col("w")).alias("term"))
-    tokens = corpus.select("did", F.explode(F.array_distinct(tokenize_ws("text", lower=False))).alias("token"))
+    tokens = corpus.select("did", F.explode_outer(F.array_distinct(tokenize_ws("text", lower=False))).alias("token"))
     pieces = short_q.select("term").distinct()
     inside = term_in_token(pieces, tokens.select("token").distinct())
     short_keys = short_q.join(inside, "term").select("qid", "query", "token")
