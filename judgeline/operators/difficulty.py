@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgeline.functions.text import tokenize_letters
+from judgeline.functions.text import token_set_punct, tokenize_letters
 from judgeline.operators.retrieve import idf_column
-from judgeline.operators.sizing import exact_quantiles, hash32, hinter, number_rows
+from judgeline.operators.sizing import exact_quantiles, hash32, hinter, number_rows, pick
 
 PROB_FLOOR = 1e-12  # Fixed value: smallest collection probability of a term.
 
@@ -106,6 +106,13 @@ def paired_randomization(deltas: DataFrame, delta: str = "delta", reps: int = 20
     return means.agg(observed.alias("observed"), hit.alias("hits"), ((hit + 1) / F.lit(reps + 1)).alias("p_value"))
 
 
+def pair_token_sets(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Adds the punctuation-free token sets ``qs`` and ``ds`` to (qid, did) rows; NULL for unknown documents."""
+    q = queries.select("qid", token_set_punct("query").alias("qs"))
+    d = pick(corpus.select("did", "text"), pairs).select("did", token_set_punct("text").alias("ds"))
+    return pairs.join(q, "qid").join(d, "did", "left")
+
+
 def set_similarity(pairs: DataFrame) -> DataFrame:
     """Adds token recall and Jaccard similarity of the arrays ``qs`` and ``ds``; a missing document is empty."""
     q, d = F.coalesce("qs", F.array().cast("array<string>")), F.coalesce("ds", F.array().cast("array<string>"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgeline.operators.retrieve import ranking, topk_run
+from judgeline.operators.sizing import hinter
+from judgeline.session import written
 
 RRF_K = 60  # Fixed value: rank offset of reciprocal rank fusion.
 RERANK_GAP = 1e-3  # Fixed value: how far the worst reranked document ends above the rest.
@@ -110,10 +112,10 @@ def rerank_topk(
     """Score the k best documents of every query with ``scorer(query, text)`` and merge them on top of the run.
 
     ``scorer`` is a column expression or a pandas UDF. With ``chunker`` every chunk is scored and the chunk scores
-    are pooled.
+    are pooled. The candidates are written first, so that their count can decide how they meet the texts.
     """
-    head = topk_run(run, k).select("qid", "did")
-    pairs = head.join(queries.select("qid", "query"), "qid").join(corpus.select("did", "text"), "did")
+    head = written(topk_run(run, k).select("qid", "did"), "rerank-head")
+    pairs = corpus.select("did", "text").join(hinter(head)(head.join(queries.select("qid", "query"), "qid")), "did")
     if chunker is None:
         scored = pairs.select("qid", "did", scorer(F.col("query"), F.col("text")).alias("score"))
     else:

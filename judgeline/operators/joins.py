@@ -1,6 +1,6 @@
 """Joins that turn ids into texts and put runs next to judgments.
 
-No side is broadcast by hand here: Spark knows the size of written tables and decides itself.
+Texts are the large side: a corpus is first cut to the documents that are asked for, where it is read.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from judgeline.operators.sizing import hinter, pick
+
 
 def _needed(value: Column, what: str, key: str) -> Column:
     return F.coalesce(value, F.raise_error(F.concat(F.lit(f"unknown {what} "), F.col(key))).cast("string"))
@@ -16,7 +18,7 @@ def _needed(value: Column, what: str, key: str) -> Column:
 def enrich_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, strict: bool = True) -> DataFrame:
     """Adds ``query`` and ``text``; unknown ids fail the job, or become empty when not ``strict``."""
     q = queries.select("qid", F.col("query").alias("_q"))
-    d = corpus.select("did", F.col("text").alias("_t"))
+    d = pick(corpus.select("did", F.col("text").alias("_t")), pairs)
     rows = pairs.join(q, "qid", "left").join(d, "did", "left")
     if strict:
         query, text = _needed(F.col("_q"), "query", "qid"), _needed(F.col("_t"), "document", "did")
@@ -27,8 +29,10 @@ def enrich_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, strict
 
 def enrich_triplets(triplets: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, pos_doc_id, neg_doc_id) to texts, with a flag on identical texts."""
-    pos = corpus.select(F.col("did").alias("pos_doc_id"), F.col("text").alias("pos_text"))
-    neg = corpus.select(F.col("did").alias("neg_doc_id"), F.col("text").alias("neg_text"))
+    ids = triplets.select(F.explode(F.array("pos_doc_id", "neg_doc_id")).alias("did"))
+    texts = pick(corpus.select("did", "text"), ids)
+    pos = texts.select(F.col("did").alias("pos_doc_id"), F.col("text").alias("pos_text"))
+    neg = texts.select(F.col("did").alias("neg_doc_id"), F.col("text").alias("neg_text"))
     q = queries.select(F.col("qid").alias("query_id"), "query")
     return (
         triplets.join(q, "query_id").join(pos, "pos_doc_id").join(neg, "neg_doc_id")
@@ -39,7 +43,7 @@ def enrich_triplets(triplets: DataFrame, queries: DataFrame, corpus: DataFrame)
 def attach_negative_texts(groups: DataFrame, corpus: DataFrame, keep: int = 5) -> DataFrame:
     """(qid, negatives ARRAY<id>) to (qid, negatives ARRAY<text>): known ids in order, the first ``keep``."""
     items = groups.select("qid", F.posexplode("negatives").alias("pos", "did"))
-    found = items.join(corpus.select("did", "text"), "did")
+    found = corpus.select("did", "text").join(hinter(items)(items), "did")
     texts = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("t"))
     first = F.slice(F.transform("t", lambda x: x["text"]), 1, keep)
     return groups.select("qid").join(texts, "qid", "left").select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgeline.operators.selection import QUERY_KINDS
+from judgeline.operators.sizing import hinter
 
 
 def fill_template(template: str, values: dict[str, Column]) -> Column:
@@ -31,7 +32,8 @@ def render_pair_requests(
     pool: DataFrame, queries: DataFrame, corpus: DataFrame, template: str, system: str | None = None, max_tokens: int = 256
 ) -> DataFrame:
     """(custom_id, value) for pooled pairs; placeholders {query} and {doc}, ids ``qid_did``."""
-    rows = pool.select("qid", "did").join(queries.select("qid", "query"), "qid").join(corpus.select("did", "text"), "did")
+    asked = pool.select("qid", "did").join(queries.select("qid", "query"), "qid")
+    rows = corpus.select("did", "text").join(hinter(pool)(asked), "did")
     cid = F.concat_ws("_", "qid", "did")
     user = fill_template(template, {"query": F.col("query"), "doc": F.col("text")})
     return rows.select(cid.alias("custom_id"), request_json(cid, system, user, max_tokens).alias("value"))

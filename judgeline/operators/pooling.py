@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from judgeline.functions.text import tokenize_ws
 from judgeline.operators.retrieve import LONG_TERM, bm25_run, topk_run
-from judgeline.operators.sizing import hash32, hash_key, hinter, number_by_hash, number_rows
+from judgeline.operators.sizing import hash32, hash_key, hinter, number_by_hash, number_rows, pick
 from judgeline.session import written
 
 RING = 1 << 32
@@ -219,7 +219,7 @@ def wide_training_rows(pairs: DataFrame, n: int, strict_ratio: bool = True, seed
 def training_groups(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, n: int, prompt: str, seed: str = "42"):
     """Training groups with texts, one per positive: query, pos, neg, empty score lists, prompt, type."""
     blocks = partition_negatives(pairs, n, seed)
-    texts = corpus.select("did", "text")
+    texts = pick(corpus.select("did", "text"), pairs)
     neg = blocks.join(texts.withColumnsRenamed({"did": "negative", "text": "nt"}), "negative").groupBy(
         "qid", "positive").agg(F.sort_array(F.collect_list(F.struct("slot", "nt"))).alias("neg"))
     rows = neg.join(texts.withColumnsRenamed({"did": "positive", "text": "pt"}), "positive").join(queries, "qid")

@@ -111,6 +111,56 @@ def bm25_run(
     return scored if k is None else topk_run(scored, k)
 
 
+def write_postings(
+    corpus: DataFrame, path: str, lower: bool = True, mode: str = "error", buckets: int = 64, slices: int = 4
+) -> None:
+    """Term statistics of a corpus as tables, for corpora that are searched more than once.
+
+    ``postings`` (bucket, term, did, dl, tf) lies in term buckets, so that a search reads the buckets of its own terms
+    only; within a bucket rows are sliced by document, so that a frequent term fills several files, and sorted by
+    term, so that Parquet statistics skip the other terms. ``terms`` holds (term, df, cf), ``totals`` one row.
+    Raise ``buckets`` and ``slices`` with the corpus: together they are the number of files.
+    """
+    docs = corpus.select("did", tokenize_ws("text", lower).alias("toks"))
+    tokens = docs.select("did", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).where(
+        F.col("term").isNotNull())
+    tf = tokens.groupBy("did", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    placed = tf.withColumns({
+        "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"),
+        "_slice": F.pmod(F.xxhash64("did"), F.lit(slices))})
+    spark = corpus.sparkSession
+    placed.repartition("bucket", "_slice").sortWithinPartitions("bucket", "term").drop("_slice").write.mode(mode).partitionBy(
+        "bucket").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).write.mode(mode).parquet(f"{path}/terms")
+    docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"), F.lit(buckets).alias("buckets")).write.mode(
+        mode).parquet(f"{path}/totals")
+
+
+def bm25_from_postings(
+    spark, path: str, queries: DataFrame, k1: float = 1.5, b: float = 0.75, idf: str = "plus1", lower: bool = True,
+    k: int | None = None,
+) -> DataFrame:
+    """``bm25_run`` over the tables of ``write_postings``; texts are not read."""
+    terms = query_terms(queries, lower)
+    small = hinter(terms)
+    totals = spark.read.parquet(f"{path}/totals").select(F.struct("n", "avgdl", "buckets").alias("t"))
+    df = spark.read.parquet(f"{path}/terms").select("term", "df")
+    weights = terms.join(df, "term").select(
+        "term", "qid", F.pmod(F.xxhash64("term"), totals.scalar()["buckets"]).cast("int").alias("bucket"),
+        (F.col("qtf") * idf_column(F.col("df"), totals.scalar()["n"], idf)).alias("w"))
+    postings = spark.read.parquet(f"{path}/postings").join(
+        small(weights.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+    tf = F.col("tf")
+    length = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / totals.scalar()["avgdl"])
+    scored = (
+        postings.select("did", "term", (tf * F.lit(k1 + 1.0) / (tf + length)).alias("s"))
+        .repartition("did").join(small(weights.drop("bucket")), "term")
+        .groupBy("qid", "did").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
+    )
+    return scored if k is None else topk_run(scored, k)
+
+
 def overlap_counts(corpus: DataFrame, queries: DataFrame, lower: bool = True) -> DataFrame:
     """(qid, did, h, n, m): shared distinct tokens, distinct query tokens, distinct document tokens (h > 0 only)."""
     docs = corpus.select("did", F.array_distinct(tokenize_ws("text", lower)).alias("toks"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgeline.functions.text import tokenize_ws
+from judgeline.operators.sizing import hinter
 
 
 def filter_qids(df: DataFrame, qids: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def _stripped(words: Column) -> Column:
 
 def _check(qrels: DataFrame, corpus: DataFrame, found: Column, reason: Column) -> DataFrame:
     """Positive judgments that fail the check become 0 and name the reason."""
-    rows = qrels.join(corpus.select("did", F.lower("text").alias("_text")), "did")
+    rows = corpus.select("did", F.lower("text").alias("_text")).join(hinter(qrels)(qrels), "did")
     kept = (F.col("label") == 0) | found
     return rows.select(
         "qid", "did", F.when(kept, F.col("label")).otherwise(F.lit(0)).alias("label"),

@@ -24,6 +24,16 @@ def hinter(bounded_by: DataFrame, max_rows: int = BROADCAST_ROWS) -> Callable[[D
     return F.broadcast if fits(bounded_by, max_rows) else (lambda side: side)
 
 
+def pick(table: DataFrame, ids: DataFrame, key: str = "did") -> DataFrame:
+    """Rows of a large table whose key occurs in ``ids``.
+
+    When the ids fit, they are broadcast and the table is filtered where it is read; a join with what is left then
+    moves only those rows. Otherwise both sides meet in one shuffle. ``ids`` is read twice, so hand in a table.
+    """
+    wanted = ids.select(key).distinct()
+    return table.join(hinter(ids)(wanted), key, "left_semi")
+
+
 def hash32(*parts: Column | str) -> Column:
     """Portable 32-bit number of the joined parts, the same in every engine that has md5."""
     key = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from judgeline.functions.text import tokenize_ws
 from judgeline.operators import retrieve as R
 from judgeline.session import scratch_path, spread
 
@@ -63,13 +64,9 @@ def run_b(spark, sf_dir):
         R.bm25_run(corpus(spark, sf_dir), queries(spark, sf_dir), k1=0.9, b=0.4, k=RUN_DEPTH), "b"))
 
 
-def overlap(spark, sf_dir):
-    return stored(spark, sf_dir, "overlap", lambda: R.overlap_counts(corpus(spark, sf_dir), queries(spark, sf_dir)))
-
-
 def run_c(spark, sf_dir):
-    return stored(spark, sf_dir, "run_c", lambda: _named(R.topk_run(
-        overlap(spark, sf_dir).select("qid", "did", (F.col("h") / F.col("n")).alias("score")), RUN_DEPTH), "c"))
+    return stored(spark, sf_dir, "run_c", lambda: _named(
+        R.token_recall_run(corpus(spark, sf_dir), queries(spark, sf_dir), k=RUN_DEPTH), "c"))
 
 
 def runs(spark, sf_dir):
@@ -77,11 +74,16 @@ def runs(spark, sf_dir):
 
 
 def _gold(spark, sf_dir):
+    """The pool with the sizes of both token sets (n, m) and of what they share (h)."""
     top = lambda run: run.where(F.col("rank") <= POOL_DEPTH).select("qid", "did")
     pool = top(run_b(spark, sf_dir)).union(top(run_c(spark, sf_dir))).distinct()
+    q = queries(spark, sf_dir).select("qid", F.array_distinct(tokenize_ws("query")).alias("qs"))
+    d = corpus(spark, sf_dir).select("did", F.array_distinct(tokenize_ws("text")).alias("ds"))
+    sized = d.join(pool.join(q, "qid"), "did").select(
+        "qid", "did", F.size(F.array_intersect("qs", "ds")).alias("h"), F.size("qs").alias("n"), F.size("ds").alias("m"))
     h, n = F.col("h"), F.col("n")
     grade = F.when(h * 20 >= n * 11, 3).when(h * 20 >= n * 9, 2).when(h * 20 >= n * 7, 1).otherwise(0)
-    return pool.join(overlap(spark, sf_dir), ["qid", "did"]).select("qid", "did", grade.alias("label"), "h", "n", "m")
+    return sized.select("qid", "did", grade.alias("label"), "h", "n", "m")
 
 
 def gold_counts(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from judgeline.functions.text import SUMMARY_SECTIONS, extract_numbers, extract_section, section_flags, token_set_punct
+from judgeline.functions.text import SUMMARY_SECTIONS, extract_numbers, extract_section, section_flags
 from judgeline.operators import agreement as A
 from judgeline.operators import difficulty as D
 from judgeline.operators import metrics as M
@@ -288,8 +288,7 @@ part("psim", "psets", "SELECT qid, did, label, coalesce(b / nullif(len(q), 0), 0
 
 
 def _similarity(spark, sf):
-    pairs = fx.gold(spark, sf).join(fx.queries(spark, sf).select("qid", token_set_punct("query").alias("qs")), "qid").join(
-        fx.corpus(spark, sf).select("did", token_set_punct("text").alias("ds")), "did", "left")
+    pairs = D.pair_token_sets(fx.gold(spark, sf), fx.queries(spark, sf), fx.corpus(spark, sf))
     return D.set_similarity(pairs)
 
 

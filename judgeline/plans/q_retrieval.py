@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from judgeline.functions.text import chunk_id, chunk_sliding, tokenize_ws
+from judgeline.functions.text import tokenize_ws
 from judgeline.operators import retrieve as R
 from judgeline.plans import fixtures as fx
 from judgeline.plans.registry import query
 from judgeline.plans.sqlparts import part, topk
+from judgeline.session import scratch_path
 
 
 def r6(c, name=None):
@@ -40,6 +41,13 @@ def bm25_run_preset(spark, sf):
     return shown(R.bm25_run(fx.corpus(spark, sf), fx.queries(spark, sf), k1=0.9, b=0.4, k=40))
 
 
+@query("bm25_from_postings", "all_a", f"SELECT qid, did, rank, round(score, 6) score FROM ({topk('all_a', 30)})")
+def bm25_from_postings(spark, sf):
+    path = scratch_path(spark, "postings")
+    R.write_postings(fx.corpus(spark, sf), path)
+    return shown(R.bm25_from_postings(spark, path, fx.queries(spark, sf), k=30))
+
+
 @query("topk_run", "all_a", f"SELECT qid, did, rank, round(score, 6) score FROM ({topk('all_a', 25)}) WHERE rank > 10")
 def topk_run(spark, sf):
     return shown(R.topk_run(R.bm25_run(fx.corpus(spark, sf), fx.queries(spark, sf)), 15, offset=10))
