@@ -186,15 +186,37 @@ def token_recall_run(corpus: DataFrame, queries: DataFrame, k: int | None = None
 # --- vectors ---------------------------------------------------------------------------------------------------
 
 CELL_QUERIES = 1024
-CELL_DOCS = 8192
+CELL_NUMBERS = 1 << 22  # Numbers of document vectors in one block: 32 MiB as doubles.
+SLICE = 64  # Query vectors multiplied at a time.
 
 
-def _scores(q: np.ndarray, d: np.ndarray, sim: str, scale: float) -> np.ndarray:
-    out = q @ d.T
-    if sim == "cosine":
-        lengths = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1))
-        out = np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 0)
-    return out * scale
+def _best(row: np.ndarray, keep: np.ndarray, k: int | None) -> np.ndarray:
+    """The positions of the k best scores; equal scores go by position, which follows the document id."""
+    if k is None or len(keep) <= k:
+        return keep
+    r = np.round(row[keep], SCORE_DIGITS)
+    near = np.flatnonzero(r >= np.partition(r, len(r) - k)[len(r) - k])
+    return keep[near[np.lexsort((near, -r[near]))[:k]]]
+
+
+def _block_run(queries: DataFrame, docs: DataFrame, vec: str, cell_docs: int, cell_queries: int, cell) -> DataFrame:
+    """Every block pair of hashed queries and documents through ``cell``, a function of two pandas frames."""
+    q_blocks = max(1, math.ceil(queries.count() / cell_queries))
+    d_blocks = max(1, math.ceil(docs.count() / cell_docs))
+    q = queries.select(
+        "qid", vec, (hash32("q", F.col("qid")) % q_blocks).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("db"))
+    d = docs.select(
+        "did", vec, (hash32("d", F.col("did")) % d_blocks).cast("int").alias("db"),
+        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+
+    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"qid": [], "did": [], "score": []}).astype({"qid": str, "did": str})
+        return pd.concat(cell(left, right.sort_values("did", kind="stable")))
+
+    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(
+        one, "qid string, did string, score double")
 
 
 def dense_run(
@@ -210,34 +232,28 @@ def dense_run(
     Both sides are hashed into blocks of bounded size and every block pair is one group, so neither side is ever held
     whole. With ``k`` a group hands on at most k rows per query.
     """
-    n_q, n_d = queries.count(), docs.count()
-    q_blocks, d_blocks = max(1, math.ceil(n_q / CELL_QUERIES)), max(1, math.ceil(n_d / CELL_DOCS))
-    q = queries.select(
-        "qid", "vec", (hash32("q", F.col("qid")) % q_blocks).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("db"))
-    d = docs.select(
-        "did", "vec", (hash32("d", F.col("did")) % d_blocks).cast("int").alias("db"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    first = queries.select(F.size("vec")).head()
+    dim = max(1, first[0] if first else 1)
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "did": [], "score": []}).astype({"qid": str, "did": str})
+    def cell(left: pd.DataFrame, right: pd.DataFrame):
         dids = right["did"].to_numpy()
-        order = np.argsort(dids, kind="stable")
-        dids = dids[order]
-        dm = np.array(right["vec"].tolist(), dtype=np.float64)[order]
-        s = _scores(np.array(left["vec"].tolist(), dtype=np.float64), dm, sim, scale)
-        parts = []
-        for qid, row in zip(left["qid"], s):
-            keep = np.arange(len(row)) if not skip_self else np.flatnonzero(dids != qid)
-            if k is not None and len(keep) > k:
-                best = np.lexsort((keep, -np.round(row[keep], SCORE_DIGITS)))[:k]
-                keep = keep[best]
-            parts.append(pd.DataFrame({"qid": qid, "did": dids[keep], "score": row[keep]}))
-        return pd.concat(parts)
-
-    run = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(
-        cell, "qid string, did string, score double")
+        dm = np.array(right["vec"].tolist(), dtype=np.float64)
+        if sim == "cosine":
+            dn = np.linalg.norm(dm, axis=1)
+        for at in range(0, len(left), SLICE):
+            part = left.iloc[at : at + SLICE]
+            qm = np.array(part["vec"].tolist(), dtype=np.float64)
+            scores = qm @ dm.T
+            if sim == "cosine":
+                lengths = np.outer(np.linalg.norm(qm, axis=1), dn)
+                scores = np.divide(scores, lengths, out=np.zeros_like(scores), where=lengths > 0)
+            scores *= scale
+            for qid, row in zip(part["qid"], scores):
+                keep = np.flatnonzero(dids != qid) if skip_self else np.arange(len(row))
+                keep = _best(row, keep, k)
+                yield pd.DataFrame({"qid": qid, "did": dids[keep], "score": row[keep]})
+
+    run = _block_run(queries, docs, "vec", max(256, CELL_NUMBERS // dim), CELL_QUERIES, cell)
     return run if k is None else topk_run(run, k)
 
 
@@ -280,35 +296,22 @@ def maxsim_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
 
 def maxsim_run(queries: DataFrame, docs: DataFrame, k: int | None = None, skip_self: bool = False) -> DataFrame:
     """Late-interaction scores of every pair, block by block as in ``dense_run``."""
-    n_q, n_d = queries.count(), docs.count()
-    q_blocks, d_blocks = max(1, math.ceil(n_q / 128)), max(1, math.ceil(n_d / 1024))
-    q = queries.select(
-        "qid", "vecs", (hash32("q", F.col("qid")) % q_blocks).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("db"))
-    d = docs.select(
-        "did", "vecs", (hash32("d", F.col("did")) % d_blocks).cast("int").alias("db"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    first = docs.select(F.size("vecs") * F.size(F.get("vecs", F.lit(0)))).head()
+    numbers = max(1, first[0] if first else 1)
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "did": [], "score": []}).astype({"qid": str, "did": str})
-        right = right.sort_values("did", kind="stable")
+    def cell(left: pd.DataFrame, right: pd.DataFrame):
         dids = right["did"].to_numpy()
         mats = [np.array([np.asarray(t, dtype=np.float64) for t in v]) for v in right["vecs"]]
-        starts = np.concatenate([[0], np.cumsum([len(m) for m in mats])[:-1]])
+        starts = np.concatenate([[0], np.cumsum([len(m) for m in mats])[:-1]]).astype(int)
         stacked = np.concatenate(mats)
-        parts = []
         for qid, vecs in zip(left["qid"], left["vecs"]):
             qm = np.array([np.asarray(t, dtype=np.float64) for t in vecs])
             row = np.maximum.reduceat(qm @ stacked.T, starts, axis=1).sum(axis=0)
-            keep = np.arange(len(row)) if not skip_self else np.flatnonzero(dids != qid)
-            if k is not None and len(keep) > k:
-                keep = keep[np.lexsort((keep, -np.round(row[keep], SCORE_DIGITS)))[:k]]
-            parts.append(pd.DataFrame({"qid": qid, "did": dids[keep], "score": row[keep]}))
-        return pd.concat(parts)
-
-    run = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(
-        cell, "qid string, did string, score double")
+            keep = np.flatnonzero(dids != qid) if skip_self else np.arange(len(row))
+            keep = _best(row, keep, k)
+            yield pd.DataFrame({"qid": qid, "did": dids[keep], "score": row[keep]})
+
+    run = _block_run(queries, docs, "vecs", max(64, CELL_NUMBERS // numbers), CELL_QUERIES, cell)
     return run if k is None else topk_run(run, k)
 
 

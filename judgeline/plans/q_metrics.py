@@ -207,9 +207,9 @@ def rerank_eval(spark, sf):
     return per_q.agg(F.round(F.avg("rr"), 6).alias("recip_rank"), F.round(F.avg("r1"), 6).alias("recall_1"))
 
 
-@query("eval_pipeline", "pq", f"""SELECT run_id, count(*) n_queries, {', '.join(f'round(avg({c}), 6) {c}' for c in CLASSIC)}
+@query("retrieve_and_evaluate", "pq", f"""SELECT run_id, count(*) n_queries, {', '.join(f'round(avg({c}), 6) {c}' for c in CLASSIC)}
     FROM pq WHERE run_id = 'a' GROUP BY run_id""")
-def eval_pipeline(spark, sf):
+def retrieve_and_evaluate(spark, sf):
     """Retrieve, cut and score in one plan."""
     run = R.bm25_run(fx.corpus(spark, sf), fx.queries(spark, sf), k=fx.RUN_DEPTH).withColumn("run_id", F.lit("a"))
     return rounded(M.mean_metrics(M.evaluate(run, fx.gold(spark, sf), "classic")))

@@ -46,7 +46,7 @@ def hard_negatives(spark, sf):
     return out.select("qid", F.array_join("negatives", ",").alias("negatives"))
 
 
-# The reference of mined negatives ranks case-sensitive tokens.
+# Mined negatives are ranked on case-sensitive tokens.
 part("xdocs", "", f"SELECT CAST(doc_id AS VARCHAR) did, lower(text) ltext, {tokens('text', False)} toks FROM documents")
 part("xq", "", f"SELECT CAST(item_id AS VARCHAR) qid, {tokens('text', False)} toks FROM benchmark")
 
@@ -125,7 +125,8 @@ _mining_parts("k", "ydocs")
 @query("mine_negatives_chunked", "kmined", "SELECT qid, did cid, label, tier FROM kmined")
 def mine_negatives_chunked(spark, sf):
     pos = fx.gold(spark, sf).where(F.col("label") == 3)
-    return P.mine_negatives_chunked(chunk_corpus(spark, sf), fx.queries(spark, sf), pos, _annotated(spark, sf))
+    chunks = fx.stored(spark, sf, "chunks", lambda: chunk_corpus(spark, sf))
+    return P.mine_negatives_chunked(chunks, fx.queries(spark, sf), pos, _annotated(spark, sf))
 
 
 @query("negative_tiers", "mmined", "SELECT tier, count(*) n FROM mmined GROUP BY tier")
