@@ -115,7 +115,8 @@ def rerank_topk(
     are pooled. The candidates are written first, so that their count can decide how they meet the texts.
     """
     head = written(topk_run(run, k).select("qid", "did"), "rerank-head")
-    pairs = corpus.select("did", "text").join(hinter(head)(head.join(queries.select("qid", "query"), "qid")), "did")
+    asked = head.join(queries.select("qid", "query"), "qid")
+    pairs = corpus.select("did", "text").join(hinter(asked)(asked), "did")
     if chunker is None:
         scored = pairs.select("qid", "did", scorer(F.col("query"), F.col("text")).alias("score"))
     else:

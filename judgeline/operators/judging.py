@@ -33,7 +33,7 @@ def render_pair_requests(
 ) -> DataFrame:
     """(custom_id, value) for pooled pairs; placeholders {query} and {doc}, ids ``qid_did``."""
     asked = pool.select("qid", "did").join(queries.select("qid", "query"), "qid")
-    rows = corpus.select("did", "text").join(hinter(pool)(asked), "did")
+    rows = corpus.select("did", "text").join(hinter(asked)(asked), "did")
     cid = F.concat_ws("_", "qid", "did")
     user = fill_template(template, {"query": F.col("query"), "doc": F.col("text")})
     return rows.select(cid.alias("custom_id"), request_json(cid, system, user, max_tokens).alias("value"))

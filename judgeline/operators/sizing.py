@@ -7,19 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest row count a side may have to be broadcast explicitly.
+#: Bounds on a side that is broadcast explicitly.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; stops counting right after that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` is small in rows and in bytes (of its JSON form); looks at no more than the allowed rows."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(row))).alias("b")).head()
+    return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
 def hinter(bounded_by: DataFrame, max_rows: int = BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
     """A function that broadcasts sides no larger than ``bounded_by``, or leaves them alone.
 
-    The count runs once on ``bounded_by``; every side handed to the result must have at most that many rows.
+    ``bounded_by`` is measured once; a side handed to the result must have at most its rows and no wider ones.
     """
     return F.broadcast if fits(bounded_by, max_rows) else (lambda side: side)
 

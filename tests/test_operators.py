@@ -347,3 +347,9 @@ def test_class_weights_need_every_class(table):
 def test_constant_feature_has_no_correlation(table):
     t = table("a double, b double", [(1.0, 2.0), (1.0, 3.0)])
     assert D.feature_correlation(t, ["a"], ["b"]).head().pearson is None
+
+
+def test_broadcast_needs_few_rows_and_few_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000,)] * 20, "t string")
+    assert Z.fits(df) and not Z.fits(df, max_rows=19) and not Z.fits(df, max_bytes=10_000)
+    assert Z.fits(df.limit(0), 0)
