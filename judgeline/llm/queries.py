@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgeline.llm import digest_index, hosts, mixing, simhash
-from judgeline.llm.common import table
+from judgeline.llm import crossparse, digest_index, hosts, mixing, pieces, simhash
+from judgeline.llm.common import fold, table
 
 QUERIES, SQL = {}, {}
 
@@ -123,3 +123,26 @@ FROM z JOIN best ON z.source IS NOT DISTINCT FROM best.source AND z.i = best.i
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 1, 2, 3 repeating over the sources."""
     return mixing.mix_plan(table(spark, sf_dir, "documents"), [1, 2, 3])
+
+
+def _model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query()
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts as digests."""
+    out = pieces.encode_decode(table(spark, sf_dir, "documents"), _model_path())
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from ids whose crc32 is not 2 modulo 4."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    samples = crossparse.learn_samples(docs.where(~held_out))
+    return crossparse.identify(docs, samples).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
