@@ -67,5 +67,7 @@ def arrow_schema(schema: str) -> pa.Schema:
         "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(),
         "float": pa.float32(), "boolean": pa.bool_(), "array<binary>": pa.list_(pa.binary()),
         "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+        "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
+        "array<boolean>": pa.list_(pa.bool_()),
     }
     return pa.schema([(name, kinds[kind]) for name, kind in (f.strip().split(" ", 1) for f in schema.split(","))])

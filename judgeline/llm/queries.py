@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgeline.llm import crossparse, digest_index, hosts, mixing, pieces, simhash
+from judgeline.llm import crossparse, digest_index, edits, hosts, licences, mixing, pieces, simhash
 from judgeline.llm.common import fold, table
 
 QUERIES, SQL = {}, {}
@@ -32,6 +32,21 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase places and labels; the score is the largest covered share of a template."""
+    out = licences.scan_licences(table(spark, sf_dir, "documents"))
+    spans = F.arrays_zip("labels", "starts", "exact")
+    base = F.filter(spans, lambda s: s["exact"])
+    starts = F.transform(base, lambda s: s["starts"])
+    return out.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda s: s["labels"]))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct("labels")), ",").alias("labels"),
+        F.coalesce(F.array_max("shares"), F.lit(0.0)).alias("score"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
@@ -146,3 +161,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 4) == 2
     samples = crossparse.learn_samples(docs.where(~held_out))
     return crossparse.identify(docs, samples).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against its edited text and the next document."""
+    out = edits.fingerprints_with_next(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next")
