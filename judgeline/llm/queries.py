@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgeline.llm import crossparse, digest_index, edits, hosts, licences, mixing, pieces, simhash
+from judgeline.llm import crossparse, digest_index, edits, factors, hosts, licences, mixing, pieces, simhash
 from judgeline.llm.common import fold, table
 
 QUERIES, SQL = {}, {}
@@ -170,3 +170,20 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         "near_edited", "near_next")
+
+
+@query("""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) > 12)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS low FROM p),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS i FROM f WHERE low < doc_id),
+x AS (SELECT doc_id, i, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.i = c.i
+    GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words that a smaller document has."""
+    out = factors.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
