@@ -17,7 +17,7 @@ def _stars(links: DataFrame, lower_only: bool) -> DataFrame:
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if not lower_only:
         pairs = pairs.union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
     hung = pairs.join(low.hint("merge"), "u")
     if lower_only:
         out = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     while True:
-        now = written(_stars(_stars(now, lower_only=False), lower_only=True), "links")
+        hung = written(_stars(now, lower_only=False), "links")
+        now = written(_stars(hung, lower_only=True), "links")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if tuple(seen) == mark or not seen[0]:
             break

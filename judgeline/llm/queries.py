@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgeline.llm import crossparse, digest_index, edits, factors, hosts, licences, mixing, pieces, simhash
+from judgeline.llm import crossparse, digest_index, edits, factors, hosts, licences, logbilinear, mixing, pieces, simhash
 from judgeline.llm.common import fold, table
 
 QUERIES, SQL = {}, {}
@@ -187,3 +187,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a smaller document has."""
     out = factors.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_log_bilinear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from ids whose crc32 is not 1 modulo 5."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 1
+    model = logbilinear.learn(docs.where(~held_out))
+    out = logbilinear.score(docs, model, "doc_id", "text", held_out.alias("held_out"))
+    return out.withColumn("train_tokens", F.lit(model.total).cast("long"))
