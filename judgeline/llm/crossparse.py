@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from judgeline.llm.common import map_texts, texts
+from judgeline.llm.common import slices, texts
 
 ROWS_PER_LANG, SAMPLE_BYTES, ROW_CHARS = 64, 32_768, 1024
 WINDOW = 512
@@ -149,34 +150,59 @@ def text_has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(
+def _judge(samples: tuple[tuple[str, bytes], ...]):
+    """A function from texts and whether they have a letter to (languages, scores, bits)."""
+    tool = parser(samples) if samples else None
+
+    def judge(data: list[bytes], letter: np.ndarray):
+        n = len(data)
+        lang, score, bits = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n)
+        if tool and n:
+            rates = tool.rates([t.lower() for t in data])
+            best = rates.argmin(axis=1)
+            low = rates[np.arange(n), best]
+            rates[np.arange(n), best] = np.inf
+            after = rates.min(axis=1)
+            share = np.where(np.isfinite(after), 1 - low / np.maximum(after, 1e-12), 1.0)
+            lang[letter] = np.array(tool.langs, object)[best[letter]]
+            score, bits = np.where(letter, np.clip(share, 0, 1), 0.0), np.where(letter, low, 0.0)
+        return lang.tolist(), score, bits
+
+    return judge
+
+
+def identify_rows(
     docs: DataFrame, samples: tuple[tuple[str, bytes], ...], id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, lang_pred, score, rate`` for every row.
+    """``row`` (a struct of all columns of ``docs``), ``doc_id, lang_pred, score, bits`` for every row.
 
-    ``score`` is how far the best language lies before the next (0 to 1); ``rate`` is its normalised phrases per byte.
+    ``score`` is how far the best language lies before the next (0 to 1); ``bits`` is what its parse needs per byte.
     """
-    def make():
-        tool = parser(samples) if samples else None
-
-        def work(batch: pa.RecordBatch) -> dict:
-            n = batch.num_rows
-            lang, score = np.full(n, UNDETERMINED, object), np.zeros(n)
-            rate = np.zeros(n)
-            if tool:
-                rates = tool.rates([t.lower() for t in batch.column("text").to_pylist()])
-                best = rates.argmin(axis=1)
-                low = rates[np.arange(n), best]
-                rates[np.arange(n), best] = np.inf
-                next_ = rates.min(axis=1)
-                ok = batch.column("letter").to_numpy(zero_copy_only=False).astype(bool)
-                lang[ok] = np.array(tool.langs, object)[best[ok]]
-                share = np.where(np.isfinite(next_), 1 - low / np.maximum(next_, 1e-12), 1.0)
-                score, rate = np.where(ok, np.clip(share, 0, 1), 0.0), np.where(ok, low, 0.0)
-            return {"doc_id": batch.column("doc_id"), "lang_pred": lang.tolist(), "score": score, "rate": rate}
-
-        return work
+    letter = text_has_letter(F.col(f"`{text_col}`")).alias("letter")
+    row = F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")
+    rows = texts(docs, id_col, text_col, letter, row)
+    return _mapped(rows, samples, ["row", "doc_id"])
+
 
+def identify(
+    docs: DataFrame, samples: tuple[tuple[str, bytes], ...], id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``doc_id, lang_pred, score, bits`` for every row."""
     letter = text_has_letter(F.col(f"`{text_col}`")).alias("letter")
-    return map_texts(
-        texts(docs, id_col, text_col, letter), make, "doc_id long, lang_pred string, score double, rate double")
+    return _mapped(texts(docs, id_col, text_col, letter), samples, ["doc_id"])
+
+
+def _mapped(rows: DataFrame, samples: tuple[tuple[str, bytes], ...], passed: list[str]) -> DataFrame:
+    def run(batches):
+        judge = _judge(samples)
+        for batch in batches:
+            for part in slices(batch):
+                letter = part.column("letter").to_numpy(zero_copy_only=False).astype(bool)
+                lang, score, bits = judge(part.column("text").to_pylist(), letter)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c) for c in passed] + [pa.array(lang, pa.string()), pa.array(score), pa.array(bits)],
+                    names=[*passed, "lang_pred", "score", "bits"])
+
+    schema = T.StructType(rows.select(*passed).schema.fields + T.StructType.fromDDL(
+        "lang_pred string, score double, bits double").fields)
+    return rows.mapInArrow(run, schema)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from judgeline.operators.sizing import hinter
 from judgeline.session import written
 
 #: Words: runs of anything but ASCII white space.
@@ -63,33 +64,67 @@ def source_targets(sizes: DataFrame, weights: list[int]) -> DataFrame:
         F.when(F.col("level") <= F.col("common"), F.col("cap")).otherwise(F.col("w") * F.col("common")).alias("target"))
 
 
-def mix_plan(
-    docs: DataFrame, weights: list[int] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source",
-    text_col: str = "text", seeds: int = SEEDS,
-) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken, copies``.
+def source_plan(sizes: DataFrame, weights: list[int], seeds: int = SEEDS) -> DataFrame:
+    """``source, source_size, target, whole, limit, seed`` per source, as a written table.
 
-    Texts are read once; the narrow table of sizes is written, and the rest works on it. The table of sources is joined
-    by broadcast only if Spark finds it small; a hot source is then no shuffle key, and otherwise its rows are split.
+    A document of the source is taken ``whole`` times, and once more if its draw for ``seed`` is below ``limit``.
     """
-    sizes = written(
-        docs.select(
-            F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
-            word_count(text_col).alias("size")), "sizes")
-    targets = written(source_targets(sizes, list(weights)), "targets")
+    targets = source_targets(sizes, weights)
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    rows = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)).drop("_source")
-    rows = rows.withColumn("limit", F.round(F.col("part") * F.lit(2.0**32)).cast("long"))
-    drawn = rows.withColumn("draw", draws("doc_id", seeds))
-    trials = drawn.groupBy("source").agg(
+    targets = targets.withColumn("whole", F.floor(rate)).withColumn(
+        "limit", F.round((rate - F.floor(rate)) * F.lit(2.0**32)).cast("long"))
+    targets = written(targets, "targets")
+    rows = with_source(sizes, targets).withColumn("draw", draws("doc_id", seeds))
+    trials = rows.groupBy("source").agg(
         F.first("target").alias("target"),
         *[F.sum((F.col("whole") + (F.col("draw")[i] < F.col("limit")).cast("long")) * F.col("size")).alias(f"t{i}")
           for i in range(seeds)])
     misses = F.array(*[
         F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("miss"), F.lit(i).alias("seed")) for i in range(seeds)])
-    best = written(trials.select(F.col("source").alias("_source"), F.array_min(misses)["seed"].alias("seed")), "seeds")
-    out = drawn.join(best, F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.col("whole") + (F.get(F.col("draw"), F.col("seed")) < F.col("limit")).cast("long")
-    return out.select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    best = trials.select(F.col("source").alias("_of"), F.array_min(misses)["seed"].alias("seed"))
+    return written(targets.join(best, F.col("source").eqNullSafe(F.col("_of"))).drop("_of"), "source-plan")
+
+
+def with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Joins the written table of sources. It is broadcast after its size was measured; beyond that bound both sides are
+    shuffled and adaptive execution splits hot sources."""
+    side = hinter(per_source)(per_source.withColumnRenamed("source", "_source"))
+    return rows.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    return written(
+        docs.select(
+            F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
+            word_count(text_col).alias("size")), "sizes")
+
+
+def _copies() -> Column:
+    return F.col("whole") + (F.get(draws("doc_id"), F.col("seed")) < F.col("limit")).cast("long")
+
+
+def mix_plan(
+    docs: DataFrame, weights: list[int] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, taken, copies``.
+
+    Texts are read once; the narrow table of sizes is written, and the rest works on it.
+    """
+    sizes = _sizes(docs, id_col, source_col, text_col)
+    rows = with_source(sizes, source_plan(sizes, list(weights))).withColumn("copies", _copies())
+    return rows.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mix(
+    docs: DataFrame, weights: list[int] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mixture takes them. Texts are not shuffled."""
+    plan = source_plan(_sizes(docs, id_col, source_col, text_col), list(weights))
+    rows = docs.select(
+        F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"))
+    times = with_source(rows, plan).select("row", _copies().cast("int").alias("copies"))
+    return times.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

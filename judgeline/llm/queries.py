@@ -140,7 +140,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"), [1, 2, 3])
 
 
-def _model_path() -> str:
+def piece_model_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -149,7 +149,7 @@ def _model_path() -> str:
 @query()
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts as digests."""
-    out = pieces.encode_decode(table(spark, sf_dir, "documents"), _model_path())
+    out = pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model_path())
     return out.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -1,13 +1,17 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints are cut into segments. If two of 64 bits differ in at most ``distance`` places, then, with
-r = distance // segments and a = distance - r * segments, one of the first a + 1 segments differs in at most r bits or
-one of the others in at most r - 1. Per segment a small Hamming ball around each fingerprint's value is enumerated and
-looked up among all fingerprints, and complete distances are verified. No link is missed.
+Fingerprints are cut into segments. If two of them differ in at most ``distance`` bits, then, with r = distance // segments
+and a = distance - r * segments, one of the first a + 1 segments differs in at most r bits or one of the others in at
+most r - 1. Per segment a small Hamming ball around each fingerprint's value is enumerated and looked up among all
+fingerprints, and complete distances are verified. No link within ``distance`` is missed.
 
 Only distinct fingerprints take part, so groups of copies cost one row. Equal segment values meet in one place; a value
-that more than ``HOT`` fingerprints share is dealt out as pairs of blocks. A place hands on a spanning forest of its
-links, never all pairs.
+that more than ``HOT`` fingerprints share is dealt out as pairs of blocks. A place with many fingerprints hands on a
+spanning forest of its links, never all pairs.
+
+A fingerprint has 64 bits, or several lanes of 64 bits for a finer measure of similarity. With ``similar``, links are the
+pairs whose estimated shingle similarity reaches a bound: of a share d of differing bits, the cosine of pi * d is that of
+the shingle counts, and a cosine c stands for a Jaccard similarity of c / (2 - c).
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; a text of fewer than ``width`` words
 is one shingle. Null ids take part; a component's id is the smallest non-null one. Repeated rows are reported as often
@@ -16,11 +20,13 @@ as they occur. Empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgeline.llm.common import map_texts, texts
@@ -31,49 +37,82 @@ BITS = 64
 SEED = 42
 #: Fingerprints with one segment value that are compared in one place; more are dealt out in blocks of this size.
 HOT = 4096
+#: Groups up to this size hand on all their links, larger ones a spanning forest.
+ALL_LINKS = 24
 #: Shingle hashes whose bits are summed at once.
 CHUNK = 1 << 16
+#: The finer measure: lanes compared, lanes searched, their segments, and the distance within which none is missed.
+LANES, SEARCHED, SEGMENTS, CERTAIN = 4, 2, 8, 15
+
 
+def _lane(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The shingles' hashes for lane ``k``; lane 0 are the hashes themselves."""
+    if not k:
+        return hashes
+    h = hashes + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-def fingerprint(text: bytes, width: int, hasher) -> int:
+
+def fingerprint(text: bytes, width: int, hasher, lanes: int = 1) -> list[int]:
     """SimHash of lower-cased (A-Z) white-space words: a bit is 1 if set in over half of the shingle hashes."""
     words = text.lower().split()
     if not words:
-        return 0
-    n = len(words) - width + 1
-    if n <= 1:
-        return hasher(b" ".join(words), SEED)
+        return [0] * lanes
+    n = max(1, len(words) - width + 1)
     line = b" ".join(words)
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], stops[:n - 1])).tolist()
-    hashes = np.array([hasher(line[a:b], SEED) for a, b in zip(starts, (stops[width - 1:] - 1).tolist())], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, CHUNK):
-        part = hashes[i:i + CHUNK].astype(">u8").view(np.uint8)
-        ones += np.unpackbits(part).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
-
-
-def simhash(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long), one row per document."""
+    if n == 1:
+        hashes = np.array([hasher(line, SEED)], np.uint64)
+    else:
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate(([0], stops[:n - 1])).tolist()
+        hashes = np.array(
+            [hasher(line[a:b], SEED) for a, b in zip(starts, (stops[width - 1:] - 1).tolist())], np.uint64)
+    out = []
+    for k in range(lanes):
+        ones = np.zeros(BITS, np.int64)
+        for i in range(0, n, CHUNK):
+            part = _lane(hashes[i:i + CHUNK], k).astype(">u8").view(np.uint8)
+            ones += np.unpackbits(part).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
+    return out
+
+
+def lane_columns(lanes: int) -> list[str]:
+    return ["fp", *[f"fp{k}" for k in range(1, lanes)]]
+
+
+def simhash(
+    docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None,
+    lanes: int = 1,
+) -> DataFrame:
+    """``doc_id, fp`` (64 bits as a signed long), one row per document; also ``mark`` of the row's own, and ``fp1``..."""
+    names = lane_columns(lanes)
+
     def make():
         from xxhash import xxh64_intdigest
 
         def work(batch: pa.RecordBatch) -> dict:
-            fps = [fingerprint(t, width, xxh64_intdigest) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "fp": np.array(fps, np.uint64).view(np.int64)}
+            found = [fingerprint(t, width, xxh64_intdigest, lanes) for t in batch.column("text").to_pylist()]
+            fps = np.array(found, np.uint64).reshape(-1, lanes).view(np.int64)
+            passed = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            return passed | {n: np.ascontiguousarray(fps[:, k]) for k, n in enumerate(names)}
 
         return work
 
-    return map_texts(texts(docs, id_col, text_col), make, "doc_id long, fp long")
+    rows = texts(docs, id_col, text_col, *([] if mark is None else [mark]))
+    schema = ["doc_id long", *([] if mark is None else ["mark long"]), *[f"{n} long" for n in names]]
+    return map_texts(rows, make, ", ".join(schema))
 
 
-def segment_plan(distance: int, segments: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each segment; a negative radius means that the segment need not be searched."""
+def segment_plan(distance: int, segments: int, lanes: int = 1) -> list[tuple[int, int, int, int]]:
+    """(lane, shift, width, radius) of each segment; ``segments`` is a multiple of ``lanes``."""
     r, a = divmod(distance, segments)
-    widths = [BITS // segments + (i < BITS % segments) for i in range(segments)]
+    each = segments // lanes
+    widths = [BITS // each + (i < BITS % each) for i in range(each)]
     shifts = np.cumsum([0, *widths[:-1]]).tolist()
-    return [(s, w, r if i <= a else r - 1) for i, (s, w) in enumerate(zip(shifts, widths))]
+    return [(i // each, shifts[i % each], widths[i % each], r if i <= a else r - 1) for i in range(segments)]
 
 
 def segments_for(n: int) -> int:
@@ -81,109 +120,116 @@ def segments_for(n: int) -> int:
     return max(2, min(4, BITS // max(1, int(n).bit_length())))
 
 
-def _probes(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
-    """``seg, value, fp, own``: each fingerprint at its own segment values and at those near them.
+def _probes(nodes: DataFrame, lanes: int, plan: list[tuple[int, int, int, int]]) -> DataFrame:
+    """``seg, value, own, id`` and lanes: each fingerprint at its own segment values and at those near them.
 
     Only flips to a larger value are enumerated: of two fingerprints, the smaller looks for the larger.
     """
-    out = []
-    for i, (shift, width, radius) in enumerate(segment_plan(distance, segments)):
+    names, out = lane_columns(lanes), []
+    for i, (lane, shift, width, radius) in enumerate(plan):
         if radius < 0:
             continue
-        mask = (1 << width) - 1
-        value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask).cast("long"))
-        flips = [sum(1 << b for b in bits) for k in range(1, radius + 1) for bits in combinations(range(width), k)]
-        near = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: value.bitwiseXOR(x)) if flips else None
+        value = F.shiftrightunsigned(names[lane], shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
         spots = F.array(F.struct(value.alias("value"), F.lit(True).alias("own")))
-        if near is not None:
+        flips = [sum(1 << b for b in bits) for k in range(1, radius + 1) for bits in combinations(range(width), k)]
+        if flips:
+            near = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: value.bitwiseXOR(x))
             larger = F.filter(near, lambda x: x > value)
             spots = F.concat(spots, F.transform(larger, lambda x: F.struct(x.alias("value"), F.lit(False).alias("own"))))
-        out.append(distinct.select("fp", F.lit(i).alias("seg"), F.explode(spots).alias("spot")).select(
-            "seg", F.col("spot.value").alias("value"), "fp", F.col("spot.own").alias("own")))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.union(more)
-    return rows
+        out.append(nodes.select(F.lit(i).alias("seg"), F.explode(spots).alias("spot"), "id", *names).select(
+            "seg", F.col("spot.value").alias("value"), F.col("spot.own").alias("own"), "id", *names))
+    return reduce(DataFrame.union, out)
 
 
-def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _forest(ids: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``fps``: walk from each unvisited one to all that are near it."""
-    left, found = np.unique(fps), []
-    while len(left) > 1:
-        stack, left = [left[0]], left[1:]
-        while stack and len(left):
-            at = stack.pop()
-            near = np.bitwise_count(left ^ at) <= distance
+    ids, at = np.unique(ids, return_index=True)
+    fps, found = fps[at], []
+    while len(ids) > 1:
+        stack, ids, fps = [(ids[0], fps[0])], ids[1:], fps[1:]
+        while stack and len(ids):
+            own, bits = stack.pop()
+            near = _apart(fps, bits[None]) <= distance
             if near.any():
-                for x in left[near]:
-                    found.append((at, x))
-                    stack.append(x)
-                left = left[~near]
+                found += [(own, x) for x in ids[near]]
+                stack += list(zip(ids[near], fps[near]))
+                ids, fps = ids[~near], fps[~near]
     return found
 
 
-def _links_of_batches(batches, distance: int):
-    """Rows sorted by (seg, value, block): links found in each group, groups may run over batches."""
-    def emit(key_change, fps, owns):
-        cuts = np.flatnonzero(key_change)
-        ends = np.append(cuts[1:], len(fps))
-        sizes = ends - cuts
-        held = np.add.reduceat(owns.astype(np.int64), cuts) if len(cuts) else cuts
-        a_all, b_all = [], []
-        small = (sizes > 1) & (sizes <= 24) & (held > 0)
-        group = np.repeat(np.arange(len(cuts)), sizes)
-        inside = small[group]
-        f, g = fps[inside], group[inside]
-        for step in range(1, 24):
-            if len(f) <= step:
-                break
-            ok = (g[step:] == g[:-step]) & (np.bitwise_count(f[step:] ^ f[:-step]) <= distance) & (f[step:] != f[:-step])
-            a_all.append(f[step:][ok])
-            b_all.append(f[:-step][ok])
-        for i in np.flatnonzero((sizes > 24) & (held > 0)):
-            pairs = np.array(_forest(fps[cuts[i]:ends[i]], distance), np.uint64).reshape(-1, 2)
-            a_all.append(pairs[:, 0])
-            b_all.append(pairs[:, 1])
-        a = np.concatenate(a_all) if a_all else np.zeros(0, np.uint64)
-        b = np.concatenate(b_all) if b_all else np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
-
+def _links_of(cuts: np.ndarray, owns: np.ndarray, ids: np.ndarray, fps: np.ndarray, distance: int) -> pa.RecordBatch:
+    """Links found in each group; ``cuts`` are the groups' first rows."""
+    ends = np.append(cuts[1:], len(ids))
+    sizes = ends - cuts
+    meets = (sizes > 1) & (np.add.reduceat(owns.astype(np.int64), cuts) > 0)
+    a_all, b_all = [], []
+    inside = np.repeat(meets & (sizes <= ALL_LINKS), sizes)
+    group, f, n = np.repeat(np.arange(len(cuts)), sizes)[inside], fps[inside], ids[inside]
+    for step in range(1, ALL_LINKS):
+        same = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.zeros(0, np.int64)
+        if not len(same):
+            break
+        ok = same[(_apart(f[same], f[same + step]) <= distance) & (n[same] != n[same + step])]
+        a_all.append(n[ok])
+        b_all.append(n[ok + step])
+    for i in np.flatnonzero(meets & (sizes > ALL_LINKS)):
+        pairs = np.array(_forest(ids[cuts[i]:ends[i]], fps[cuts[i]:ends[i]], distance), np.int64).reshape(-1, 2)
+        a_all.append(pairs[:, 0])
+        b_all.append(pairs[:, 1])
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_pydict({"a": np.concatenate(a_all or none), "b": np.concatenate(b_all or none)})
+
+
+def _links_of_batches(batches, distance: int, names: list[str]):
+    """Rows sorted by (seg, value, block): links found in each group; a group may run over batches."""
     keep = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("seg", "value", "block", "fp", "own")]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("seg", "value", "block", "own", "id", *names)]
         if keep is not None:
             cols = [np.concatenate(p) for p in zip(keep, cols)]
         change = np.ones(len(cols[0]), bool)
         change[1:] = (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)
-        last = int(np.flatnonzero(change)[-1])
+        cuts = np.flatnonzero(change)
+        last = int(cuts[-1])
         keep = [c[last:] for c in cols]
         if last:
-            yield emit(change[:last], cols[3][:last].view(np.uint64), cols[4][:last])
+            fps = np.stack([c[:last].view(np.uint64) for c in cols[5:]], axis=1)
+            yield _links_of(cuts[:-1], cols[3][:last], cols[4][:last], fps, distance)
     if keep is not None:
-        change = np.zeros(len(keep[0]), bool)
-        change[0] = True
-        yield emit(change, keep[3].view(np.uint64), keep[4])
+        fps = np.stack([c.view(np.uint64) for c in keep[5:]], axis=1)
+        yield _links_of(np.zeros(1, np.int64), keep[3], keep[4], fps, distance)
 
 
-def links(fingerprints: DataFrame, distance: int, segments: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, distance: int, plan: list[tuple[int, int, int, int]], lanes: int = 1) -> DataFrame:
     """``a, b``: links whose components are those of all pairs of fingerprints at most ``distance`` bits apart.
 
-    ``fingerprints`` has one column ``fp`` of distinct values and should be a written table, as it is read again.
+    ``nodes`` has ``id`` and the lanes of distinct fingerprints and should be a written table, as it is read again.
     """
-    spots = _probes(fingerprints, distance, segments or segments_for(fingerprints.count()))
+    names = lane_columns(lanes)
+    spots = _probes(nodes, lanes, plan)
     hot = spots.where("own").groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
     hot = written(hot.select("seg", "value", F.ceil(F.col("n") / HOT).alias("blocks")), "hot-values")
     parts = spots.join(hot, ["seg", "value"], "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
     with_all = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j))
     block = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(with_all)
-    dealt = parts.select("seg", "value", F.explode(block).alias("block"), "fp", "own")
+    dealt = parts.select("seg", "value", F.explode(block).alias("block"), "own", "id", *names)
     met = dealt.repartition("seg", "value", "block").sortWithinPartitions("seg", "value", "block")
-    return met.mapInArrow(lambda batches: _links_of_batches(batches, distance), "a long, b long")
+    return met.mapInArrow(lambda batches: _links_of_batches(batches, distance, names), "a long, b long")
+
+
+def _with_roots(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``root``, the component of each node."""
+    roots = components(found).withColumnRenamed("node", "id")
+    return nodes.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def near_duplicates(
@@ -192,16 +238,49 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, fp, component_id`` for every row; the component's id is its smallest document id."""
     marked = written(simhash(docs, width, id_col, text_col), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), distance, segments))
-    named = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "roots")
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    found = links(nodes, distance, segment_plan(distance, segments or segments_for(nodes.count())))
+    named = written(_with_roots(nodes, found), "roots")
+    lowest = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     classes = written(named.join(lowest.hint("merge"), "root").select("fp", "component_id"), "classes")
     return marked.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_distance(similarity: float, lanes: int = LANES) -> int:
+    """Differing bits up to which the estimated Jaccard similarity is at least ``similarity``."""
+    return int(BITS * lanes * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def drop_near(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one per component stays: that with the smallest id.
+
+    Fingerprints of ``LANES`` lanes link at an estimated similarity of ``similarity`` or more. The search looks at
+    ``SEARCHED`` lanes: pairs within ``CERTAIN`` of their bits are all found, more distant ones nearly all (a pair is
+    found if any of ``SEGMENTS`` segments differs in at most one bit). Null ids come last; among rows that share the id,
+    the text's hash decides, and of equal rows one stays.
+    """
+    names, mark = lane_columns(LANES), F.xxhash64(F.col(f"`{text_col}`"))
+    marked = written(simhash(docs, width, id_col, text_col, mark.alias("mark"), LANES), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    distinct = marked.groupBy(*names).agg(F.min(order).alias("first"))
+    nodes = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    found = links(nodes, similar_distance(similarity), segment_plan(CERTAIN, SEGMENTS, SEARCHED), LANES)
+    named = written(_with_roots(nodes.select("id", "first"), found), "roots")
+    kept = written(named.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), "kept")
+    same = marked.join(
+        kept.hint("merge"), (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    ties = same.groupBy(F.col("mark").alias("_mark"), F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_ties"))
+    found = docs.withColumn("_own", mark).join(
+        written(ties, "ties").hint("merge"),
+        (F.col("_own") == F.col("_mark")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")))
+    once = found.where("_ties = 1").unionByName(found.where("_ties > 1").dropDuplicates(["_own", "_id"]))
+    return once.select(*[f"`{c}`" for c in docs.columns])
+
+
 def hex_fingerprint(fp):
     """16 lower-case hex digits of a fingerprint column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
