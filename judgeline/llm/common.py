@@ -8,8 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from judgeline.session import written
+
 #: Texts handed to one vectorised step.
 SLICE_BYTES = 4 << 20
+#: Rows of one key that are compared in one place; more are dealt out in blocks of this size.
+HOT = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +50,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         start = stop
 
 
+def meet(rows: DataFrame, keys: list[str], counted: DataFrame, hot: int = HOT) -> DataFrame:
+    """Rows of equal ``keys`` in one place, sorted by them and ``block``; every two rows of a key meet in some block.
+
+    Keys with more than ``hot`` rows in ``counted`` are split: their rows fall into blocks by ``id``, and each pair of
+    blocks is a place of its own. Counts are summed map-side.
+    """
+    many = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    many = written(many.select(*keys, F.ceil(F.col("n") / hot).alias("blocks")), "hot-keys")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    with_all = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j))
+    block = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(with_all)
+    dealt = rows.join(many, keys, "left").select(*rows.columns, F.explode(block).alias("block"))
+    return dealt.repartition(*keys, "block").sortWithinPartitions(*keys, "block")
+
+
 def map_texts(df: DataFrame, make: Callable, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded size.
 

@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgeline.llm.common import texts
+from judgeline.llm.common import map_texts, meet, texts
+from judgeline.llm.components import components
+from judgeline.session import written
 
 #: Shared random bits repeat after so many places; characters fall into so many classes.
 PERIOD, CLASSES = 1024, 256
@@ -125,6 +127,88 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], samples: list
     return max(0.0, 1.0 - differ / longer)
 
 
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """``doc_id, length, words, fingerprint`` for every row; ``words`` are the sampled bits as signed longs."""
+    def make():
+        tool = walk(seed)
+
+        def work(batch: pa.RecordBatch) -> dict:
+            marks = [tool.fingerprint(t, tool.go(t)) for t in (t.decode() for t in batch.column("text").to_pylist())]
+            return {
+                "doc_id": batch.column("doc_id"), "length": [m[0] for m in marks],
+                "words": [m[1].view(np.int64).tolist() for m in marks], "fingerprint": [as_text(*m) for m in marks]}
+
+        return work
+
+    return map_texts(
+        texts(docs, id_col, text_col), make, "doc_id long, length long, words array<long>, fingerprint string")
+
+
+def near_documents(
+    docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", band_bits: int = 16,
+) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row: components of documents whose likeness is ``least`` or more.
+
+    Only distinct fingerprints are compared. A band is ``band_bits`` sampled bits of one octave; fingerprints that share
+    a band meet and are verified by their likeness. Places with many fingerprints hand on a spanning forest of links.
+    """
+    marked = written(sketches(docs, id_col, text_col), "sketches")
+    nodes = written(marked.groupBy("fingerprint").agg(
+        F.min("doc_id").alias("first"), F.first("length").alias("length"), F.first("words").alias("words")).withColumn(
+            "id", F.monotonically_increasing_id()), "nodes")
+    word = nodes.select("id", "length", "words", F.posexplode_outer("words").alias("octave", "word"))
+    mask = F.lit((1 << band_bits) - 1).cast("long")
+    parts = F.array(*[
+        F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("word", i * band_bits).bitwiseAND(mask).alias("bits"))
+        for i in range(WORD // band_bits)])
+    bands = word.select("id", "length", "words", "octave", F.explode(parts).alias("b")).select(
+        F.coalesce("octave", F.lit(-1)).alias("octave"), F.col("b.part").alias("part"),
+        F.coalesce("b.bits", F.lit(0)).alias("bits"), "id", "length", "words")
+    keys = ["octave", "part", "bits"]
+    met = meet(bands, keys, bands)
+    found = met.mapInArrow(lambda batches: _verified(batches, [*keys, "block"], least), "a long, b long")
+    roots = components(found).withColumnRenamed("node", "id")
+    named = written(nodes.select("id", "fingerprint", "first").join(roots.hint("merge"), "id", "left").withColumn(
+        "root", F.coalesce("root", "id")), "roots")
+    lowest = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    classes = written(named.join(lowest.hint("merge"), "root").select("fingerprint", "component_id"), "classes")
+    return marked.join(classes.hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def _verified(batches, keys: list[str], least: float):
+    """Rows sorted by ``keys``: a spanning forest of the links of each group."""
+    samples, group, at = walk().samples, [], None
+
+    def forest():
+        left, out = group, []
+        while len(left) > 1:
+            stack, left = [left[0]], left[1:]
+            while stack and left:
+                own = stack.pop()
+                near = [likeness(own[1], x[1], samples) >= least for x in left]
+                stack += [x for x, y in zip(left, near) if y]
+                out += [(own[0], x[0]) for x, y in zip(left, near) if y]
+                left = [x for x, y in zip(left, near) if not y]
+        return out
+
+    for batch in batches:
+        links = []
+        columns = [batch.column(c).to_pylist() for c in keys]
+        rows = zip(zip(*columns), *(batch.column(c).to_pylist() for c in ("id", "length", "words")))
+        for key, node, length, words in rows:
+            if key != at:
+                links += forest()
+                group, at = [], key
+            group.append((node, (length, np.array(words, np.int64).view(np.uint64))))
+        yield _pairs(links)
+    yield _pairs(forest())
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Partitions of whole blocks of consecutive ids: ``block, guest, doc_id, text``, sorted.
 

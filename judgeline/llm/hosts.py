@@ -77,14 +77,14 @@ def _shrunk(groups: DataFrame) -> DataFrame:
 
 
 def host_reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """``host, n, bad, rate, low``: posterior share of bad pages and its lower bound for every row of ``hosts``.
+    """``host, n, bad, rate, low``: posterior share of bad pages and its lower bound for every known host.
 
-    ``hosts`` is distinct; ``outcomes`` has ``host, bad`` (0 or 1), one row per labelled page. Counts are summed
+    ``hosts`` is distinct; hosts with outcomes only are known as well; ``outcomes`` has ``host, bad`` (0 or 1), one row per labelled page. Counts are summed
     map-side, so a hot host is one row per task.
     """
     seen = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     counts = written(
-        hosts.select("host").join(seen, "host", "left").select(
+        hosts.select("host").join(seen, "host", "full").select(
             "host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"),
             F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad")), "host-counts")
     sums = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).head()

@@ -6,7 +6,7 @@ most r - 1. Per segment a small Hamming ball around each fingerprint's value is
 fingerprints, and complete distances are verified. No link within ``distance`` is missed.
 
 Only distinct fingerprints take part, so groups of copies cost one row. Equal segment values meet in one place; a value
-that more than ``HOT`` fingerprints share is dealt out as pairs of blocks. A place with many fingerprints hands on a
+that more than ``common.HOT`` fingerprints share is dealt out as pairs of blocks. A place with many fingerprints hands on a
 spanning forest of its links, never all pairs.
 
 A fingerprint has 64 bits, or several lanes of 64 bits for a finer measure of similarity. With ``similar``, links are the
@@ -29,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgeline.llm.common import map_texts, texts
+from judgeline.llm.common import map_texts, meet, texts
 from judgeline.llm.components import components
 from judgeline.session import written
 
 BITS = 64
 SEED = 42
-#: Fingerprints with one segment value that are compared in one place; more are dealt out in blocks of this size.
-HOT = 4096
 #: Groups up to this size hand on all their links, larger ones a spanning forest.
 ALL_LINKS = 24
 #: Shingle hashes whose bits are summed at once.
@@ -213,16 +211,7 @@ def links(nodes: DataFrame, distance: int, plan: list[tuple[int, int, int, int]]
     """
     names = lane_columns(lanes)
     spots = _probes(nodes, lanes, plan)
-    hot = spots.where("own").groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
-    hot = written(hot.select("seg", "value", F.ceil(F.col("n") / HOT).alias("blocks")), "hot-values")
-    parts = spots.join(hot, ["seg", "value"], "left")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    with_all = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j))
-    block = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(with_all)
-    dealt = parts.select("seg", "value", F.explode(block).alias("block"), "own", "id", *names)
-    met = dealt.repartition("seg", "value", "block").sortWithinPartitions("seg", "value", "block")
+    met = meet(spots, ["seg", "value"], spots.where("own"))
     return met.mapInArrow(lambda batches: _links_of_batches(batches, distance, names), "a long, b long")
 
 
