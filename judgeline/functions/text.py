@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -11,9 +12,19 @@ from pyspark.sql import functions as F
 PUNCTUATION = "¿?¡!,.:;"
 # The letters of a word for difficulty features.
 LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
-# Accented Latin letters and the base letter each one carries.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accents() -> tuple[str, str]:
+    """Every letter of the basic plane that decomposes into a letter and combining marks, and that letter."""
+    found = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and unicodedata.category(parts[0])[0] == "L" and all(unicodedata.category(p) == "Mn" for p in parts[1:]):
+            found[c] = parts[0]
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, UNACCENTED = _accents()
 
 
 def _col(c: Column | str) -> Column:
@@ -43,7 +54,7 @@ def token_set_punct(text: Column | str) -> Column:
 
 
 def strip_accents(text: Column | str) -> Column:
-    """Accented Latin letters to their base letter; combining marks are dropped."""
+    """Accented letters to their base letter; combining marks are dropped."""
     return F.regexp_replace(F.translate(_col(text), ACCENTED, UNACCENTED), r"\p{Mn}", "")
 
 

@@ -92,7 +92,7 @@ def bootstrap_ci(
     return _bounds(means, "m", alpha, []).select(mean.alias("mean"), "low", "high")
 
 
-def paired_randomization(deltas: DataFrame, delta: str = "delta", reps: int = 2000, seed: str = "42") -> DataFrame:
+def paired_randomization(deltas: DataFrame, delta: str = "delta", reps: int = 10_000, seed: str = "42") -> DataFrame:
     """Two-sided sign-flip test: p = (hits + 1) / (reps + 1).
 
     Every task adds up its own rows for all repetitions before anything is shuffled.

@@ -58,14 +58,15 @@ def render_query_requests(queries: DataFrame, template: str, system: str | None
 def parse_relevance_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(custom_id, content) to judgments (qid, did, label, evidence) and the rejected rows with a reason."""
     answer = F.from_json("content", "relevant STRING, evidence STRING")
-    ids = F.split("custom_id", "_")
+    # A query id may hold underscores itself; the document id follows the last one.
+    qid, did = (F.regexp_extract("custom_id", r"(?s)^(.+)_([^_]+)$", i) for i in (1, 2))
     # A broken answer parses to a struct of NULLs; JSON validity is told apart by a map parse.
     valid = F.from_json("content", "map<string,string>").isNotNull() & F.trim("content").startswith("{")
     label = F.when(F.col("a.relevant") == "yes", 1).when(F.col("a.relevant") == "no", 0)
-    reason = F.when(F.size(ids) != 2, "bad id").when(~F.coalesce(valid, F.lit(False)), "not json").when(
+    reason = F.when(F.coalesce(qid, F.lit("")) == "", "bad id").when(~F.coalesce(valid, F.lit(False)), "not json").when(
         label.isNull(), "no label")
     rows = responses.withColumn("a", answer).select(
-        "custom_id", "content", F.get(ids, F.lit(0)).alias("qid"), F.get(ids, F.lit(1)).alias("did"),
+        "custom_id", "content", qid.alias("qid"), did.alias("did"),
         label.alias("label"), F.col("a.evidence").alias("evidence"), reason.alias("reason"))
     good = rows.where(F.col("reason").isNull()).select("qid", "did", "label", "evidence")
     return good, rows.where(F.col("reason").isNotNull()).select("custom_id", "content", "reason")

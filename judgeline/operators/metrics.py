@@ -295,5 +295,11 @@ METRIC_SETS: dict[str, tuple[str, ...]] = {
 }
 
 
+def register_metric_set(name: str, metrics: tuple[str, ...]) -> None:
+    """Add a metric set of one's own under a new name, or the same one again."""
+    if METRIC_SETS.setdefault(name, tuple(metrics)) != tuple(metrics):
+        raise ValueError(f"metric set {name} exists already")
+
+
 def evaluate(run: DataFrame, qrels: DataFrame, metric_set: str = "classic", rel: int = 1) -> DataFrame:
     return query_metrics(run, qrels, METRIC_SETS[metric_set], rel=rel)

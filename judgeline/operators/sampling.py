@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgeline.operators.sizing import LINE_BUCKET, hash_key, number_by_hash, number_by_line, number_rows
 
-MISSING_RANK = 31  # Fixed value: rank of a judged document that the run does not list.
-
-
 def gold_rank(qrels: DataFrame, line: str = "line_no") -> DataFrame:
     """Rank by label, best first; equal labels keep file order."""
     order = Window.partitionBy("qid").orderBy(F.col("label").desc(), F.col(line))
@@ -19,10 +17,14 @@ def gold_rank(qrels: DataFrame, line: str = "line_no") -> DataFrame:
 
 
 def disagreement_pairs(qrels: DataFrame, run: DataFrame, k: int, line: str = "line_no") -> DataFrame:
-    """The k judged documents per query whose gold and model ranks lie furthest apart."""
+    """The k judged documents per query whose gold and model ranks lie furthest apart.
+
+    A document that the run does not list ranks right after the deepest rank of the run.
+    """
+    missing = run.agg(F.coalesce(F.max("rank"), F.lit(0)) + 1).scalar()
     model = run.select("qid", "did", F.col("rank").alias("_r"))
     rows = gold_rank(qrels, line).join(model, ["qid", "did"], "left").withColumn(
-        "model_rank", F.coalesce("_r", F.lit(MISSING_RANK))).withColumn(
+        "model_rank", F.coalesce("_r", missing)).withColumn(
         "abs_diff", F.abs(F.col("gold_rank") - F.col("model_rank")))
     order = Window.partitionBy("qid").orderBy(F.col("abs_diff").desc(), F.col("gold_rank"))
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select(
@@ -95,7 +97,9 @@ def ema(df: DataFrame, value: str, order: str, alpha: float, keys: list[str], bl
         return F.struct(now.alias("avg"), F.concat(state["out"], F.array(entry)).alias("out"))
 
     start = F.struct(F.col("_carry").alias("avg"), F.array().cast("array<struct<o:bigint,e:double>>").alias("out"))
-    out = listed.join(carries, [*keys, "_b"]).select(*keys, F.inline(F.aggregate("_rows", start, walk)["out"]))
+    named = carries.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_b"]], "_carry")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_b"]])
+    out = listed.join(named, same).select(*keys, F.inline(F.aggregate("_rows", start, walk)["out"]))
     return out.select(*keys, F.col("o").alias(order), F.col("e").alias("ema"))
 
 

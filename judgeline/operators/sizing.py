@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,7 +54,8 @@ def cumulate(df: DataFrame, bucket: Column, order: list[Column], sums: dict[str,
     """Inclusive running sums inside each key group, with no group ordered in one task.
 
     ``bucket`` must grow with ``order`` (rows of a lower bucket come first). Sums run inside a bucket and are shifted
-    by the totals of the lower buckets, so the only ordered pass over a whole group sees one row per bucket.
+    by the totals of the lower buckets, so the only ordered pass over a whole group sees one row per bucket. NULL is a
+    key like any other, and a NULL bucket comes first.
     """
     keys = list(keys or [])
     rows = df.withColumn("_bucket", bucket)
@@ -60,12 +63,12 @@ def cumulate(df: DataFrame, bucket: Column, order: list[Column], sums: dict[str,
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     shift = totals.select(
-        *keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums])
+        *[F.col(k).alias(f"_k_{k}") for k in [*keys, "_bucket"]], *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums])
     return (
         rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-        .join(shift, [*keys, "_bucket"])
+        .join(shift, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_bucket"]]))
         .withColumns({n: F.col(n) + F.col(f"_t_{n}") for n in sums})
-        .drop("_bucket", *[f"_t_{n}" for n in sums])
+        .drop("_bucket", *[f"_k_{k}" for k in [*keys, "_bucket"]], *[f"_t_{n}" for n in sums])
     )
 
 
@@ -81,7 +84,9 @@ def value_buckets(cells: DataFrame, value: str, keys: list[str] | None = None, p
     keys = list(keys or [])
     span = cells.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     if keys:
-        rows = cells.join(span, keys)
+        named = span.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_lo", "_hi")
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        rows = cells.join(named, same).drop(*[f"_k_{k}" for k in keys])
     else:
         one = span.select(F.struct("_lo", "_hi").alias("s")).scalar()
         rows = cells.withColumn("_s", one).withColumns({"_lo": F.col("_s._lo"), "_hi": F.col("_s._hi")}).drop("_s")
@@ -115,7 +120,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: li
     cum = cumulate(value_buckets(counts, "_v", keys), F.col("_vb"), [F.col("_v")], {"_to": F.col("_c")}, keys)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
-        cum = cum.join(totals, keys)
+        named = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n")
+        cum = cum.join(named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]))
     else:
         cum = cum.withColumn("_n", totals.scalar())
     n = F.col("_n")

@@ -255,7 +255,7 @@ def quartile_effect(spark, sf):
 
 HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 part("qi", "pq", "SELECT qid, ndcg_exp_10 v, row_number() OVER (ORDER BY qid) - 1 i, count(*) OVER () n FROM pq WHERE run_id = 'a'")
-part("boot", "qi", f"""SELECT b, avg(y.v) m FROM (SELECT b, {HASH.format("concat_ws('|', '42', b, i)")} % n j FROM qi, range(500) r(b)) x
+part("boot", "qi", f"""SELECT b, avg(y.v) m FROM (SELECT b, {HASH.format("concat_ws('|', '42', b, i)")} % n j FROM qi, range(2000) r(b)) x
     JOIN qi y ON y.i = x.j GROUP BY b""")
 
 
@@ -263,19 +263,19 @@ part("boot", "qi", f"""SELECT b, avg(y.v) m FROM (SELECT b, {HASH.format("concat
     round(quantile_cont(m, 0.975), 6) high FROM boot""")
 def bootstrap_ci(spark, sf):
     pq = M.query_metrics(fx.run_a(spark, sf), fx.gold(spark, sf), ["ndcg_exp@10"])
-    return r6(D.bootstrap_ci(written(pq, "scores"), "ndcg_exp_10", reps=500))
+    return r6(D.bootstrap_ci(written(pq, "scores"), "ndcg_exp_10"))
 
 
 part("dl", "pq", "SELECT qid, y.map - x.map d FROM pq x JOIN pq y USING (qid) WHERE x.run_id = 'a' AND y.run_id = 'b'")
 part("flips", "dl", f"""SELECT rep, avg(d * CASE WHEN {HASH.format("concat_ws('|', '42', rep, qid)")} % 2 = 0 THEN 1 ELSE -1 END) m
-    FROM dl, range(500) r(rep) GROUP BY rep""")
+    FROM dl, range(10000) r(rep) GROUP BY rep""")
 
 
 @query("paired_randomization", "flips dl", """SELECT round(o, 6) observed, count_if(round(abs(m), 9) >= round(abs(o), 9)) hits,
-    round((count_if(round(abs(m), 9) >= round(abs(o), 9)) + 1) / 501, 6) p_value FROM flips, (SELECT avg(d) o FROM dl) GROUP BY o""")
+    round((count_if(round(abs(m), 9) >= round(abs(o), 9)) + 1) / 10001, 6) p_value FROM flips, (SELECT avg(d) o FROM dl) GROUP BY o""")
 def paired_randomization(spark, sf):
     pq = M.query_metrics(fx.runs(spark, sf), fx.gold(spark, sf), ["map"])
-    return r6(D.paired_randomization(written(M.run_delta(pq, "map", "a", "b"), "deltas"), reps=500), "hits")
+    return r6(D.paired_randomization(written(M.run_delta(pq, "map", "a", "b"), "deltas")), "hits")
 
 
 # --- similarity and text quality -------------------------------------------------------------------------------

@@ -39,18 +39,27 @@ def read_corpus_jsonl(spark, sf):
     return I.read_corpus_jsonl(spark, path).select("did", "text")
 
 
-def _map_file(spark, sf, layout):
+def _map_file(spark, sf):
     path = scratch_path(spark, "corpus-map")
     pair = F.expr("substring(to_json(map(did, text)), 2, length(to_json(map(did, text))) - 2)")
-    value = F.concat(F.lit("{"), pair, F.lit("}")) if layout == "object" else F.concat(F.lit("  "), pair, F.lit(","))
-    fx.corpus(spark, sf).repartition("source").select(value.alias("value")).write.option(
-        "maxRecordsPerFile", 1 if layout == "object" else 0).text(path)
-    return I.read_corpus_json_map(spark, path, layout)
+    fx.corpus(spark, sf).select(F.concat(F.lit("  "), pair, F.lit(",")).alias("value")).write.text(path)
+    return I.read_corpus_json_map(spark, path, "pairs")
 
 
 @query("read_corpus_json_map", "docs", "SELECT did, text FROM docs")
 def read_corpus_json_map(spark, sf):
-    return _map_file(spark, sf, "pairs")
+    return _map_file(spark, sf)
+
+
+@query("read_corpus_json_object", "docs", "SELECT did, text FROM docs")
+def read_corpus_json_object(spark, sf):
+    """Files that each hold one object of several pairs, as collections are handed out."""
+    path = scratch_path(spark, "corpus-object")
+    pairs = F.map_from_entries(F.collect_list(F.struct("did", "text")))
+    packs = fx.corpus(spark, sf).groupBy(F.pmod(F.xxhash64("did"), F.floor(F.xxhash64("source") % 7 + 50)).alias("p"), "source").agg(
+        F.to_json(pairs).alias("value"))
+    packs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return I.read_corpus_json_map(spark, path, "object")
 
 
 @query("read_corpus_csv", "docs", "SELECT did, source title, text FROM docs")
@@ -182,16 +191,16 @@ def read_training_log(spark, sf):
     return I.read_training_log(spark, path).drop("line_no")
 
 
-@query("read_benchmark_tables", "run_a docs qs", """SELECT query, max(text) FILTER (rank = 1) positive, max(text) FILTER (rank = 2) negative_1,
-    max(text) FILTER (rank = 3) negative_2 FROM run_a JOIN docs USING (did) JOIN qs USING (qid) GROUP BY qid, query""")
+@query("read_benchmark_tables", "run_a docs qs", """SELECT query, max(text) FILTER (rank = 1) positive, """ + ", ".join(
+    f"max(text) FILTER (rank = {i + 1}) negative_{i}" for i in range(1, 40)) + " FROM run_a JOIN docs USING (did) JOIN qs USING (qid) GROUP BY qid, query")
 def read_benchmark_tables(spark, sf):
     path, cache = scratch_path(spark, "wide"), scratch_path(spark, "wide-cache")
-    texts = fx.run_a(spark, sf).where(F.col("rank") <= 6).join(fx.corpus(spark, sf), "did").join(fx.queries(spark, sf), "qid")
+    texts = fx.run_a(spark, sf).join(fx.corpus(spark, sf), "did").join(fx.queries(spark, sf), "qid")
     at = lambda r: F.max(F.when(F.col("rank") == r, F.col("text")))
     texts.groupBy("qid", "query").agg(
-        at(1).alias("positive"), *[at(i + 1).alias(f"negative_{i}") for i in range(1, 6)]).write.parquet(path)
-    I.read_benchmark_tables(spark, path, cache, negatives=2)
-    return I.read_benchmark_tables(spark, path, cache, negatives=2)
+        at(1).alias("positive"), *[at(i + 1).alias(f"negative_{i}") for i in range(1, 40)]).write.parquet(path)
+    I.read_benchmark_tables(spark, path, cache)
+    return I.read_benchmark_tables(spark, path, cache)
 
 
 # --- writers ---------------------------------------------------------------------------------------------------
@@ -212,9 +221,14 @@ def write_ranked_list(spark, sf):
     return spark.read.text(path)
 
 
-@query("run_wide", "run_b", """SELECT * FROM (PIVOT (SELECT CAST(rank AS INT) rank, qid, did FROM run_b WHERE rank <= 30) ON qid USING first(did) GROUP BY rank)""")
+#: Columns of the wide report: one per query id that the test tables can have.
+WIDE = [str(i) for i in range(200)]
+
+
+@query("run_wide", "run_b", "SELECT CAST(r AS INT) AS rank, " + ", ".join(
+    f"""max(did) FILTER (qid = '{q}') AS "{q}\"""" for q in WIDE) + " FROM range(1, 31) x(r) LEFT JOIN run_b ON rank = r GROUP BY r")
 def run_wide(spark, sf):
-    return O.run_wide(fx.run_b(spark, sf))
+    return O.run_wide(fx.run_b(spark, sf), qids=WIDE)
 
 
 @query("write_qrels", "gold", "SELECT qid || chr(9) || '0' || chr(9) || did || chr(9) || label AS value FROM gold")
@@ -257,12 +271,12 @@ def append_rows(spark, sf):
     return spark.read.schema("qid string, did string, label int").json(path)
 
 
-@query("write_metric_table", "pq", """SELECT qid, round(max(map) FILTER (run_id = 'a'), 6) "map[a]", round(max(map) FILTER (run_id = 'b'), 6) "map[b]",
-    round(max(map) FILTER (run_id = 'c'), 6) "map[c]" FROM pq GROUP BY qid""")
+@query("write_metric_table", "pq", "SELECT qid, " + ", ".join(
+    f"""round(max({m}) FILTER (run_id = '{r}'), 6) "{m}[{r}]\"""" for m in ("map", "bpref", "judged_10") for r in "abc") + " FROM pq GROUP BY qid")
 def write_metric_table(spark, sf):
     path = scratch_path(spark, "metrics")
-    pq = M.query_metrics(fx.runs(spark, sf), fx.gold(spark, sf), ["map"])
-    O.write_metric_table(pq, path)
+    pq = M.query_metrics(fx.runs(spark, sf), fx.gold(spark, sf), ["map", "bpref", "judged@10"])
+    O.write_metric_table(pq, path, ["a", "b", "c"])
     back = spark.read.csv(path, sep="\t", header=True)
     return back.select("qid", *[F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) for c in back.columns if c != "qid"])
 
@@ -286,7 +300,7 @@ def incremental_topk(spark, sf):
     q = ST.incremental_topk(
         docs, lambda batch: R.knn_topk(queries, batch, k=10, skip_self=True), state, 10, scratch_path(spark, "checkpoint"))
     q.awaitTermination()
-    return shown(state.latest(ST.last_batch(q)))
+    return shown(state.latest())
 
 
 @query("running_score_stats", "runs", """SELECT qid, count(*) n, round(avg(score), 6) mean, round(stddev_pop(score), 6) std, round(min(score), 6) min, round(max(score), 6) max
@@ -295,9 +309,10 @@ def running_score_stats(spark, sf):
     source, out = scratch_path(spark, "scores"), scratch_path(spark, "stats")
     fx.runs(spark, sf).repartition(3, "run_id", "did").write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = ST.write_running(ST.running_score_stats(stream), out, scratch_path(spark, "checkpoint"))
-    q.awaitTermination()
-    stats = spark.read.parquet(f"{out}/slot={ST.last_batch(q) % 2}")
+    stats = ST.running_score_stats(stream)
+    state = ST.SlotState(spark, out, stats.schema)
+    ST.write_running(stats, state, scratch_path(spark, "checkpoint")).awaitTermination()
+    stats = state.latest()
     return stats.select("qid", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
 
 
@@ -428,7 +443,7 @@ def plugin_scorer(spark, sf):
 @query("plugin_metric", "pq", "SELECT run_id, qid, round(judged_10, 6) judged_10, round(bpref, 6) bpref FROM pq")
 def plugin_metric(spark, sf):
     """A metric set registered by name."""
-    M.METRIC_SETS["coverage"] = ("judged@10", "bpref")
+    M.register_metric_set("coverage", ("judged@10", "bpref"))
     out = M.evaluate(fx.runs(spark, sf), fx.gold(spark, sf), "coverage")
     return out.select("run_id", "qid", F.round("judged_10", 6).alias("judged_10"), F.round("bpref", 6).alias("bpref"))
 

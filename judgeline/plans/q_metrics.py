@@ -161,19 +161,17 @@ def ltr_mrr_recall(spark, sf):
     return rounded(M.ltr_rank_metrics(scored.drop("label"), scored.select("qid", "did", "label"), 5))
 
 
-part("bestpos", "jr", """SELECT run_id, qid, max(score) FILTER (label >= 2) score_pos, max(score) FILTER (label < 2) score_neg
-    FROM jr JOIN runs USING (run_id, qid, did) GROUP BY run_id, qid""")
+part("judged_scores", "gold runs", "SELECT run_id, qid, label >= 2 AS pos, score FROM gold JOIN runs USING (qid, did)")
 
 
-@query("pairwise_accuracy", "bestpos", """SELECT run_id, count(*) n_pairs, round(avg(CAST(score_pos > score_neg AS INT)), 6) pairwise_accuracy
-    FROM bestpos WHERE score_pos IS NOT NULL AND score_neg IS NOT NULL GROUP BY run_id""")
+@query("pairwise_accuracy", "judged_scores", """SELECT run_id, count(*) n_pairs, round(avg(CAST(p.score > n.score AS INT)), 6) pairwise_accuracy
+    FROM judged_scores p JOIN judged_scores n USING (run_id, qid) WHERE p.pos AND NOT n.pos GROUP BY run_id""")
 def pairwise_accuracy(spark, sf):
-    """The best positive of a query against its best negative."""
+    """Every judged positive of a query's list against every judged negative of it: a bounded product per list."""
     rows = fx.runs(spark, sf).join(fx.gold(spark, sf), ["qid", "did"])
-    best = rows.groupBy("run_id", "qid").agg(
-        F.max(F.when(F.col("label") >= 2, F.col("score"))).alias("score_pos"),
-        F.max(F.when(F.col("label") < 2, F.col("score"))).alias("score_neg")).dropna()
-    return rounded(M.pairwise_accuracy(best, ["run_id"]), ("run_id", "n_pairs"))
+    pos = rows.where(F.col("label") >= 2).select("run_id", "qid", F.col("score").alias("score_pos"))
+    neg = rows.where(F.col("label") < 2).select("run_id", "qid", F.col("score").alias("score_neg"))
+    return rounded(M.pairwise_accuracy(pos.join(neg, ["run_id", "qid"]), ["run_id"]), ("run_id", "n_pairs"))
 
 
 @query("graded_pair_accuracy", "scored", """SELECT x.qid, count_if(x.score > y.score) won, count(*) n_pairs,

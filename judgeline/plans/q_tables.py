@@ -158,7 +158,7 @@ def enrich_pairs_lenient(spark, sf):
 
 
 @query("enrich_triplets", "blocks qs docs", """SELECT qid query_id, positive pos_doc_id, negative neg_doc_id, query, p.text pos_text, n.text neg_text,
-    CAST(p.text = n.text AS INT) same_text FROM blocks JOIN qs USING (qid) JOIN docs p ON p.did = positive JOIN docs n ON n.did = negative WHERE slot = 1""")
+    CAST(p.text = n.text AS INT) same_text FROM blocks JOIN qs USING (qid) JOIN docs p ON p.did = positive JOIN docs n ON n.did = negative""")
 def enrich_triplets(spark, sf):
     return J.enrich_triplets(triplets(spark, sf), fx.queries(spark, sf), fx.corpus(spark, sf))
 
@@ -194,7 +194,7 @@ def gold_rank(spark, sf):
 
 
 @query("disagreement_pairs", "grank run_a", """SELECT qid, did, gold_rank, model_rank, abs_diff FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY abs_diff DESC, gold_rank) n
-    FROM (SELECT g.qid, g.did, gold_rank, coalesce(rank, 31) model_rank, abs(gold_rank - coalesce(rank, 31)) abs_diff
+    FROM (SELECT g.qid, g.did, gold_rank, coalesce(rank, 41) model_rank, abs(gold_rank - coalesce(rank, 41)) abs_diff
     FROM grank g LEFT JOIN run_a a ON a.qid = g.qid AND a.did = g.did)) WHERE n <= 4""")
 def disagreement_pairs(spark, sf):
     return P.disagreement_pairs(_lined(spark, sf), fx.run_a(spark, sf), 4)

@@ -169,9 +169,9 @@ def head_scores(spark, sf):
         X.head_score("l", "argmax").alias("argmax"), X.head_score("l", "sigmoid").alias("sigmoid"))
 
 
-part("vocab", "dfs", "SELECT term, row_number() OVER (ORDER BY md5('v|' || term), term) + 1 tid FROM dfs")
-part("ids", "vocab", f"""SELECT conv_id * 1000 + turn line, list(tid ORDER BY i) ids FROM (SELECT conv_id, turn, unnest(w) t, generate_subscripts(w, 1) i FROM
-    (SELECT conv_id, turn, {tokens('text')} w FROM conversations)) JOIN vocab ON term = t GROUP BY conv_id, turn""")
+part("vocab", "dfs", "SELECT term, row_number() OVER (ORDER BY md5('v|' || term), term) + 2 tid FROM dfs")
+part("ids", "vocab", f"""SELECT conv_id * 1000 + turn line, list(coalesce(tid, 2) ORDER BY i) ids FROM (SELECT conv_id, turn, unnest(w) t, generate_subscripts(w, 1) i FROM
+    (SELECT conv_id, turn, {tokens('text')} w FROM conversations)) LEFT JOIN vocab ON term = t GROUP BY conv_id, turn""")
 
 
 @query("pack_tokens", "ids", """SELECT line, array_to_string(x, ',') input_ids, array_to_string(list_transform(x, lambda t: CAST(t > 0 AS INT)), ',') attention_mask FROM
@@ -181,10 +181,11 @@ def pack_tokens(spark, sf):
     from judgeline.operators.retrieve import corpus_stats
     from judgeline.operators.sizing import hash_key, number_by_hash
     words = corpus_stats(fx.corpus(spark, sf), T.tokenize_ws("text")).select("term", hash_key("v", F.col("term")).alias("h"))
-    vocab = number_by_hash(words, "h", ["term"]).select("term", (F.col("rn") + 1).alias("tid"))
+    vocab = number_by_hash(words, "h", ["term"]).select("term", (F.col("rn") + 2).alias("tid"))
     line = (F.col("conv_id") * 1000 + F.col("turn")).alias("line")
     turns = fx.read(spark, sf, "conversations").select(line, F.posexplode(T.tokenize_ws("text")).alias("i", "term"))
-    ids = turns.join(vocab, "term").groupBy("line").agg(F.sort_array(F.collect_list(F.struct("i", "tid"))).alias("x"))
+    known = turns.join(vocab, "term", "left").withColumn("tid", F.coalesce("tid", F.lit(2)))  # 2: not in the vocabulary
+    ids = known.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("i", "tid"))).alias("x"))
     packed = X.pack_tokens(F.transform("x", lambda e: e["tid"]), 16, eos=1)
     return ids.select("line", *[F.array_join(c, ",").alias(n) for n, c in packed.items()])
 

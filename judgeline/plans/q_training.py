@@ -117,14 +117,14 @@ def mine_negatives_annotated_only(spark, sf):
 
 part("ydocs", "", f"""SELECT d, d || '__chunk' || i did, lower(array_to_string(w[i * 128 + 1 : i * 128 + 256], ' ')) ltext, w[i * 128 + 1 : i * 128 + 256] toks
     FROM (SELECT d, w, unnest(range(CAST(ceil(len(w) / 128) AS BIGINT))) i FROM (SELECT CAST(doc_id AS VARCHAR) d, {tokens('text', False)} w FROM documents))""")
-part("kpos", "gold ydocs", "SELECT qid, y.did FROM (SELECT qid, did d FROM gold WHERE label = 3) JOIN ydocs y USING (d)")
+part("kpos", "gold ydocs", "SELECT qid, y.did FROM (SELECT qid, did d FROM gold WHERE label >= 2) JOIN ydocs y USING (d)")
 part("kann", "gold ydocs", "SELECT qid, y.did FROM (SELECT qid, did d FROM gold WHERE label = 0) JOIN ydocs y USING (d)")
 _mining_parts("k", "ydocs")
 
 
 @query("mine_negatives_chunked", "kmined", "SELECT qid, did cid, label, tier FROM kmined")
 def mine_negatives_chunked(spark, sf):
-    pos = fx.gold(spark, sf).where(F.col("label") == 3)
+    pos = _positives(spark, sf)
     chunks = fx.stored(spark, sf, "chunks", lambda: chunk_corpus(spark, sf))
     return P.mine_negatives_chunked(chunks, fx.queries(spark, sf), pos, _annotated(spark, sf))
 
@@ -169,14 +169,14 @@ def triplet_columns(spark, sf):
     return P.triplet_columns(rows, 3)
 
 
-part("trip", "blocks", "SELECT qid, positive, negative FROM blocks WHERE slot = 1")
+part("trip", "blocks", "SELECT qid, positive, negative FROM blocks")
 part("bint", "trip", """SELECT qid, qid || '|' || positive || '|' || negative triplet, positive did, 1 AS label FROM trip UNION ALL
     SELECT qid, qid || '|' || positive || '|' || negative, negative, 0 FROM trip""")
 
 
 def triplets(spark, sf):
-    """The first negative of every positive."""
-    return P.partition_negatives(mined(spark, sf), 4).where(F.col("slot") == 1).select(
+    """Every positive with each of its negatives."""
+    return P.partition_negatives(mined(spark, sf), 4).select(
         F.col("qid").alias("query_id"), F.col("positive").alias("pos_doc_id"), F.col("negative").alias("neg_doc_id"))
 
 

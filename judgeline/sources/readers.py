@@ -7,6 +7,8 @@ and row, which sorts like the lines themselves even when a file is read in sever
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,7 +79,7 @@ def read_queries(spark: SparkSession, path: str, sep: str = "\t", header: bool |
         fields = F.from_csv("value", F.lit("qid STRING, query STRING"), {"escape": '"', "mode": "PERMISSIVE"})
         rows = raw.select(fields.alias("f"), "line_no").select("f.*", "line_no")
     else:
-        parts = F.split("value", sep, 2)
+        parts = F.split("value", re.escape(sep), 2)
         rows = raw.select(
             F.get(parts, F.lit(0)).alias("qid"), F.get(parts, F.lit(1)).alias("query"), "line_no")
     rows = rows.withColumns({"qid": F.trim("qid"), "query": F.trim("query")})
@@ -226,11 +228,14 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     return number_rows(rows, bucket, [F.col("line_no"), F.col("pos")], name="step").select("line_no", "step", *LOG_FIELDS)
 
 
-def read_benchmark_tables(spark: SparkSession, path: str, cache: str | None = None, negatives: int = 5) -> DataFrame:
-    """(query, positive, negative_1..n) of a wide passage collection; surplus negatives are not read.
+def read_benchmark_tables(spark: SparkSession, path: str, cache: str | None = None, negatives: int | None = None) -> DataFrame:
+    """(query, positive, negative_1..n) of a wide passage collection; ``negatives`` reads only the first of them.
 
     With ``cache`` the pruned table is written there once and read from there afterwards.
     """
+    if negatives is None:
+        names = set(spark.read.parquet(path).columns)
+        negatives = next(i for i in range(len(names) + 1) if f"negative_{i + 1}" not in names)
     wanted = ["query", "positive", *[f"negative_{i}" for i in range(1, negatives + 1)]]
     if cache is None:
         return spark.read.parquet(path).select(*wanted)

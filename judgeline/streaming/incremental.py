@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -16,29 +17,55 @@ RUN_ROWS = T.StructType([
     T.StructField("rank", T.IntegerType())])
 
 
-class RunState:
-    """The top-k so far, in two alternating slots of a shared folder.
+class SlotState:
+    """A table that every batch replaces, in two slots of a shared folder.
 
-    Batch b reads slot (b - 1) mod 2 and overwrites slot b mod 2, so a batch that is repeated after a failure finds
-    the state it started from and writes the same result again.
+    A batch overwrites the slot that the last finished batch before it did not use, and then notes its number and slot
+    in ``done``. A batch that is repeated after a failure therefore starts from the same state and writes the same
+    result; batches without rows, which never run, leave the state as it is.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    DONE = "batch long, slot int"
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def _done(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.DONE).parquet(f"{self.path}/done")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.DONE)
 
-    def slot(self, batch_id: int) -> str:
-        return f"{self.path}/slot={batch_id % 2}"
+    def _last(self, below: int | None = None) -> Row | None:
+        done = self._done()
+        return (done if below is None else done.where(F.col("batch") < below)).orderBy(F.desc("batch")).head()
+
+    def _read(self, last: Row | None) -> DataFrame:
+        if last is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/slot={last['slot']}")
 
     def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], RUN_ROWS)
-        return self.spark.read.schema(RUN_ROWS).parquet(self.slot(batch_id - 1))
+        return self._read(self._last(batch_id))
+
+    def save(self, rows: DataFrame, batch_id: int) -> None:
+        last = self._last(batch_id)
+        slot = 0 if last is None else 1 - last["slot"]
+        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/slot={slot}")
+        self.spark.createDataFrame([(batch_id, slot)], self.DONE).coalesce(1).write.mode("append").parquet(f"{self.path}/done")
+
+    def latest(self) -> DataFrame:
+        """The state after the last finished batch, also when this application processed none."""
+        return self._read(self._last())
 
-    def save(self, run: DataFrame, batch_id: int) -> None:
-        run.select("qid", "did", "score", "rank").write.mode("overwrite").parquet(self.slot(batch_id))
 
-    def latest(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(RUN_ROWS).parquet(self.slot(batch_id))
+class RunState(SlotState):
+    """The top-k so far."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, RUN_ROWS)
 
 
 def incremental_topk(
@@ -56,19 +83,16 @@ def incremental_topk(
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # ``retrieve`` may read it more than once
         fresh = retrieve(batch).select("qid", "did", "score")
         seen = state.before(batch_id).select("qid", "did", "score")
         state.save(topk_run(seen.unionByName(fresh), k, keys=["qid"]), batch_id)
+        batch.unpersist()
 
     writer = docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def last_batch(query: StreamingQuery) -> int:
-    """Number of the last finished batch."""
-    return max((p["batchId"] for p in query.recentProgress), default=-1)
-
-
 def running_score_stats(scores: DataFrame) -> DataFrame:
     """Streaming (or batch) count, mean, population deviation, minimum and maximum of scores per query."""
     return scores.groupBy("qid").agg(
@@ -76,14 +100,10 @@ def running_score_stats(scores: DataFrame) -> DataFrame:
         F.min("score").alias("min"), F.max("score").alias("max"))
 
 
-def write_running(stats: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the complete statistics after every batch, over the previous ones, in two alternating slots."""
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
-
+def write_running(stats: DataFrame, state: SlotState, checkpoint: str) -> StreamingQuery:
+    """Write the complete statistics after every batch, in place of the previous ones."""
     return (
-        stats.writeStream.outputMode("complete").foreachBatch(put)
+        stats.writeStream.outputMode("complete").foreachBatch(state.save)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
