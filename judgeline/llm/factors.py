@@ -21,6 +21,8 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +78,47 @@ def _pieces(batch: pa.RecordBatch, window: int):
             yield NO_ID if doc is None else doc, mark, i, b" ".join(words[i:i + PIECE_WORDS + window - 1])
 
 
-def _rows_of(group, tool: PrefixHash, window: int, gram: int) -> pa.RecordBatch:
-    """One row per run of windows with the same anchor: ``anchor, doc, place, windows``."""
+class _Met:
+    """Runs of windows that a task has met more than once, with the smallest document that has them; bounded."""
+
+    LIMIT = 200_000
+
+    def __init__(self):
+        self.keys, self.least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def settle(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Which of the runs are known from a smaller document, of this batch or of an earlier one."""
+        order = np.lexsort((docs, keys))
+        k, d = keys[order], docs[order]
+        lead = np.ones(len(k), bool)
+        lead[1:] = k[1:] != k[:-1]
+        heads = np.flatnonzero(lead)
+        least = d[heads]
+        at = np.minimum(np.searchsorted(self.keys, k[heads]), max(0, len(self.keys) - 1))
+        if len(self.keys):
+            known = self.keys[at] == k[heads]
+            least = np.where(known, np.minimum(least, self.least[at]), least)
+        settled = np.empty(len(k), bool)
+        settled[order] = d > least[np.cumsum(lead) - 1]
+        again = np.diff(np.append(heads, len(k))) > 1
+        if again.any():
+            if len(self.keys) + again.sum() > self.LIMIT:
+                self.__init__()
+            both = np.concatenate((self.keys, k[heads][again]))
+            mins = np.concatenate((self.least, least[again]))
+            order = np.lexsort((mins, both))
+            both, mins = both[order], mins[order]
+            first = np.ones(len(both), bool)
+            first[1:] = both[1:] != both[:-1]
+            self.keys, self.least = both[first], mins[first]
+        return settled
+
+
+def _rows_of(group, tool: PrefixHash, met: _Met, window: int, gram: int) -> pa.RecordBatch:
+    """One row per run of windows with the same anchor: ``anchor, doc, place, n, windows``.
+
+    ``n`` is 0 for rows to be looked up, else the words of a factor that is settled already (without windows).
+    """
     data = np.frombuffer(b" ".join(g[3] for g in group), np.uint8)
     spaces = np.flatnonzero(data == 32)
     start, stop = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(data)]))
@@ -95,34 +136,40 @@ def _rows_of(group, tool: PrefixHash, window: int, gram: int) -> pa.RecordBatch:
     first = np.ones(len(at), bool)
     first[1:] = (anchor_at[1:] != anchor_at[:-1]) | (at[1:] != at[:-1] + 1)
     cuts = np.flatnonzero(first)
-    bytes_ = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :CHECK])
-    offsets = (np.append(cuts, len(at)) * CHECK).astype(np.int32)
+    sizes = np.diff(np.append(cuts, len(at)))
     own = piece[at[cuts]]
+    docs = np.array([g[0] for g in group], np.int64)[own]
+    anchor = grams[anchor_at[cuts]]
+    key = (anchor ^ (np.add.reduceat(hashes, cuts) * np.uint64(BASE))) + sizes.astype(np.uint64)
+    done = met.settle(key, docs)
+    anchor = np.where(done, (hashes[cuts] ^ np.uint64(0x5DEECE66D)) * np.uint64(BASE) + docs.view(np.uint64), anchor)
+    bytes_ = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :CHECK])[~np.repeat(done, sizes)]
+    offsets = (np.concatenate(([0], np.cumsum(np.where(done, 0, sizes)))) * CHECK).astype(np.int32)
     words_before = np.array([g[2] for g in group]) - (ends - counts)
     marks = np.array([g[1] for g in group], np.int64)[own] << MARK
     return pa.RecordBatch.from_arrays([
-        pa.array(grams[anchor_at[cuts]].view(np.int64)), pa.array(np.array([g[0] for g in group], np.int64)[own]),
-        pa.array(marks + at[cuts] + words_before[own]),
+        pa.array(anchor.view(np.int64)), pa.array(docs), pa.array(marks + at[cuts] + words_before[own]),
+        pa.array(np.where(done, sizes + window - 1, 0).astype(np.int32)),
         pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)])],
-        names=["anchor", "doc", "place", "windows"])
+        names=["anchor", "doc", "place", "n", "windows"])
 
 
 def anchored_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """All windows of ``doc_id, text`` by anchor."""
     def run(batches):
-        tool, group, size = PrefixHash(), [], 0
+        tool, met, group, size = PrefixHash(), _Met(), [], 0
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
                 for piece in _pieces(part, window):
                     group.append(piece)
                     size += len(piece[3])
                     if size > PIECE_BYTES:
-                        yield _rows_of(group, tool, window, gram)
+                        yield _rows_of(group, tool, met, window, gram)
                         group, size = [], 0
         if group:
-            yield _rows_of(group, tool, window, gram)
+            yield _rows_of(group, tool, met, window, gram)
 
-    return docs.mapInArrow(run, "anchor long, doc long, place long, windows binary")
+    return docs.mapInArrow(run, "anchor long, doc long, place long, n int, windows binary")
 
 
 def _wide(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +185,11 @@ def _parse_block(batches, window: int):
     """Rows sorted by (anchor, doc): factors ``doc, place, stop`` found in the block."""
     kept = (0, np.zeros(0, np.uint64), np.zeros(0, np.int64))  # anchor, its windows so far, their smallest documents
     for batch in batches:
+        settled = batch.filter(pc.greater(batch.column("n"), 0))
+        if settled.num_rows:
+            yield pa.RecordBatch.from_pydict({
+                "doc": settled.column("doc"), "place": settled.column("place"), "n": settled.column("n").cast(pa.int64())})
+        batch = batch.filter(pc.equal(batch.column("n"), 0))
         if not batch.num_rows:
             continue
         anchor, doc, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc", "place"))
@@ -192,6 +244,20 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     return blocks.mapInArrow(lambda batches: _parse_block(batches, window), "doc long, place long, n long")
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``doc_id, mark_of, packed``: texts compressed for their way through the shuffle."""
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("mark_of"),
+                     pa.array(map(pack, part.column("text").to_pylist()), pa.binary())],
+                    names=["doc_id", "mark_of", "packed"])
+
+    return rows.mapInArrow(run, "doc_id long, mark_of long, packed binary")
+
+
 def remove_repeats(
     docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
 ) -> DataFrame:
@@ -202,19 +268,20 @@ def remove_repeats(
     first = F.col("place").bitwiseAND(F.lit((1 << MARK) - 1))
     spans = factors.groupBy("doc", F.shiftright("place", MARK).alias("mark")).agg(
         F.array_sort(F.collect_list(F.struct(first.alias("a"), (first + F.col("n")).alias("b")))).alias("spans"))
-    both = rows.withColumn("place_id", F.coalesce("doc_id", F.lit(NO_ID))).join(
-        spans, (F.col("place_id") == F.col("doc")) & (mark == F.col("mark")), "left")
+    both = _packed(rows.withColumn("mark_of", mark)).withColumn("place_id", F.coalesce("doc_id", F.lit(NO_ID))).join(
+        spans, (F.col("place_id") == F.col("doc")) & (F.col("mark_of") == F.col("mark")), "left")
     ready = both.select(
-        "doc_id", "text", F.coalesce("spans.a", F.array().cast("array<long>")).alias("a"),
+        "doc_id", "packed", F.coalesce("spans.a", F.array().cast("array<long>")).alias("a"),
         F.coalesce("spans.b", F.array().cast("array<long>")).alias("b"))
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "packed", SLICE_BYTES // 4):
                 out = {"doc_id": part.column("doc_id"), "n_words": [], "n_removed": [], "text": []}
                 spans_of = (part.column(c).to_pylist() for c in ("a", "b"))
-                for text, a, b in zip(part.column("text").to_pylist(), *spans_of):
-                    words, kept, at = text.split(), [], 0
+                for packed, a, b in zip(part.column("packed").to_pylist(), *spans_of):
+                    words, kept, at = unpack(packed).split(), [], 0
                     for x, y in zip(a, b):
                         kept += words[at:x]
                         at = max(at, y)
