@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgeline.operators.retrieve import topk_run
+from judgeline.operators.sizing import pick
 
 WORD = r"[\p{L}\p{N}_]{2,}"  # Fixed value: a feature word has at least two word characters.
 
@@ -37,11 +38,15 @@ def tfidf_features(queries: DataFrame, corpus: DataFrame, max_terms: int | None
     return raw.select("kind", "id", "term", (F.col("w") / length).alias("weight"))
 
 
-def fit_text_vectors(queries: DataFrame, corpus: DataFrame, max_terms: int = 10_000) -> PipelineModel:
-    """A fitted pipeline text -> unit tf-idf vector."""
+def fit_text_vectors(queries: DataFrame, corpus: DataFrame, cells: int = 1024) -> PipelineModel:
+    """A fitted pipeline text -> unit tf-idf vector.
+
+    Every term of the collection counts: terms are hashed into ``cells`` numbers, whose size bounds a tree's work. For
+    the exact vectors of single terms see ``tfidf_features`` and ``pair_terms``.
+    """
     stages = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False),
-        CountVectorizer(inputCol="words", outputCol="counts", vocabSize=max_terms),
+        HashingTF(inputCol="words", outputCol="counts", numFeatures=cells),
         IDF(inputCol="counts", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features"),
     ]
@@ -51,11 +56,23 @@ def fit_text_vectors(queries: DataFrame, corpus: DataFrame, max_terms: int = 10_
 def pair_features(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, model: PipelineModel) -> DataFrame:
     """Adds ``features``: the query vector followed by the document vector. Unknown ids fail the job."""
     q = model.transform(queries.select("qid", F.col("query").alias("text"))).select("qid", F.col("features").alias("qv"))
-    d = model.transform(corpus.select("did", "text")).select("did", F.col("features").alias("dv"))
+    wanted = pick(corpus.select("did", "text"), pairs)  # only texts of the pairs are turned into vectors
+    d = model.transform(wanted).select("did", F.col("features").alias("dv"))
     rows = pairs.join(q, "qid", "left").join(d, "did", "left")
     return VectorAssembler(inputCols=["qv", "dv"], outputCol="features", handleInvalid="error").transform(rows).drop("qv", "dv")
 
 
+def pair_terms(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """The pairs' feature vectors in sparse rows: the columns of ``pairs`` and ``side`` (q or d), ``term, weight``.
+
+    ``features`` is the result of ``tfidf_features``: the whole vocabulary, one unit vector per text.
+    """
+    sides = [
+        pairs.join(features.where(F.col("kind") == kind).select(F.col("id").alias(key), F.lit(kind).alias("side"), "term", "weight"), key)
+        for kind, key in (("q", "qid"), ("d", "did"))]
+    return sides[0].unionByName(sides[1])
+
+
 def class_weights(labels: DataFrame, alpha: float = 1.0, classes: int | None = None) -> DataFrame:
     """(label, n, weight): (total / (C * n)) ** alpha, scaled to mean 1; an empty class fails the job."""
     counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -79,11 +96,18 @@ def positive_weight(labels: DataFrame, damped: bool = False) -> DataFrame:
     return labels.agg((F.try_divide(neg, pos) * (POSITIVE_FACTOR if damped else 1.0)).alias("positive_weight"))
 
 
-def train_pair_classifier(train: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 42):
-    """Weighted boosted trees on (features, label 0/1); positives weigh as much as there are negatives per positive."""
+def train_pair_classifier(train: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 42, dev: DataFrame | None = None):
+    """Weighted boosted trees on (features, label 0/1); positives weigh as much as there are negatives per positive.
+
+    With ``dev``, training stops when the error on it no longer falls.
+    """
     ratio = positive_weight(train).select("positive_weight").scalar()
-    weighted = train.withColumn("weight", F.when(F.col("label") == 1, ratio).otherwise(F.lit(1.0)))
-    return GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol="weight", seed=seed).fit(weighted)
+    rows = train.select("features", "label", F.lit(False).alias("dev"))
+    if dev is not None:
+        rows = rows.unionByName(dev.select("features", "label", F.lit(True).alias("dev")))
+    weighted = rows.withColumn("weight", F.when(F.col("label") == 1, ratio).otherwise(F.lit(1.0)))
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol="weight", seed=seed)
+    return (trees if dev is None else trees.setValidationIndicatorCol("dev")).fit(weighted)
 
 
 def predict(model, rows: DataFrame, threshold: float = 0.5) -> DataFrame:

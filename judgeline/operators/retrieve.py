@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,81 +185,93 @@ def token_recall_run(corpus: DataFrame, queries: DataFrame, k: int | None = None
 
 # --- vectors ---------------------------------------------------------------------------------------------------
 
-CELL_QUERIES = 1024
-CELL_NUMBERS = 1 << 22  # Numbers of document vectors in one block: 32 MiB as doubles.
+QUERY_BYTES = 32 << 20  # Query vectors that are broadcast at a time.
+STATE_ROWS = 4_000_000  # Best documents that a task holds for one block of queries.
+CELL_NUMBERS = 1 << 22  # Numbers of document vectors multiplied at a time: 32 MiB as doubles.
 SLICE = 64  # Query vectors multiplied at a time.
 
 
-def _best(row: np.ndarray, keep: np.ndarray, k: int | None) -> np.ndarray:
+def _best(row: np.ndarray, keep: np.ndarray, k: int) -> np.ndarray:
     """The positions of the k best scores; equal scores go by position, which follows the document id."""
-    if k is None or len(keep) <= k:
+    if len(keep) <= k:
         return keep
     r = np.round(row[keep], SCORE_DIGITS)
     near = np.flatnonzero(r >= np.partition(r, len(r) - k)[len(r) - k])
     return keep[near[np.lexsort((near, -r[near]))[:k]]]
 
 
-def _block_run(queries: DataFrame, docs: DataFrame, vec: str, cell_docs: int, cell_queries: int, cell) -> DataFrame:
-    """Every block pair of hashed queries and documents through ``cell``, a function of two pandas frames."""
-    q_blocks = max(1, math.ceil(queries.count() / cell_queries))
-    d_blocks = max(1, math.ceil(docs.count() / cell_docs))
-    q = queries.select(
-        "qid", vec, (hash32("q", F.col("qid")) % q_blocks).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("db"))
-    d = docs.select(
-        "did", vec, (hash32("d", F.col("did")) % d_blocks).cast("int").alias("db"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+def _search(queries: DataFrame, docs: DataFrame, vec: str, numbers: int, k: int, skip_self: bool, scores) -> DataFrame:
+    """The k best documents per query, with documents where they are.
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "did": [], "score": []}).astype({"qid": str, "did": str})
-        return pd.concat(cell(left, right.sort_values("did", kind="stable")))
-
-    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(
-        one, "qid string, did string, score double")
+    Queries are cut into blocks of bounded size (in bytes, and in the best documents that a task holds for them). Each
+    block is broadcast and every task keeps its k best documents per query while it reads its own documents, so that
+    only those are shuffled. ``scores(query vectors, document vectors)`` gives a matrix; ``numbers`` is the size of one
+    vector or bag of vectors.
+    """
+    spark = queries.sparkSession
+    per = max(1, min(QUERY_BYTES // (8 * numbers), STATE_ROWS // k))
+    blocks = max(1, math.ceil(queries.count() / per))
+    marked = queries.select("qid", vec, F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
+    step = max(1, CELL_NUMBERS // numbers)
+
+    def task(shared):
+        def run(batches):
+            qids, qvecs = shared.value
+            best = [(np.zeros(0), np.zeros(0, "U1"))] * len(qids)
+            for batch in batches:
+                ids = np.array(batch.column("did").to_pylist(), dtype=str)
+                order = np.argsort(ids, kind="stable")
+                vecs = batch.column(vec).to_pylist()
+                for low in range(0, len(order), step):
+                    part = order[low:low + step]
+                    dids, rows = ids[part], [vecs[i] for i in part]
+                    for at in range(0, len(qids), SLICE):
+                        found = scores(qvecs[at:at + SLICE], rows)
+                        for i, row in enumerate(found, at):
+                            keep = np.flatnonzero(dids != qids[i]) if skip_self else np.arange(len(row))
+                            keep = _best(row, keep, k)
+                            s, d = np.concatenate((best[i][0], row[keep])), np.concatenate((best[i][1], dids[keep]))
+                            if len(s) > k:
+                                first = np.lexsort((d, -np.round(s, SCORE_DIGITS)))[:k]
+                                s, d = s[first], d[first]
+                            best[i] = (s, d)
+            for qid, (s, d) in zip(qids, best):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([qid] * len(s), pa.string()), pa.array(d.tolist(), pa.string()), pa.array(s)],
+                        names=["qid", "did", "score"])
+
+        return run
+
+    out = None
+    for block in range(blocks):
+        rows = marked.where(F.col("block") == block).select("qid", vec).collect()  # at most ``per`` of them, give or take
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+        found = docs.select("did", vec).mapInArrow(task(shared), "qid string, did string, score double")
+        out = found if out is None else out.unionByName(found)
+    return topk_run(out, k)
 
 
 def dense_run(
-    queries: DataFrame,
-    docs: DataFrame,
-    sim: str = "dot",
-    scale: float = 1.0,
-    k: int | None = None,
-    skip_self: bool = False,
+    queries: DataFrame, docs: DataFrame, k: int, sim: str = "dot", scale: float = 1.0, skip_self: bool = False,
 ) -> DataFrame:
-    """Exact similarity of query vectors (qid, vec) and document vectors (did, vec).
-
-    Both sides are hashed into blocks of bounded size and every block pair is one group, so neither side is ever held
-    whole. With ``k`` a group hands on at most k rows per query.
-    """
+    """The k most similar documents (did, vec) per query (qid, vec), exactly; documents are not shuffled."""
     first = queries.select(F.size("vec")).head()
-    dim = max(1, first[0] if first else 1)
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame):
-        dids = right["did"].to_numpy()
-        dm = np.array(right["vec"].tolist(), dtype=np.float64)
+    def scores(left: list, right: list) -> np.ndarray:
+        qm, dm = np.array(left, dtype=np.float64), np.array(right, dtype=np.float64)
+        out = qm @ dm.T
         if sim == "cosine":
-            dn = np.linalg.norm(dm, axis=1)
-        for at in range(0, len(left), SLICE):
-            part = left.iloc[at : at + SLICE]
-            qm = np.array(part["vec"].tolist(), dtype=np.float64)
-            scores = qm @ dm.T
-            if sim == "cosine":
-                lengths = np.outer(np.linalg.norm(qm, axis=1), dn)
-                scores = np.divide(scores, lengths, out=np.zeros_like(scores), where=lengths > 0)
-            scores *= scale
-            for qid, row in zip(part["qid"], scores):
-                keep = np.flatnonzero(dids != qid) if skip_self else np.arange(len(row))
-                keep = _best(row, keep, k)
-                yield pd.DataFrame({"qid": qid, "did": dids[keep], "score": row[keep]})
-
-    run = _block_run(queries, docs, "vec", max(256, CELL_NUMBERS // dim), CELL_QUERIES, cell)
-    return run if k is None else topk_run(run, k)
+            lengths = np.outer(np.linalg.norm(qm, axis=1), np.linalg.norm(dm, axis=1))
+            out = np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 0)
+        return out * scale
+
+    return _search(queries, docs, "vec", max(1, first[0] if first else 1), k, skip_self, scores)
 
 
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int = 1000, sim: str = "dot", **kw) -> DataFrame:
     """Exact nearest neighbours: what a flat vector index answers."""
-    return dense_run(queries, docs, sim=sim, k=k, **kw)
+    return dense_run(queries, docs, k, sim=sim, **kw)
 
 
 def pair_similarity(pairs: DataFrame, queries: DataFrame, docs: DataFrame, sim: str = "dot") -> DataFrame:
@@ -294,25 +306,22 @@ def maxsim_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
     )
 
 
-def maxsim_run(queries: DataFrame, docs: DataFrame, k: int | None = None, skip_self: bool = False) -> DataFrame:
-    """Late-interaction scores of every pair, block by block as in ``dense_run``."""
+def maxsim_run(
+    queries: DataFrame, docs: DataFrame, k: int, skip_self: bool = False, candidates: DataFrame | None = None,
+) -> DataFrame:
+    """The k best documents per query by late interaction: among ``candidates`` (qid, did), or among all documents."""
+    if candidates is not None:
+        return topk_run(maxsim_scores(candidates, queries, docs), k)
     first = docs.select(F.size("vecs") * F.size(F.get("vecs", F.lit(0)))).head()
-    numbers = max(1, first[0] if first else 1)
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame):
-        dids = right["did"].to_numpy()
-        mats = [np.array([np.asarray(t, dtype=np.float64) for t in v]) for v in right["vecs"]]
+    def scores(left: list, right: list) -> np.ndarray:
+        mats = [np.array(v, dtype=np.float64) for v in right]
         starts = np.concatenate([[0], np.cumsum([len(m) for m in mats])[:-1]]).astype(int)
         stacked = np.concatenate(mats)
-        for qid, vecs in zip(left["qid"], left["vecs"]):
-            qm = np.array([np.asarray(t, dtype=np.float64) for t in vecs])
-            row = np.maximum.reduceat(qm @ stacked.T, starts, axis=1).sum(axis=0)
-            keep = np.flatnonzero(dids != qid) if skip_self else np.arange(len(row))
-            keep = _best(row, keep, k)
-            yield pd.DataFrame({"qid": qid, "did": dids[keep], "score": row[keep]})
-
-    run = _block_run(queries, docs, "vecs", max(64, CELL_NUMBERS // numbers), CELL_QUERIES, cell)
-    return run if k is None else topk_run(run, k)
+        return np.array([
+            np.maximum.reduceat(np.array(v, dtype=np.float64) @ stacked.T, starts, axis=1).sum(axis=0) for v in left])
+
+    return _search(queries, docs, "vecs", max(1, first[0] if first else 1), k, skip_self, scores)
 
 
 # --- substring joins -------------------------------------------------------------------------------------------

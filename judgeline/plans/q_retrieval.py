@@ -61,7 +61,7 @@ def token_recall_run(spark, sf):
 @query("dense_run_cosine", "run_dense", "SELECT qid, did, rank, round(score * 100, 6) score FROM run_dense")
 def dense_run_cosine(spark, sf):
     return shown(R.dense_run(
-        fx.query_vectors(spark, sf), fx.doc_vectors(spark, sf), "cosine", scale=100.0, k=20, skip_self=True))
+        fx.query_vectors(spark, sf), fx.doc_vectors(spark, sf), k=20, sim="cosine", scale=100.0, skip_self=True))
 
 
 part("all_dot", "vecs", "SELECT q.id qid, d.id did, list_dot_product(q.v, d.v) score FROM vecs q JOIN vecs d ON q.id <> d.id")

@@ -40,4 +40,4 @@ def test_every_sql_belongs_to_a_query():
 
 
 def test_model_based_queries_run(spark):
-    assert QUERIES["train_pair_classifier"](spark, SF).head().accuracy > 0.5
+    assert all(r.learned for r in QUERIES["train_pair_classifier"](spark, SF).collect())
