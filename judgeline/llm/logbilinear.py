@@ -70,6 +70,26 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def hot_words(counts: DataFrame, most: int = HOT_WORDS) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``most``: those above a count that a histogram on a log scale gives.
+
+    A few hundred histogram rows and the words themselves come to the driver, whatever the size of ``counts``.
+    """
+    step = F.floor(F.log2("c") * 16)
+    sizes = sorted(((r["s"], r["k"], r["low"]) for r in counts.groupBy(step.alias("s")).agg(
+        F.count(F.lit(1)).alias("k"), F.min("c").alias("low")).collect()), reverse=True)
+    least, total = None, 0
+    for _, k, low in sizes:
+        total += k
+        if total > most:
+            break
+        least = low
+    if least is None:
+        return []
+    found = counts.where(F.col("c") >= least).toArrow()
+    return sorted(zip(found["token"].to_pylist(), found["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
 class Lexicon:
     """The hot words with their classes, and what the corpus says about all words."""
 
@@ -168,7 +188,7 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> M
     rows = texts(train, id_col, text_col)
     counts = written(token_counts(rows), "token-counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).head()
-    hot = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(HOT_WORDS).collect()]
+    hot = hot_words(counts)
     own = [w for w, _ in [(END, 0)] + [x for x in hot if x[0] != END]][:CLASS_WORDS]
     bucket = F.pmod(F.crc32(F.expr("substring(token, -2, 2)")), F.lit(BUCKETS)).cast("int")
     bucket_sums = counts.where(~F.col("token").isin(own)).groupBy(bucket.alias("b")).agg(
@@ -177,8 +197,9 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> M
     shared = spark.sparkContext.broadcast(lexicon)
     k = lexicon.n_classes
     matrix = np.zeros(k * k, np.int64)
-    for r in class_pairs(rows, shared).collect() if sums["n"] else []:
-        matrix[r["pair"]] = r["n"]
+    if sums["n"]:
+        pairs = class_pairs(rows, shared).toArrow()
+        matrix[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     logs = train_nce(matrix.reshape(k, k)) if sums["n"] else np.zeros((k, k))
     return Model(counts, shared, spark.sparkContext.broadcast(logs.astype(np.float32)), sums["n"])
 
