@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding and decoding by backtracking.
 
-A text is cut where no piece of the model can reach across (before a space that follows another character, and around
-line ends); each part is encoded by itself. Aho-Corasick gives the pieces that start at each position. The longest that
+A text is cut where no piece of the model can reach across: before a space that follows another character, around line
+ends, and between any two characters that stand side by side in no piece. Each part is encoded by itself. Aho-Corasick gives the pieces that start at each position. The longest that
 is compatible with its left neighbour is taken; two pieces are compatible when merging their joined characters anew
 gives just these two. A position from which no piece leads on is marked in a bitfield and the search steps back. The
 encoding whose neighbours are all compatible is the one that merging the whole part would give.
@@ -26,7 +26,7 @@ from judgeline.llm.common import map_texts, texts
 
 SPACE = "▁"
 #: Parts kept with their ids per worker, and pairs kept with their verdict; both are emptied when full.
-PARTS, PAIRS = 150_000, 300_000
+PARTS, PAIRS = 250_000, 300_000
 #: Longer parts are not kept.
 LONGEST_KEPT = 48
 
@@ -53,6 +53,11 @@ class PieceCodec:
         self.finder.make_automaton()
         crossing = [p for p in self.ids if SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n")]
         self.parts = re.compile("(?s).+" if crossing else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        self.beside: dict[str, set[str]] = {}
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:]):
+                self.beside.setdefault(a, set()).add(b)
+        self.odd: dict[str, str] = {}
         self.most = max(map(len, self.ids))
         self.prefix: dict[str, str] = {}
         self.fits: dict[tuple[str, str], bool] = {}
@@ -132,16 +137,23 @@ class PieceCodec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for part in self._parts(text) for i in self.kept[part][1].split(",")]
+        return [int(i) for part in self._parts(text) for i in self.kept[part].split(",")]
 
     def _parts(self, text: str) -> list[str]:
         return self.parts.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode_joined(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, decoded text)."""
-        kept = self.kept
-        found = [kept[part] for part in self._parts(text)]
-        return sum([f[0] for f in found]), ",".join([f[1] for f in found]), "".join([f[2] for f in found])[1:]
+        """(number of ids, ids joined by commas, decoded text).
+
+        Every part's ids are decoded when it is first encoded; parts that do not come back as they were are kept apart.
+        """
+        parts = self._parts(text)
+        if not parts:
+            return 0, "", ""
+        ids = ",".join(map(self.kept.__getitem__, parts))
+        if self.odd:
+            parts = [self.odd.get(part, part) for part in parts]
+        return ids.count(",") + 1, ids, "".join(parts).replace(SPACE, " ")[1:]
 
     def decode(self, ids: list[int]) -> str:
         text = self._plain(ids)
@@ -165,7 +177,7 @@ class PieceCodec:
 
 
 class _Kept(dict):
-    """Part -> (number of ids, ids joined, decoded part), of bounded size.
+    """Part -> ids joined by commas, of bounded size.
 
     When full, the parts are put aside as the older half; those that are met again come back, the rest is forgotten.
     """
@@ -174,11 +186,23 @@ class _Kept(dict):
         super().__init__()
         self.codec, self.older = codec, {}
 
-    def __missing__(self, part: str):
+    def __missing__(self, part: str) -> str:
         value = self.older.get(part)
         if value is None:
-            ids = self.codec.part_ids(part)
-            value = (len(ids), ",".join(map(str, ids)), self.codec._plain(ids))
+            beside, none = self.codec.beside, ()
+            cuts = [] if part.lstrip(SPACE).isalpha() else [  # a word is rarely cut, and need not be
+                i for i in range(1, len(part)) if part[i] not in beside.get(part[i - 1], none)]
+            if cuts:
+                subs = [part[i:j] for i, j in zip([0, *cuts], [*cuts, len(part)])]
+                value = ",".join([self[sub] for sub in subs])
+                if self.codec.odd.keys() & set(subs):
+                    self.codec.odd[part] = "".join([self.codec.odd.get(sub, sub) for sub in subs])
+            else:
+                ids = self.codec.part_ids(part)
+                value = ",".join(map(str, ids))
+                back = self.codec._plain(ids)
+                if back != part.replace(SPACE, " "):
+                    self.codec.odd[part] = back
         if len(part) <= LONGEST_KEPT:
             if len(self) >= PARTS:
                 self.older = dict(self)
