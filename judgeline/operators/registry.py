@@ -3,25 +3,62 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgeline.functions.plugins import chunk_corpus
 from judgeline.operators import metrics as M
 from judgeline.operators import retrieve as R
-from judgeline.operators.fusion import Scorer, pool_chunks, rerank_topk
+from judgeline.operators.fusion import Scorer, fuse_runs, pool_chunks, rerank_topk
 
 Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
 def _chunked(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    chunks = chunk_corpus(corpus, "sliding", 256)
-    scores = R.bm25_run(chunks, queries, id_col="cid").withColumnRenamed("did", "cid").withColumn(
-        "did", F.substring_index("cid", "__chunk", 1))
-    return R.topk_run(pool_chunks(scores, "max"), k)
+    chunks = chunk_corpus(corpus, "sliding", 256).withColumn("doc", F.substring_index("cid", "__chunk", 1))
+    scores = R.bm25_run(chunks, queries, id_col="cid", parent="doc")
+    pooled = pool_chunks(scores.select("qid", F.col("did").alias("cid"), F.col("doc").alias("did"), "score"), "max")
+    return R.topk_run(pooled, k)
 
 
+def dense(embed: Callable[[Column], Column], sim: str = "cosine", chunk: int | None = None) -> Retriever:
+    """A retriever around an embedder of one's own (a column function, such as ``plugins.embedder`` makes).
+
+    With ``chunk``, windows of so many words are embedded and a document scores as its best window.
+    """
+    def run(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        q = queries.select("qid", embed(F.col("query")).alias("vec"))
+        if chunk is None:
+            return R.dense_run(q, corpus.select("did", embed(F.col("text")).alias("vec")), k, sim=sim)
+        chunks = chunk_corpus(corpus, "sliding", chunk)
+        found = R.dense_run(q, chunks.select(F.col("cid").alias("did"), embed(F.col("text")).alias("vec")), CHUNKS_PER_DOC * k, sim=sim)
+        return R.topk_run(pool_chunks(found.select(
+            "qid", F.col("did").alias("cid"), F.substring_index("did", "__chunk", 1).alias("did"), "score"), "max"), k)
+
+    return run
+
+
+def sparse(weigh: Callable[[Column], Column]) -> Retriever:
+    """A retriever on token weights: ``weigh`` turns a text into a map of tokens to weights."""
+    return lambda c, q, k: R.sparse_run(
+        q.select("qid", weigh(F.col("query")).alias("weights")), c.select("did", weigh(F.col("text")).alias("weights")), k)
+
+
+def fused(names: tuple[str, str, str], norm: str = "rrf", variant: str = "all_three", depth: int = 100) -> Retriever:
+    """A retriever that fuses three named ones, each cut at ``depth`` documents."""
+    def run(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        runs = [RETRIEVERS[n](corpus, queries, depth).select(F.lit(n).alias("run_id"), "qid", "did", "rank", "score") for n in names]
+        out = fuse_runs(reduce(DataFrame.unionByName, runs), names, norm, k=k)
+        return out.where(F.col("run_id") == variant).select("qid", "did", "score", "rank")
+
+    return run
+
+
+#: Chunks looked at per wanted document by dense retrieval on chunks.
+CHUNKS_PER_DOC = 10
+
 #: name -> (corpus, queries, k) -> run.
 RETRIEVERS: dict[str, Retriever] = {
     "bm25": lambda c, q, k: R.bm25_run(c, q, k=k),
@@ -33,7 +70,7 @@ RETRIEVERS: dict[str, Retriever] = {
 
 
 def register(name: str, retriever: Retriever) -> None:
-    """Add a retriever of one's own, for example a dense one around an ``embedder``."""
+    """Add a retriever of one's own, for example one made by ``dense``, ``sparse`` or ``fused``."""
     RETRIEVERS[name] = retriever
 
 

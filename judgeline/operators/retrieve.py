@@ -62,15 +62,16 @@ def idf_column(df: Column, n_docs: Column, form: str) -> Column:
     raise ValueError(f"unknown idf {form!r}")
 
 
-def document_terms(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(did, dl, term, tf) for the terms of ``vocabulary``; partitioned by did.
+def document_terms(docs: DataFrame, vocabulary: DataFrame, parent: str | None = None) -> DataFrame:
+    """(did, dl, term, tf) for the terms of ``vocabulary``; partitioned by did, or by ``parent`` (kept as a column).
 
     ``docs`` holds (did, toks). The semi-join runs on the exploded tokens before the shuffle, so only tokens that
     some query asks for travel.
     """
-    hits = docs.select("did", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).join(
+    more = [parent] if parent else []
+    hits = docs.select("did", *more, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).join(
         vocabulary, "term", "left_semi")
-    return hits.repartition("did").groupBy("did", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return hits.repartition(parent or "did").groupBy(*more, "did", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_run(
@@ -82,31 +83,33 @@ def bm25_run(
     lower: bool = True,
     k: int | None = None,
     id_col: str = "did",
+    parent: str | None = None,
 ) -> DataFrame:
     """BM25 scores of every (query, document) pair that shares a term; repeated query terms count repeatedly.
 
-    The weights table has one row per (query, term), so one count of the query side decides whether it may be
-    broadcast; otherwise Spark shuffles by term and AQE splits hot terms.
+    Texts are tokenized once for term and document frequencies, which share one shuffle, and once for the collection's
+    totals. ``parent`` names a column of chunks: scores keep it and stay partitioned by it, so that pooling chunks
+    needs no shuffle of its own. The weights table has one row per (query, term), so one count of the query side decides
+    whether it may be broadcast; otherwise Spark shuffles by term and AQE splits hot terms.
     """
-    docs = corpus.select(F.col(id_col).alias("did"), tokenize_ws("text", lower).alias("toks"))
+    more = [parent] if parent else []
+    docs = corpus.select(F.col(id_col).alias("did"), *more, tokenize_ws("text", lower).alias("toks"))
     terms = query_terms(queries, lower)
     small = hinter(terms)
     vocabulary = small(terms.select("term").distinct())
     totals = docs.agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).alias("t")).select("t")
-    df = (
-        docs.select(F.explode_outer(F.array_distinct("toks")).alias("term"))
-        .join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    )
+    held = document_terms(docs, vocabulary, parent)
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = terms.join(df, "term").select(
         "term", "qid", (F.col("qtf") * idf_column(F.col("df"), totals.scalar()["n"], idf)).alias("w"))
     tf = F.col("tf")
     length = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / totals.scalar()["avgdl"])
     saturation = tf * F.lit(k1 + 1.0) / (tf + length)
     scored = (
-        document_terms(docs, vocabulary).withColumn("s", saturation).select("did", "term", "s")
+        held.withColumn("s", saturation).select("did", *more, "term", "s")
         .join(small(weights), "term")
-        .groupBy("qid", "did").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
+        .groupBy("qid", *more, "did").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
     )
     return scored if k is None else topk_run(scored, k)
 

@@ -473,9 +473,49 @@ def plugin_metric(spark, sf):
     return out.select("run_id", "qid", F.round("judged_10", 6).alias("judged_10"), F.round("bpref", 6).alias("bpref"))
 
 
-@query("retriever_registry", "pq", """SELECT CASE run_id WHEN 'b' THEN 'bm25_preset' ELSE 'token_recall' END run_id, qid, round(map, 6) map, round(ndcg_cut_10, 6) ndcg_cut_10
-    FROM pq WHERE run_id IN ('b', 'c')""")
+part("reg_sparse", "tf qt docs qs", """SELECT qid, did, sum(1.0 / d.dl / q.dl) score FROM qt x JOIN tf USING (term)
+    JOIN (SELECT did, len(toks) dl FROM docs) d USING (did) JOIN (SELECT qid, len(toks) dl FROM qs) q USING (qid) GROUP BY qid, did""")
+part("reg_dense", "docs qs", f"""SELECT qid, did, (a * c + b * d) / (sqrt(a * a + b * b) * sqrt(c * c + d * d)) score FROM
+    (SELECT qid, CAST(length(query) AS DOUBLE) a, CAST(length(query) - length(replace(query, ' ', '')) AS DOUBLE) b FROM qs),
+    (SELECT did, CAST(length(text) AS DOUBLE) c, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) d FROM docs)""")
+part("reg_fused", "run_a run_b run_c", """SELECT qid, did, sum(1.0 / (60 + rank)) / 3 score FROM (SELECT qid, did, rank FROM run_a UNION ALL
+    SELECT qid, did, rank FROM run_b UNION ALL SELECT qid, did, rank FROM run_c) GROUP BY qid, did""")
+REGISTRY = {"bm25": "run_a", "bm25_preset": "run_b", "token_recall": "run_c", "exact": "docs qs", "sparse": "reg_sparse docs qs",
+            "dense": "reg_dense", "fused": "reg_fused", "bm25_chunked": "call"}
+_REG_SQL = {
+    "bm25": "SELECT qid, did, rank FROM run_a", "bm25_preset": "SELECT qid, did, rank FROM run_b",
+    "token_recall": "SELECT qid, did, rank FROM run_c",
+    "exact": f"SELECT qid, did, rank FROM ({topk('(SELECT qid, did, 1.0 score FROM qs JOIN docs ON contains(docs.text, qs.query))', 40)})",
+    "sparse": f"SELECT qid, did, rank FROM ({topk('reg_sparse', 40)})", "dense": f"SELECT qid, did, rank FROM ({topk('reg_dense', 40)})",
+    "fused": f"SELECT qid, did, rank FROM ({topk('reg_fused', 40)})",
+    "bm25_chunked": f"SELECT qid, did, rank FROM ({topk('(SELECT qid, did, max(score) score FROM call GROUP BY qid, did)', 40)})",
+}
+
+
+@query("retriever_registry", "docs qs " + " ".join(dict.fromkeys(" ".join(REGISTRY.values()).split())) + " gold",
+       " UNION ALL ".join(f"""SELECT '{n}' run_id, qid, count(*) n, CAST(sum(rank) AS BIGINT) ranks, count(*) FILTER (label >= 1) relevant
+    FROM ({sql}) LEFT JOIN gold USING (qid, did) GROUP BY qid""" for n, sql in _REG_SQL.items()))
 def retriever_registry(spark, sf):
+    """Every named retriever, with a dense, a sparse and a fused one registered: lists and the judged documents in them."""
+    weigh = lambda text: F.map_from_arrays(
+        F.array_distinct(tokenize_ws(text)),
+        F.array_repeat(F.lit(1.0) / F.size(tokenize_ws(text)), F.size(F.array_distinct(tokenize_ws(text)))))
+    G.register("dense", G.dense(lambda text: U.embedder(_lengths)(text)))
+    G.register("sparse", G.sparse(weigh))
+    G.register("fused", G.fused(("bm25", "bm25_preset", "token_recall"), depth=40))
+    corpus, asked, gold = fx.corpus(spark, sf), fx.queries(spark, sf), fx.gold(spark, sf)
+    out = None
+    for name in REGISTRY:
+        run = G.RETRIEVERS[name](corpus, asked, 40).select(F.lit(name).alias("run_id"), "qid", "did", "rank")
+        out = run if out is None else out.unionByName(run)
+    return out.join(gold, ["qid", "did"], "left").groupBy("run_id", "qid").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("rank").cast("long")).alias("ranks"),
+        F.count_if(F.col("label") >= 1).alias("relevant"))
+
+
+@query("evaluate_retriever", "pq", """SELECT CASE run_id WHEN 'b' THEN 'bm25_preset' ELSE 'token_recall' END run_id, qid, round(map, 6) map, round(ndcg_cut_10, 6) ndcg_cut_10
+    FROM pq WHERE run_id IN ('b', 'c')""")
+def evaluate_retriever(spark, sf):
     parts = [G.evaluate_retriever(n, fx.corpus(spark, sf), fx.queries(spark, sf), fx.gold(spark, sf), k=40) for n in ("bm25_preset", "token_recall")]
     out = parts[0].unionByName(parts[1])
     return out.select("run_id", "qid", F.round("map", 6).alias("map"), F.round("ndcg_cut_10", 6).alias("ndcg_cut_10"))

@@ -117,8 +117,9 @@ def chunk_corpus(spark, sf):
 
 
 def _chunk_scores(spark, sf):
-    scores = R.bm25_run(chunk_corpus(spark, sf), fx.queries(spark, sf), id_col="cid")
-    return scores.select("qid", F.col("did").alias("cid"), F.substring_index("did", "__chunk", 1).alias("did"), "score")
+    chunks = chunk_corpus(spark, sf).withColumnRenamed("did", "doc")
+    scores = R.bm25_run(chunks, fx.queries(spark, sf), id_col="cid", parent="doc")
+    return scores.select("qid", F.col("did").alias("cid"), F.col("doc").alias("did"), "score")
 
 
 def _pooled(how, sql):
