@@ -32,6 +32,9 @@ HEADLINES = [
     "pool_three_runs",
     "mine_negatives",
     "render_pair_requests",
+    "exclude_terms_join",
+    "mine_negatives_chunked",
+    "incremental_topk",
 ]
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from judgeline.functions.scoring import dot, norm
 from judgeline.operators.sizing import cumulate, value_buckets
 
 RUN_KEYS = ["run_id", "qid"]
@@ -256,6 +257,19 @@ def pairwise_accuracy(pairs: DataFrame, keys: list[str] | None = None) -> DataFr
         F.count(F.lit(1)).alias("n_pairs"), F.avg(right).alias("pairwise_accuracy"))
 
 
+def triplet_accuracy(triplets: DataFrame, vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Pairwise accuracy of (anchor, positive, negative) ids by the cosine of their vectors (id, vec)."""
+    def of(name: str) -> DataFrame:
+        return vectors.select(F.col("id").alias(name), F.col("vec").alias(f"_{name}"))
+
+    def cosine(a: str, b: str) -> Column:
+        return F.round(F.try_divide(dot(F.col(a), F.col(b)), norm(F.col(a)) * norm(F.col(b))), 9)
+
+    rows = triplets.join(of("anchor"), "anchor").join(of("positive"), "positive").join(of("negative"), "negative")
+    return pairwise_accuracy(rows.select(
+        *(keys or []), cosine("_anchor", "_positive").alias("score_pos"), cosine("_anchor", "_negative").alias("score_neg")), keys)
+
+
 def graded_pair_accuracy(scored: DataFrame, keys: list[str] | None = None, levels: int = 4) -> DataFrame:
     """Pairwise accuracy over all pairs of different grade in a group, without building the pairs.
 

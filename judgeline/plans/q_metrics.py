@@ -174,6 +174,24 @@ def pairwise_accuracy(spark, sf):
     return rounded(M.pairwise_accuracy(pos.join(neg, ["run_id", "qid"]), ["run_id"]), ("run_id", "n_pairs"))
 
 
+part("dense_same", "run_dense vecs", """SELECT qid, did, q.label = d.label AS same, round(list_dot_product(q.v, d.v)
+    / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))), 9) s FROM run_dense JOIN vecs q ON q.id = qid JOIN vecs d ON d.id = did""")
+
+
+@query("triplet_accuracy", "dense_same", """SELECT count(*) n_pairs, round(avg(CAST(p.s > n.s AS INT)), 6) pairwise_accuracy
+    FROM dense_same p JOIN dense_same n USING (qid) WHERE p.same AND NOT n.same""")
+def triplet_accuracy(spark, sf):
+    """In every vector's list, each neighbour of its own label against each of another: a bounded product per list."""
+    label = fx.vectors(spark, sf).select("id", "label")
+    rows = fx.run_dense(spark, sf).select("qid", "did").join(
+        label.select(F.col("id").alias("qid"), F.col("label").alias("ql")), "qid").join(
+        label.select(F.col("id").alias("did"), F.col("label").alias("dl")), "did")
+    side = lambda same, name: rows.where((F.col("ql") == F.col("dl")) == same).select(
+        F.col("qid").alias("anchor"), F.col("did").alias(name))
+    triplets = side(True, "positive").join(side(False, "negative"), "anchor")
+    return rounded(M.triplet_accuracy(triplets, fx.vectors(spark, sf)), ("n_pairs",))
+
+
 @query("graded_pair_accuracy", "scored", """SELECT x.qid, count_if(x.score > y.score) won, count(*) n_pairs,
     round(count_if(x.score > y.score) / count(*), 6) pairwise_accuracy
     FROM scored x JOIN scored y ON x.qid = y.qid AND x.label > y.label GROUP BY x.qid""")
