@@ -158,9 +158,10 @@ def test_knn_blocks_do_not_change_results(table, monkeypatch):
     vecs = [(str(i), [rng.random() for _ in range(6)]) for i in range(70)]
     q, d = table("qid string, vec array<float>", vecs[:20]), table("did string, vec array<float>", vecs)
     a = rows(R.knn_topk(q, d, k=4, sim="cosine").select("qid", "did", "rank"))
-    monkeypatch.setattr(R, "_block_run", lambda *a, real=R._block_run: real(*a[:3], 16, *a[4:]))
-    monkeypatch.setattr(R, "CELL_QUERIES", 7)
-    assert rows(R.knn_topk(q, d, k=4, sim="cosine").select("qid", "did", "rank")) == a
+    monkeypatch.setattr(R, "CELL_NUMBERS", 16 * 6)  # 16 documents at a time
+    monkeypatch.setattr(R, "QUERY_BYTES", 7 * 6 * 8)  # about 7 queries per block
+    monkeypatch.setattr(R, "SLICE", 3)
+    assert rows(R.knn_topk(q, d.repartition(5), k=4, sim="cosine").select("qid", "did", "rank")) == a
 
 
 def test_topk_ties_go_by_id(table):
