@@ -34,14 +34,20 @@ def fold(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(key.cast("binary")), F.lit(parts))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch whose texts sum to about ``limit`` bytes; a single longer text is a piece of its own."""
+def slices(
+    batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES, sizes: pa.Array | None = None,
+) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose texts sum to about ``limit`` bytes; a single longer text is a piece of its own.
+
+    ``sizes`` gives the bytes of each row where they are not those of ``column``.
+    """
     import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:
         return
-    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    sizes = pc.binary_length(batch.column(column)) if sizes is None else sizes
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0

@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,16 +173,16 @@ def _judge(samples: tuple[tuple[str, bytes], ...]):
 
 
 def identify_rows(
-    docs: DataFrame, samples: tuple[tuple[str, bytes], ...], id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text_col: str = "text",
 ) -> DataFrame:
-    """``row`` (a struct of all columns of ``docs``), ``doc_id, lang_pred, score, bits`` for every row.
+    """``row`` (a struct of all columns of ``docs``), ``lang_pred, score, bits`` for every row.
 
     ``score`` is how far the best language lies before the next (0 to 1); ``bits`` is what its parse needs per byte.
+    Texts travel once, inside ``row``.
     """
     letter = text_has_letter(F.col(f"`{text_col}`")).alias("letter")
-    row = F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")
-    rows = texts(docs, id_col, text_col, letter, row)
-    return _mapped(rows, samples, ["row", "doc_id"])
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), letter)
+    return _mapped(rows, samples, "row", lambda batch: batch.column("row").field(text_col).cast(pa.binary()).fill_null(b""))
 
 
 def identify(
@@ -189,20 +190,20 @@ def identify(
 ) -> DataFrame:
     """``doc_id, lang_pred, score, bits`` for every row."""
     letter = text_has_letter(F.col(f"`{text_col}`")).alias("letter")
-    return _mapped(texts(docs, id_col, text_col, letter), samples, ["doc_id"])
+    return _mapped(texts(docs, id_col, text_col, letter), samples, "doc_id", lambda batch: batch.column("text"))
 
 
-def _mapped(rows: DataFrame, samples: tuple[tuple[str, bytes], ...], passed: list[str]) -> DataFrame:
+def _mapped(rows: DataFrame, samples: tuple[tuple[str, bytes], ...], passed: str, text_of) -> DataFrame:
     def run(batches):
         judge = _judge(samples)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, sizes=pc.binary_length(text_of(batch))):
                 letter = part.column("letter").to_numpy(zero_copy_only=False).astype(bool)
-                lang, score, bits = judge(part.column("text").to_pylist(), letter)
+                lang, score, bits = judge(text_of(part).to_pylist(), letter)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in passed] + [pa.array(lang, pa.string()), pa.array(score), pa.array(bits)],
-                    names=[*passed, "lang_pred", "score", "bits"])
+                    [part.column(passed), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)],
+                    names=[passed, "lang_pred", "score", "bits"])
 
-    schema = T.StructType(rows.select(*passed).schema.fields + T.StructType.fromDDL(
+    schema = T.StructType(rows.select(passed).schema.fields + T.StructType.fromDDL(
         "lang_pred string, score double, bits double").fields)
     return rows.mapInArrow(run, schema)
