@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from judgeline.session import written
 SLICE_BYTES = 4 << 20
 #: Rows of one key that are compared in one place; more are dealt out in blocks of this size.
 HOT = 4096
+#: Of shingle hashes.
+SEED = 42
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +44,6 @@ def slices(
 
     ``sizes`` gives the bytes of each row where they are not those of ``column``.
     """
-    import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:
@@ -56,13 +58,30 @@ def slices(
         start = stop
 
 
-def meet(rows: DataFrame, keys: list[str], counted: DataFrame, hot: int = HOT) -> DataFrame:
+def shingle_hashes(text: bytes, width: int, hasher) -> np.ndarray:
+    """A hash for each ``width`` consecutive lower-cased (A-Z) white-space words; fewer words are one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - width + 1)
+    line = b" ".join(words)
+    if n == 1:
+        return np.array([hasher(line, SEED)], np.uint64)
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], stops[:n - 1])).tolist()
+    return np.array([hasher(line[a:b], SEED) for a, b in zip(starts, (stops[width - 1:] - 1).tolist())], np.uint64)
+
+
+def meet(
+    rows: DataFrame, keys: list[str], counted: DataFrame, hot: int = HOT, *, weight: Column | None = None,
+) -> DataFrame:
     """Rows of equal ``keys`` in one place, sorted by them and ``block``; every two rows of a key meet in some block.
 
-    Keys with more than ``hot`` rows in ``counted`` are split: their rows fall into blocks by ``id``, and each pair of
-    blocks is a place of its own. Counts are summed map-side.
+    Keys with more than ``hot`` rows in ``counted`` (or more than ``hot`` in sum of their rows' ``weight``) are split:
+    their rows fall into blocks by ``id``, and each pair of blocks is a place of its own. Counts are summed map-side.
     """
-    many = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    many = counted.groupBy(*keys).agg(size.alias("n")).where(F.col("n") > hot)
     many = written(many.select(*keys, F.ceil(F.col("n") / hot).alias("blocks")), "hot-keys")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
     with_all = F.transform(

@@ -9,9 +9,8 @@ Only distinct fingerprints take part, so groups of copies cost one row. Equal se
 that more than ``common.HOT`` fingerprints share is dealt out as pairs of blocks. A place with many fingerprints hands on a
 spanning forest of its links, never all pairs.
 
-A fingerprint has 64 bits, or several lanes of 64 bits for a finer measure of similarity. With ``similar``, links are the
-pairs whose estimated shingle similarity reaches a bound: of a share d of differing bits, the cosine of pi * d is that of
-the shingle counts, and a cosine c stands for a Jaccard similarity of c / (2 - c).
+A fingerprint has 64 bits, or several lanes of 64 bits for a finer measure of similarity. It only estimates the
+similarity of texts: ``minhash.drop_near`` compares shingle sets.
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; a text of fewer than ``width`` words
 is one shingle. Null ids take part; a component's id is the smallest non-null one. Repeated rows are reported as often
@@ -22,25 +21,22 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgeline.llm.common import map_texts, meet, texts
+from judgeline.llm.common import map_texts, meet, shingle_hashes, texts
 from judgeline.llm.components import components
+from judgeline.llm.minhash import drop_near  # noqa: F401
 from judgeline.session import written
 
 BITS = 64
-SEED = 42
 #: Groups up to this size hand on all their links, larger ones a spanning forest.
 ALL_LINKS = 24
 #: Shingle hashes whose bits are summed at once.
 CHUNK = 1 << 16
-#: The finer measure: lanes compared, lanes searched, their segments, and the distance within which none is missed.
-LANES, SEARCHED, SEGMENTS, CERTAIN = 4, 2, 8, 15
 
 
 def _lane(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -55,18 +51,10 @@ def _lane(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int, hasher, lanes: int = 1) -> list[int]:
     """SimHash of lower-cased (A-Z) white-space words: a bit is 1 if set in over half of the shingle hashes."""
-    words = text.lower().split()
-    if not words:
+    hashes = shingle_hashes(text, width, hasher)
+    n = len(hashes)
+    if not n:
         return [0] * lanes
-    n = max(1, len(words) - width + 1)
-    line = b" ".join(words)
-    if n == 1:
-        hashes = np.array([hasher(line, SEED)], np.uint64)
-    else:
-        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], stops[:n - 1])).tolist()
-        hashes = np.array(
-            [hasher(line[a:b], SEED) for a, b in zip(starts, (stops[width - 1:] - 1).tolist())], np.uint64)
     out = []
     for k in range(lanes):
         ones = np.zeros(BITS, np.int64)
@@ -236,40 +224,6 @@ def near_duplicates(
     return marked.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_distance(similarity: float, lanes: int = LANES) -> int:
-    """Differing bits up to which the estimated Jaccard similarity is at least ``similarity``."""
-    return int(BITS * lanes * acos(2 * similarity / (1 + similarity)) / pi)
-
-
-def drop_near(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one per component stays: that with the smallest id.
-
-    Fingerprints of ``LANES`` lanes link at an estimated similarity of ``similarity`` or more. The search looks at
-    ``SEARCHED`` lanes: pairs within ``CERTAIN`` of their bits are all found, more distant ones nearly all (a pair is
-    found if any of ``SEGMENTS`` segments differs in at most one bit). Null ids come last; among rows that share the id,
-    the text's hash decides, and of equal rows one stays.
-    """
-    names, mark = lane_columns(LANES), F.xxhash64(F.col(f"`{text_col}`"))
-    marked = written(simhash(docs, width, id_col, text_col, mark.alias("mark"), LANES), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    distinct = marked.groupBy(*names).agg(F.min(order).alias("first"))
-    nodes = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    found = links(nodes, similar_distance(similarity), segment_plan(CERTAIN, SEGMENTS, SEARCHED), LANES)
-    named = written(_with_roots(nodes.select("id", "first"), found), "roots")
-    kept = written(named.groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), "kept")
-    same = marked.join(
-        kept.hint("merge"), (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    ties = same.groupBy(F.col("mark").alias("_mark"), F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_ties"))
-    found = docs.withColumn("_own", mark).join(
-        written(ties, "ties").hint("merge"),
-        (F.col("_own") == F.col("_mark")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")))
-    once = found.where("_ties = 1").unionByName(found.where("_ties > 1").dropDuplicates(["_own", "_id"]))
-    return once.select(*[f"`{c}`" for c in docs.columns])
-
-
 def hex_fingerprint(fp):
     """16 lower-case hex digits of a fingerprint column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -22,6 +22,7 @@ from judgeline.llm import (
     hosts,
     licences,
     logbilinear,
+    minhash,
     mixing,
     pieces,
     simhash,
@@ -183,6 +184,39 @@ def test_drop_near_keeps_one_of_each_group_and_clean_rows(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted([3 * k + 1 for k in range(10)] + [500 + k for k in range(20)])
 
 
+def numbered(k, n=204):
+    return [f"t{k}w{i}" for i in range(n)]
+
+
+def test_drop_near_holds_the_bound_of_exact_similarity(spark):
+    """200 shingles, of which a changed end of c words leaves 200 - c: similarity 178 / 222 is linked, 177 / 223 is not."""
+    rows = []
+    for k in range(60):
+        words = numbered(k)
+        for j, c in ((0, 0), (1, 22) if k < 30 else (1, 23)):
+            rows.append((2 * k + j, " ".join(words[:204 - c] + [f"u{k}v{i}" for i in range(c)])))
+    rows += [(1000 + i, " ".join(numbered(99, 9 - i))) for i in range(2)]  # 4 of 5 shingles
+    got = {r.doc_id for r in minhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 5).collect()}
+    assert got == {2 * k for k in range(60)} | {2 * k + 1 for k in range(30, 60)} | {1000}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_drop_near_equals_brute_force_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng, rows = random.Random(4), []
+    for k in range(4):
+        for i in range(12):
+            words = numbered(k, 120)
+            for _ in range(rng.randrange(0, 6)):
+                words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * k + i, " ".join(words)))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = brute_components([r[0] for r in rows], lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = minhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 5).collect()
+    assert 4 < len(set(want.values())) < 48
+    assert sorted(r.doc_id for r in got) == sorted(set(want.values()))
+
+
 # --- op2 ---------------------------------------------------------------------------------------------------------
 
 LICENCE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
