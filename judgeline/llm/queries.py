@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from judgeline.llm import crossparse, digest_index, edits, factors, hosts, licences, logbilinear, mixing, pieces, simhash
+from judgeline.llm.audit_queries import QUERIES as AUDIT_QUERIES
+from judgeline.llm.audit_queries import SQL as AUDIT_SQL
 from judgeline.llm.common import fold, table
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL = dict(AUDIT_QUERIES), dict(AUDIT_SQL)
 
 
 def query(sql: str | None = None):
