@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgeline.llm import filter_audit
+from judgeline.llm import filter_audit, secrets
 from judgeline.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -50,3 +50,49 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_filter_audit"] = op11_filter_audit
+
+
+def _matches_sql(kind: int, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT r, owner, {kind} AS kind, unnest(range(1, len(m) + 1)) AS i, m, g FROM (SELECT r, owner,
+        regexp_extract_all(t, '{quoted}') AS m, list_transform(string_split_regex(t, '{quoted}'), lambda x: length(x)) AS g FROM d)"""
+
+
+SQL["op12_secret_scan"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source AS owner FROM documents),
+a AS (""" + "\n    UNION ALL ".join(
+    _matches_sql(i, p) for i, (p, _, _) in enumerate([*secrets.BASE.values(), *secrets.ADDED.values()])) + """),
+b AS (SELECT r, owner, kind, m[i] AS match, list_sum(g[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start FROM a),
+c AS (SELECT r, owner, kind, start::BIGINT AS start, (start + length(match))::BIGINT AS stop,
+    CASE WHEN kind = 0 THEN regexp_extract(match, '""" + secrets.ASSIGN.replace("'", "''") + """', 2) ELSE match END AS value FROM b),
+v AS (SELECT * FROM c WHERE length(value) >= [6, 20, 24, 64, 32, 20][kind + 1] AND (kind <> 5 OR (regexp_matches(value, '[0-9]')
+    AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))),
+o AS (SELECT value, count(DISTINCT coalesce('+' || owner, '')) AS owners FROM v GROUP BY value),
+j AS (SELECT v.*, CASE WHEN owners >= 3 OR NOT (length(v.value) >= 8 AND regexp_matches(v.value, '[0-9]') AND regexp_matches(v.value, '[A-Za-z]')
+    AND NOT regexp_matches(v.value, '(?i)example|sample|dummy|changeme|placeholder|your|xxxx|secret|test')
+    AND len(list_distinct(string_split(v.value, ''))) >= 6) THEN 'example' WHEN owners = 1 THEN 'live' ELSE 'shared' END AS verdict
+    FROM v JOIN o ON v.value = o.value),
+k AS (SELECT * FROM j WHERE kind < 3 OR (verdict = 'live' AND NOT EXISTS (SELECT 1 FROM j x WHERE x.r = j.r AND x.kind < 3
+    AND x.start < j.stop AND j.start < x.stop))),
+n AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+    string_agg(['assign', 'access', 'hex', 'private', 'signed', 'opaque'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans,
+    string_agg(verdict, ',' ORDER BY start, kind) AS verdicts FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts FROM d LEFT JOIN n ON d.r = n.r
+"""
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the owners, documents their repositories."""
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents"), owner=F.col("source"), repo=F.col("doc_id"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["name"] == k)).cast("long").alias(f"n_{k}")
+    listed = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: s["verdict"]), ",").alias("verdicts"))
+
+
+QUERIES["op12_secret_scan"] = op12_secret_scan

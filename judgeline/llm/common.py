@@ -92,6 +92,27 @@ def meet(
     return dealt.repartition(*keys, "block").sortWithinPartitions(*keys, "block")
 
 
+def join_split(
+    rows: DataFrame, side: DataFrame, keys: list[str], spread: str, how: str = "inner", places: int = 65_536,
+) -> DataFrame:
+    """``rows`` joined with ``side`` (few rows per key) on ``keys``, with the rows of frequent keys dealt to many tasks.
+
+    Rows are counted by hash of their key in at most ``places`` places, whatever the size of ``rows``, so that these
+    counts may be broadcast. Places far above the average are split by ``spread``, and ``side`` is repeated for each part.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(places)).cast("int")
+    counts = rows.groupBy(place.alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(counts, "places")
+    mean = counts.agg((F.coalesce(F.sum("_n"), F.lit(0)) / places).alias("m")).scalar()
+    parts = F.ceil(F.col("_n") / (mean * 4 + HOT)).cast("int")
+    many = F.broadcast(counts.select("_place", parts.alias("_parts")).where("_parts > 1"))
+    dealt = rows.withColumn("_place", place).join(many, "_place", "left").withColumn(
+        "_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_place", "_parts")
+    repeated = side.withColumn("_place", place).join(many, "_place", "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_place", "_parts")
+    return dealt.join(repeated, [*keys, "_part"], how).drop("_part")
+
+
 def map_texts(df: DataFrame, make: Callable, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded size.
 
