@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgeline.llm import filter_audit, secrets
+from judgeline.llm import filter_audit, prefix_trie, secrets
 from judgeline.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -96,3 +96,37 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_secret_scan"] = op12_secret_scan
+
+
+SQL["op13_conversation_trie"] = """
+WITH RECURSIVE t AS (SELECT conv_id AS c, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+k(c, s, i, crc) AS (SELECT DISTINCT c, c::VARCHAR, 0, 4294967295::BIGINT FROM t
+    UNION ALL SELECT c, s, i + 1, CASE WHEN i % 9 = 0 THEN xor(crc, ascii(substr(s, i // 9 + 1, 1))::BIGINT)
+        WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END FROM k WHERE i < 9 * length(s)),
+h AS (SELECT c, c - c % 100 AS b, xor(crc, 4294967295) % 6 AS h FROM k WHERE i = 9 * length(s)),
+u AS (SELECT h.c, 0 AS own, t.i, x FROM h JOIN t ON t.c = b AND t.i <= h UNION ALL SELECT h.c, 1, t.i, x FROM h JOIN t ON t.c = h.c AND t.i > h),
+l AS (SELECT h.c, coalesce(list(x ORDER BY own, i) FILTER (x IS NOT NULL), []) AS seq FROM h LEFT JOIN u ON u.c = h.c GROUP BY h.c),
+p AS (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS depth FROM l),
+n AS (SELECT depth, seq[1:depth] AS pre, min(c) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CASE WHEN len(seq) = depth THEN c::VARCHAR END, ',' ORDER BY c), '') AS ends FROM p GROUP BY depth, seq[1:depth]),
+a AS (SELECT depth, pre, conv_id, n_convs, ends, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(pre[depth].t) END AS saved FROM n),
+k2 AS (SELECT depth - 1 AS depth, pre[1:depth - 1] AS pre, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+b AS (SELECT a.*, coalesce(n_children, 0) AS n_children FROM a LEFT JOIN k2 ON a.depth = k2.depth AND a.pre = k2.pre),
+e AS (SELECT pre[1:d] AS pre, d AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM b) GROUP BY pre[1:d], d)
+SELECT b.conv_id, b.depth, q.conv_id AS parent_conv_id, b.n_convs, b.n_children, e.n_leaves::BIGINT AS n_leaves,
+    e.saved::BIGINT AS saved_tokens, sha256(b.ends) AS ends_sha256
+FROM b JOIN e ON b.depth = e.depth AND b.pre = e.pre LEFT JOIN b q ON q.depth = b.depth - 1 AND q.pre = b.pre[1:b.depth - 1]
+"""
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations grafted on the first of each hundred ids, by up to five turns."""
+    return prefix_trie.conversation_trie(
+        table(spark, sf_dir, "conversations"), base=lambda c: c - c % 100,
+        head=lambda c: F.crc32(c.cast("string").cast("binary")) % 6, most=5)
+
+
+QUERIES["op13_conversation_trie"] = op13_conversation_trie
