@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgeline.functions.text import tokenize_ws
 from judgeline.operators.retrieve import LONG_TERM, bm25_run, topk_run
-from judgeline.operators.sizing import hash32, hash_key, hinter, number_by_hash, number_rows, pick
+from judgeline.operators.sizing import hash_key, number_by_hash, number_rows, pick
+from judgeline.operators.termscan import ring_negatives
 from judgeline.session import written
 
-RING = 1 << 32
-
-
 def pool_three_runs(runs: DataFrame, names: list[str], k: int = 40) -> DataFrame:
     """k documents per query out of three runs: shared by all, by 1 and 2, by 2 and 3, by 1 and 3, then singles in turn.
 
@@ -47,78 +43,6 @@ def hard_negatives(run: DataFrame, positives: DataFrame, k: int = 15, require_fu
     return out.where(F.size("negatives") == k) if require_full else out
 
 
-def _ring(corpus: DataFrame, seed: str, bits: int) -> DataFrame:
-    point = hash32(seed, F.col("did"))
-    return corpus.withColumn("_point", point).withColumn("_cell", F.shiftright(F.col("_point"), 32 - bits).cast("long"))
-
-
-def _clean(text: Column, terms: Column) -> Column:
-    return F.forall(terms, lambda t: ~F.contains(text, t))
-
-
-def ring_negatives(wanted: DataFrame, corpus: DataFrame, used: DataFrame, seed: str = "42", cell_docs: int = 64):
-    """Documents for queries that still need some, without the query's longer terms first, then any.
-
-    ``wanted`` holds (qid, rem, terms), ``corpus`` (did, text), ``used`` (qid, did). Documents lie on a hash ring and a
-    query walks it from its own hash. It first meets the cells just ahead of it, about four times what it needs; a
-    query that found enough clean documents there is done, since any later one lies further away. The others walk
-    on, to sixteen times as far, and whoever is still short looks through the whole rest, where a document counts if
-    it is clean, or if the query is short of any documents at all. The walk tables are broadcast when their counted
-    size allows it, so that texts stay where they are. Returns (qid, did, tier 3 or 4, rn).
-    """
-    n_docs = corpus.count()
-    bits = max(1, min(24, math.ceil(math.log2(max(n_docs, 2) / cell_docs)) if n_docs > cell_docs else 1))
-    cells, width = 1 << bits, RING >> bits
-    ring = _ring(corpus.select("did", F.lower("text").alias("text")), seed, bits)
-    start = hash32(seed, "q", F.col("qid"))
-    queries = written(
-        wanted.where(F.col("rem") > 0).withColumn("_start", start)
-        .withColumn("_first", F.shiftright("_start", 32 - bits).cast("long")), "ring-queries")
-    distance = F.pmod(F.col("_point") - F.col("_start"), F.lit(RING))
-    tier = F.when(_clean(F.col("text"), F.col("terms")), 3).otherwise(4)
-    free = used.select("qid", "did")
-    cols = ["qid", "rem", "did", "_dist", "tier"]
-
-    def steps(factor: int) -> Column:
-        """Cells to walk for ``factor`` times the wanted number; the last cell, cut by the start, is left to the rest."""
-        return F.least(F.ceil(F.col("rem") * factor / cell_docs) + 1, F.lit(cells - 1)).cast("long")
-
-    def reach(last: Column) -> Column:
-        """The ring distance up to which the walked cells cover everything."""
-        return (F.col("_first") + last + 1) * width - F.col("_start")
-
-    found, short, walked = None, queries, F.lit(-1).cast("long")
-    for factor in (4, 64):
-        last = steps(factor)
-        far = short.where(last > walked).withColumns({"_from": F.greatest(reach(walked), F.lit(0)), "_to": reach(last)})
-        walk = far.withColumn("_step", F.explode(F.sequence(walked + 1, last))).withColumn(
-            "_cell", (F.col("_first") + F.col("_step")) % cells)
-        met = ring.join(hinter(walk)(walk), "_cell").withColumn("_dist", distance).where(
-            (F.col("_dist") >= F.col("_from")) & (F.col("_dist") < F.col("_to"))).withColumn("tier", tier)
-        met = written(met.select(*cols).join(free, ["qid", "did"], "left_anti"), "ring-walk")
-        found = met if found is None else found.unionByName(met)
-        seen = found.groupBy("qid").agg(
-            F.count(F.lit(1)).alias("_any"), F.count_if(F.col("tier") == 3).alias("_clean"))
-        short = written(queries.join(seen, "qid", "left").where(F.coalesce("_clean", F.lit(0)) < F.col("rem")), "ring-short")
-        walked = last
-    arcs = short.withColumn("_reach", reach(walked)).withColumn("_arc", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    rest = (
-        ring.withColumn("_arc", F.shiftright("_point", 26).cast("int")).join(hinter(arcs)(arcs), "_arc")
-        .withColumn("_dist", distance).where(F.col("_dist") >= F.col("_reach")).withColumn("tier", tier)
-        .where((F.col("tier") == 3) | (F.coalesce("_any", F.lit(0)) < F.col("rem")))
-        .select(*cols).join(free, ["qid", "did"], "left_anti")
-    )
-    found = found.unionByName(rest)
-    # On a large ring, first within ever coarser arcs, so that no task sorts a whole corpus for one query.
-    for arc in (a for a in (1 << 8, 1 << 16) if a < cells):
-        inside = Window.partitionBy("qid", "_arc").orderBy("tier", "_dist", "did")
-        found = found.withColumn("_arc", F.floor(F.col("_dist") / (width * arc))).withColumn(
-            "_n", F.row_number().over(inside)).where(F.col("_n") <= F.col("rem")).drop("_n", "_arc")
-    order = Window.partitionBy("qid").orderBy("tier", "_dist", "did")
-    return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= F.col("rem")).select(
-        "qid", "did", "tier", "rn")
-
-
 def mine_negatives(
     corpus: DataFrame,
     queries: DataFrame,
@@ -181,6 +105,16 @@ def mine_negatives_chunked(chunks: DataFrame, queries: DataFrame, positives: Dat
     return mine_negatives(flat, queries, pos, neg, **kw).withColumnRenamed("did", "cid")
 
 
+def shortage_report(pairs: DataFrame, neg_ratio: int = 6) -> DataFrame:
+    """(qid, wanted, found, missing): negatives that the ratio asks for and those that mining found.
+
+    With ratio 0 the annotated negatives are what is wanted.
+    """
+    counts = pairs.groupBy("qid").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("found"))
+    wanted = F.col("p") * neg_ratio if neg_ratio else F.col("found")
+    return counts.select("qid", wanted.alias("wanted"), "found", F.greatest(wanted - F.col("found"), F.lit(0)).alias("missing"))
+
+
 def tier_report(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 

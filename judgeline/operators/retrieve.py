@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from judgeline.functions.scoring import dot, maxsim, norm
 from judgeline.functions.text import tokenize_ws
-from judgeline.operators.sizing import fits, hash32, hinter
+from judgeline.operators.sizing import fits, hinter
+from judgeline.operators.termscan import count_free, free_documents
 from judgeline.session import written
 
 SCORE_DIGITS = 9
@@ -391,21 +392,17 @@ def _any(df: DataFrame) -> bool:
 LONG_TERM = 4  # Fixed value: terms of fewer characters are not used to exclude documents.
 
 
-def excluded_terms(queries: DataFrame, lower_text: bool = True) -> DataFrame:
+def excluded_terms(queries: DataFrame) -> DataFrame:
     """(qid, term): query tokens longer than three characters, lower-cased."""
     words = F.filter(tokenize_ws("query"), lambda t: F.length(t) >= LONG_TERM)
     return queries.select("qid", F.explode(F.array_distinct(words)).alias("term"))
 
 
 def exclude_terms_counts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, n_without): documents that hold none of the query's longer terms, not even inside a word.
+    """(qid, n_without): documents that hold none of the query's longer terms, not even inside a word."""
+    return count_free(corpus, queries, excluded_terms(queries))
 
-    The pairs themselves are nearly queries x documents, so only documents that do hold a term are joined and the
-    rest is counted; ``mine_negatives`` walks the free documents where it needs some of them.
-    """
-    terms = excluded_terms(queries)
-    hits = docs_with_terms(corpus, terms, LONG_TERM).join(hinter(terms)(terms), "term").select("qid", "did").distinct()
-    per_q = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_with"))
-    n_docs = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return queries.select("qid").join(per_q, "qid", "left").select(
-        "qid", (n_docs - F.coalesce("n_with", F.lit(0))).alias("n_without"))
+
+def exclude_terms_join(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, did): the documents themselves. Nearly queries x documents rows, so hand in the queries that need them."""
+    return free_documents(corpus, queries, excluded_terms(queries))

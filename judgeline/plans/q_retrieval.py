@@ -145,6 +145,14 @@ def exclude_terms_join(spark, sf):
     return R.exclude_terms_counts(fx.corpus(spark, sf), fx.queries(spark, sf))
 
 
+@query("exclude_terms_docs", "longterms docs qs", """SELECT qid, did FROM qs, docs WHERE CAST(qid AS BIGINT) % 50 = 0 AND NOT EXISTS
+    (SELECT 1 FROM longterms l WHERE l.qid = qs.qid AND contains(lower(docs.text), l.term))""")
+def exclude_terms_docs(spark, sf):
+    """The documents of the queries whose id is divisible by 50."""
+    return R.exclude_terms_join(
+        fx.corpus(spark, sf), fx.queries(spark, sf).where(F.col("qid").cast("long") % 50 == 0))
+
+
 @query("docs_with_terms", "longterms docs", """SELECT term, count(*) n_docs FROM (SELECT DISTINCT term FROM longterms)
     JOIN docs ON contains(lower(docs.text), term) GROUP BY term""")
 def docs_with_terms(spark, sf):

@@ -134,6 +134,12 @@ def negative_tiers(spark, sf):
     return P.tier_report(mined(spark, sf))
 
 
+@query("mining_shortage", "mmined", """SELECT qid, 6 * count(*) FILTER (label = 1) AS wanted, count(*) FILTER (label = 0) AS found,
+    greatest(6 * count(*) FILTER (label = 1) - count(*) FILTER (label = 0), 0) AS missing FROM mmined GROUP BY qid""")
+def mining_shortage(spark, sf):
+    return P.shortage_report(mined(spark, sf))
+
+
 part("blocks", "mmined", """SELECT p.qid, p.did positive, n.slot, n.did negative FROM
     (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY md5('42|' || qid || '|' || did), did) b FROM mmined WHERE label = 1) p JOIN
     (SELECT qid, did, (r - 1) // 4 + 1 b, CAST((r - 1) % 4 + 1 AS INT) slot FROM (SELECT qid, did,

@@ -218,7 +218,7 @@ def test_ring_walk_matches_a_full_walk(table):
     wanted = table("qid string, rem int, terms array<string>", [
         ("a", 3, ["alpha"]), ("b", 40, ["omega"]), ("c", 9, ["alpha", "omega", "rest"]), ("d", 300, ["alpha"])])
     used = table("qid string, did string", [("a", str(i)) for i in range(50)])
-    got = P.ring_negatives(wanted, corpus, used, cell_docs=4)
+    got = P.ring_negatives(wanted, corpus, used, arc_docs=4)
     full = wanted.join(corpus).join(used, ["qid", "did"], "left_anti").select(
         "qid", "rem", "did", F.when(F.forall("terms", lambda t: ~F.contains(F.col("text"), t)), 3).otherwise(4).alias("tier"),
         F.pmod(Z.hash32("42", F.col("did")) - Z.hash32("42", "q", F.col("qid")), F.lit(1 << 32)).alias("dist")).toPandas()
