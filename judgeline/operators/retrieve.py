@@ -63,14 +63,20 @@ def idf_column(df: Column, n_docs: Column, form: str) -> Column:
     raise ValueError(f"unknown idf {form!r}")
 
 
+#: A term that no token can be: every document has it once, also a document without tokens.
+PRESENT = ""
+
+
 def document_terms(docs: DataFrame, vocabulary: DataFrame, parent: str | None = None) -> DataFrame:
     """(did, dl, term, tf) for the terms of ``vocabulary``; partitioned by did, or by ``parent`` (kept as a column).
 
     ``docs`` holds (did, toks). The semi-join runs on the exploded tokens before the shuffle, so only tokens that
-    some query asks for travel.
+    some query asks for travel. With ``PRESENT`` in the vocabulary every document is a row at least once, so that
+    collection totals need no pass over the texts of their own.
     """
     more = [parent] if parent else []
-    hits = docs.select("did", *more, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).join(
+    marked = F.concat("toks", F.array(F.lit(PRESENT)))
+    hits = docs.select("did", *more, F.size("toks").alias("dl"), F.explode_outer(marked).alias("term")).join(
         vocabulary, "term", "left_semi")
     return hits.repartition(parent or "did").groupBy(*more, "did", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -88,8 +94,8 @@ def bm25_run(
 ) -> DataFrame:
     """BM25 scores of every (query, document) pair that shares a term; repeated query terms count repeatedly.
 
-    Texts are tokenized once for term and document frequencies, which share one shuffle, and once for the collection's
-    totals. ``parent`` names a column of chunks: scores keep it and stay partitioned by it, so that pooling chunks
+    Texts are tokenized once, for term frequencies, document frequencies and the collection's totals, which share one
+    shuffle. ``parent`` names a column of chunks: scores keep it and stay partitioned by it, so that pooling chunks
     needs no shuffle of its own. The weights table has one row per (query, term), so one count of the query side decides
     whether it may be broadcast; otherwise Spark shuffles by term and AQE splits hot terms.
     """
@@ -97,10 +103,10 @@ def bm25_run(
     docs = corpus.select(F.col(id_col).alias("did"), *more, tokenize_ws("text", lower).alias("toks"))
     terms = query_terms(queries, lower)
     small = hinter(terms)
-    vocabulary = small(terms.select("term").distinct())
-    totals = docs.agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).alias("t")).select("t")
-    held = document_terms(docs, vocabulary, parent)
+    present = queries.sparkSession.range(1).select(F.lit(PRESENT).alias("term"))
+    held = document_terms(docs, small(terms.select("term").distinct().unionByName(present)), parent)
+    each = F.col("term") == PRESENT
+    totals = held.agg(F.struct(F.count_if(each).alias("n"), F.avg(F.when(each, F.col("dl"))).alias("avgdl")).alias("t"))
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = terms.join(df, "term").select(
         "term", "qid", (F.col("qtf") * idf_column(F.col("df"), totals.scalar()["n"], idf)).alias("w"))
