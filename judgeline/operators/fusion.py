@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgeline.operators.retrieve import ranking, topk_run
+from judgeline.operators.ranks import ranking, topk_run
 from judgeline.operators.sizing import hinter
 from judgeline.session import written
 

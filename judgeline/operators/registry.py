@@ -33,9 +33,8 @@ def dense(embed: Callable[[Column], Column], sim: str = "cosine", chunk: int | N
         if chunk is None:
             return R.dense_run(q, corpus.select("did", embed(F.col("text")).alias("vec")), k, sim=sim)
         chunks = chunk_corpus(corpus, "sliding", chunk)
-        found = R.dense_run(q, chunks.select(F.col("cid").alias("did"), embed(F.col("text")).alias("vec")), CHUNKS_PER_DOC * k, sim=sim)
-        return R.topk_run(pool_chunks(found.select(
-            "qid", F.col("did").alias("cid"), F.substring_index("did", "__chunk", 1).alias("did"), "score"), "max"), k)
+        return R.dense_run(q, chunks.select(
+            F.substring_index("cid", "__chunk", 1).alias("did"), embed(F.col("text")).alias("vec")), k, sim=sim)
 
     return run
 
@@ -56,9 +55,6 @@ def fused(names: tuple[str, str, str], norm: str = "rrf", variant: str = "all_th
     return run
 
 
-#: Chunks looked at per wanted document by dense retrieval on chunks.
-CHUNKS_PER_DOC = 10
-
 #: name -> (corpus, queries, k) -> run.
 RETRIEVERS: dict[str, Retriever] = {
     "bm25": lambda c, q, k: R.bm25_run(c, q, k=k),

@@ -7,35 +7,17 @@ which Spark keeps only k rows per query in every task before it shuffles.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgeline.functions.scoring import dot, maxsim, norm
 from judgeline.functions.text import tokenize_ws
+from judgeline.operators.ranks import topk_run
 from judgeline.operators.sizing import fits, hinter
 from judgeline.operators.termscan import count_free, free_documents
+from judgeline.operators.vectors import dense_run, knn_topk, maxsim_search  # noqa: F401
 from judgeline.session import written
 
-SCORE_DIGITS = 9
-
-
-def ranking(keys: list[str]) -> "Window":
-    """Score descending, document id ascending; scores are compared on nine digits so that summation order
-    cannot swap equal documents."""
-    return Window.partitionBy(*keys).orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("did").asc())
-
-
-def topk_run(run: DataFrame, k: int, offset: int = 0, keys: list[str] | None = None) -> DataFrame:
-    """Ranks (offset, offset + k] of every query."""
-    keys = keys or [c for c in ("run_id", "qid") if c in run.columns]
-    ranked = run.withColumn("rank", F.row_number().over(ranking(keys))).where(F.col("rank") <= offset + k)
-    return ranked.where(F.col("rank") > offset) if offset else ranked
-
-
 def query_terms(queries: DataFrame, lower: bool = True) -> DataFrame:
     """(qid, term, qtf)."""
     words = queries.select("qid", F.explode(tokenize_ws("query", lower)).alias("term"))
@@ -195,95 +177,6 @@ def token_recall_run(corpus: DataFrame, queries: DataFrame, k: int | None = None
 
 # --- vectors ---------------------------------------------------------------------------------------------------
 
-QUERY_BYTES = 32 << 20  # Query vectors that are broadcast at a time.
-STATE_ROWS = 4_000_000  # Best documents that a task holds for one block of queries.
-CELL_NUMBERS = 1 << 22  # Numbers of document vectors multiplied at a time: 32 MiB as doubles.
-SLICE = 64  # Query vectors multiplied at a time.
-
-
-def _best(row: np.ndarray, keep: np.ndarray, k: int) -> np.ndarray:
-    """The positions of the k best scores; equal scores go by position, which follows the document id."""
-    if len(keep) <= k:
-        return keep
-    r = np.round(row[keep], SCORE_DIGITS)
-    near = np.flatnonzero(r >= np.partition(r, len(r) - k)[len(r) - k])
-    return keep[near[np.lexsort((near, -r[near]))[:k]]]
-
-
-def _search(queries: DataFrame, docs: DataFrame, vec: str, numbers: int, k: int, skip_self: bool, scores) -> DataFrame:
-    """The k best documents per query, with documents where they are.
-
-    Queries are cut into blocks of bounded size (in bytes, and in the best documents that a task holds for them). Each
-    block is broadcast and every task keeps its k best documents per query while it reads its own documents, so that
-    only those are shuffled. ``scores(query vectors, document vectors)`` gives a matrix; ``numbers`` is the size of one
-    vector or bag of vectors.
-    """
-    spark = queries.sparkSession
-    per = max(1, min(QUERY_BYTES // (8 * numbers), STATE_ROWS // k))
-    blocks = max(1, math.ceil(queries.count() / per))
-    marked = queries.select("qid", vec, F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
-    step = max(1, CELL_NUMBERS // numbers)
-
-    def task(shared):
-        def run(batches):
-            qids, qvecs = shared.value
-            best = [(np.zeros(0), np.zeros(0, "U1"))] * len(qids)
-            for batch in batches:
-                ids = np.array(batch.column("did").to_pylist(), dtype=str)
-                order = np.argsort(ids, kind="stable")
-                vecs = batch.column(vec).to_pylist()
-                for low in range(0, len(order), step):
-                    part = order[low:low + step]
-                    dids, rows = ids[part], [vecs[i] for i in part]
-                    for at in range(0, len(qids), SLICE):
-                        found = scores(qvecs[at:at + SLICE], rows)
-                        for i, row in enumerate(found, at):
-                            keep = np.flatnonzero(dids != qids[i]) if skip_self else np.arange(len(row))
-                            keep = _best(row, keep, k)
-                            s, d = np.concatenate((best[i][0], row[keep])), np.concatenate((best[i][1], dids[keep]))
-                            if len(s) > k:
-                                first = np.lexsort((d, -np.round(s, SCORE_DIGITS)))[:k]
-                                s, d = s[first], d[first]
-                            best[i] = (s, d)
-            for qid, (s, d) in zip(qids, best):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([qid] * len(s), pa.string()), pa.array(d.tolist(), pa.string()), pa.array(s)],
-                        names=["qid", "did", "score"])
-
-        return run
-
-    out = None
-    for block in range(blocks):
-        rows = marked.where(F.col("block") == block).select("qid", vec).collect()  # at most ``per`` of them, give or take
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        found = docs.select("did", vec).mapInArrow(task(shared), "qid string, did string, score double")
-        out = found if out is None else out.unionByName(found)
-    return topk_run(out, k)
-
-
-def dense_run(
-    queries: DataFrame, docs: DataFrame, k: int, sim: str = "dot", scale: float = 1.0, skip_self: bool = False,
-) -> DataFrame:
-    """The k most similar documents (did, vec) per query (qid, vec), exactly; documents are not shuffled."""
-    first = queries.select(F.size("vec")).head()
-
-    def scores(left: list, right: list) -> np.ndarray:
-        qm, dm = np.array(left, dtype=np.float64), np.array(right, dtype=np.float64)
-        out = qm @ dm.T
-        if sim == "cosine":
-            lengths = np.outer(np.linalg.norm(qm, axis=1), np.linalg.norm(dm, axis=1))
-            out = np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 0)
-        return out * scale
-
-    return _search(queries, docs, "vec", max(1, first[0] if first else 1), k, skip_self, scores)
-
-
-def knn_topk(queries: DataFrame, docs: DataFrame, k: int = 1000, sim: str = "dot", **kw) -> DataFrame:
-    """Exact nearest neighbours: what a flat vector index answers."""
-    return dense_run(queries, docs, k, sim=sim, **kw)
-
-
 def pair_similarity(pairs: DataFrame, queries: DataFrame, docs: DataFrame, sim: str = "dot") -> DataFrame:
     """Similarity of given (qid, did) pairs, as column expressions."""
     a, b = F.col("qv"), F.col("dv")
@@ -307,11 +200,15 @@ def sparse_run(queries: DataFrame, docs: DataFrame, k: int | None = None) -> Dat
 
 
 def maxsim_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Late-interaction score of candidate pairs; vectors are ARRAY<ARRAY<FLOAT>> in ``vecs``."""
+    """Late-interaction score of candidate pairs; vectors are ARRAY<ARRAY<FLOAT>> in ``vecs``.
+
+    Queries and documents without a vector have no score; their pairs are left out, as ``maxsim_search`` does.
+    """
+    some = F.size("vecs") > 0
     return (
         pairs.select("qid", "did")
-        .join(queries.select("qid", F.col("vecs").alias("qv")), "qid")
-        .join(docs.select("did", F.col("vecs").alias("dv")), "did")
+        .join(queries.where(some).select("qid", F.col("vecs").alias("qv")), "qid")
+        .join(docs.where(some).select("did", F.col("vecs").alias("dv")), "did")
         .select("qid", "did", maxsim(F.col("qv"), F.col("dv")).alias("score"))
     )
 
@@ -322,16 +219,7 @@ def maxsim_run(
     """The k best documents per query by late interaction: among ``candidates`` (qid, did), or among all documents."""
     if candidates is not None:
         return topk_run(maxsim_scores(candidates, queries, docs), k)
-    first = docs.select(F.size("vecs") * F.size(F.get("vecs", F.lit(0)))).head()
-
-    def scores(left: list, right: list) -> np.ndarray:
-        mats = [np.array(v, dtype=np.float64) for v in right]
-        starts = np.concatenate([[0], np.cumsum([len(m) for m in mats])[:-1]]).astype(int)
-        stacked = np.concatenate(mats)
-        return np.array([
-            np.maximum.reduceat(np.array(v, dtype=np.float64) @ stacked.T, starts, axis=1).sum(axis=0) for v in left])
-
-    return _search(queries, docs, "vecs", max(1, first[0] if first else 1), k, skip_self, scores)
+    return maxsim_search(queries, docs, k, skip_self)
 
 
 # --- substring joins -------------------------------------------------------------------------------------------
