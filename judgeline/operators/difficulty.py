@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from judgeline.functions.text import token_set_punct, tokenize_letters
 from judgeline.operators.retrieve import idf_column
-from judgeline.operators.sizing import exact_quantiles, hash32, hinter, number_rows, pick
+from judgeline.operators.sizing import exact_quantiles, hash32, hinter, number_ranges, pick
 
 PROB_FLOOR = 1e-12  # Fixed value: smallest collection probability of a term.
 
@@ -80,9 +80,8 @@ def bootstrap_ci(
 
     Draw i of resample b is row ``hash(seed, b, i) mod n``; rows are numbered in id order.
     """
-    numbered = number_rows(
-        scores.select(id_col, F.col(value).cast("double").alias("v")),
-        F.substring(id_col, 1, 2), [F.col(id_col)], name="i").withColumn("i", F.col("i") - 1)
+    numbered = number_ranges(
+        scores.select(id_col, F.col(value).cast("double").alias("v")), [F.col(id_col)], name="i").withColumn("i", F.col("i") - 1)
     n = scores.agg(F.count(F.lit(1)).alias("n")).scalar()
     draws = numbered.select("i", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("b"))
     picked = draws.select("b", (hash32(seed, F.col("b"), F.col("i")) % n).alias("i")).join(

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgeline.operators.ranks import ranking, topk_run
-from judgeline.operators.sizing import hinter
+from judgeline.operators.ranks import SCORE_DIGITS, topk_run
+from judgeline.operators.sizing import hinter, number_ranges
 from judgeline.session import written
 
 RRF_K = 60  # Fixed value: rank offset of reciprocal rank fusion.
@@ -26,7 +26,8 @@ def normalize_scores(run: DataFrame, method: str = "z") -> DataFrame:
         return run
     if method == "rrf":
         if "rank" not in run.columns:
-            run = run.withColumn("rank", F.row_number().over(ranking(keys)))
+            ranked = run.withColumn("_s", -F.round("score", SCORE_DIGITS))
+            run = number_ranges(ranked, [F.col("_s"), F.col("did")], keys, "rank").drop("_s")
         return run.withColumn("score", F.lit(1.0) / (F.lit(RRF_K) + F.col("rank")))
     if method == "z":
         stats = run.groupBy(*keys).agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_w"))

@@ -5,10 +5,11 @@ Texts are the large side: a corpus is first cut to the documents that are asked
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgeline.operators.sizing import hinter, pick
+from judgeline.session import written
 
 
 def _needed(value: Column, what: str, key: str) -> Column:
@@ -41,11 +42,17 @@ def enrich_triplets(triplets: DataFrame, queries: DataFrame, corpus: DataFrame)
 
 
 def attach_negative_texts(groups: DataFrame, corpus: DataFrame, keep: int = 5) -> DataFrame:
-    """(qid, negatives ARRAY<id>) to (qid, negatives ARRAY<text>): known ids in order, the first ``keep``."""
+    """(qid, negatives ARRAY<id>) to (qid, negatives ARRAY<text>): known ids in order, the first ``keep``.
+
+    Which ids are known and come first is settled on ids alone; only the texts that stay are joined.
+    """
     items = groups.select("qid", F.posexplode("negatives").alias("pos", "did"))
-    found = corpus.select("did", "text").join(hinter(items)(items), "did")
+    known = items.join(corpus.select("did"), "did", "left_semi")
+    number = F.row_number().over(Window.partitionBy("qid").orderBy("pos"))
+    kept = written(known.withColumn("_n", number).where(F.col("_n") <= keep).drop("_n"), "negatives")
+    found = pick(corpus.select("did", "text"), kept).join(kept, "did")
     texts = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("t"))
-    first = F.slice(F.transform("t", lambda x: x["text"]), 1, keep)
+    first = F.transform("t", lambda x: x["text"])
     return groups.select("qid").join(texts, "qid", "left").select(
         "qid", F.coalesce(first, F.array().cast("array<string>")).alias("negatives"))
 

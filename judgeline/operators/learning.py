@@ -9,7 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgeline.operators.retrieve import topk_run
+from judgeline.operators.agreement import class_report, confusion
+from judgeline.operators.ranks import topk_run
 from judgeline.operators.sizing import pick
 
 WORD = r"[\p{L}\p{N}_]{2,}"  # Fixed value: a feature word has at least two word characters.
@@ -96,17 +97,20 @@ def positive_weight(labels: DataFrame, damped: bool = False) -> DataFrame:
     return labels.agg((F.try_divide(neg, pos) * (POSITIVE_FACTOR if damped else 1.0)).alias("positive_weight"))
 
 
-def train_pair_classifier(train: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 42, dev: DataFrame | None = None):
+def train_pair_classifier(
+    train: DataFrame, rounds: int = 2000, depth: int = 4, seed: int = 42, dev: DataFrame | None = None, tolerance: float = 0.01,
+):
     """Weighted boosted trees on (features, label 0/1); positives weigh as much as there are negatives per positive.
 
-    With ``dev``, training stops when the error on it no longer falls.
+    With ``dev``, training stops when the error on it falls by less than ``tolerance``, and keeps the best number of
+    rounds. Without it all ``rounds`` are trained, so hand in fewer.
     """
     ratio = positive_weight(train).select("positive_weight").scalar()
     rows = train.select("features", "label", F.lit(False).alias("dev"))
     if dev is not None:
         rows = rows.unionByName(dev.select("features", "label", F.lit(True).alias("dev")))
     weighted = rows.withColumn("weight", F.when(F.col("label") == 1, ratio).otherwise(F.lit(1.0)))
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol="weight", seed=seed)
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol="weight", seed=seed, validationTol=tolerance)
     return (trees if dev is None else trees.setValidationIndicatorCol("dev")).fit(weighted)
 
 
@@ -117,6 +121,20 @@ def predict(model, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
         "rawPrediction", "probability", "prediction")
 
 
+def classifier_report(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, label, predicted_0, predicted_1, precision, recall, f1, support, accuracy), one row per label that occurs."""
+    keys = keys or []
+    pairs = scored.select(*keys, F.col("label").cast("int").alias("gold"), F.col("pred").cast("int").alias("pred"))
+    cells = confusion(pairs, keys)
+    counts = cells.groupBy(*keys, F.col("gold").alias("label")).agg(*[
+        F.coalesce(F.sum(F.when(F.col("pred") == p, F.col("n"))), F.lit(0)).alias(f"predicted_{p}") for p in (0, 1)])
+    right = cells.groupBy(*keys).agg(
+        (F.coalesce(F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n"))), F.lit(0)) / F.sum("n")).alias("accuracy"))
+    report = class_report(pairs, keys).join(counts, [*keys, "label"], "left").fillna(0, ["predicted_0", "predicted_1"])
+    report = report.join(right, keys) if keys else report.withColumn("accuracy", right.scalar())
+    return report.select(*keys, "label", "predicted_0", "predicted_1", "precision", "recall", "f1", "support", "accuracy")
+
+
 def rerank_with_model(run: DataFrame, queries: DataFrame, corpus: DataFrame, vectors: PipelineModel, model, k: int) -> DataFrame:
     """The k best documents of a run in the order of the classifier."""
     head = run.where(F.col("rank") <= k).select("qid", "did")

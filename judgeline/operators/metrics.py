@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgeline.functions.scoring import dot, norm
-from judgeline.operators.sizing import cumulate, value_buckets
+from judgeline.operators.sizing import cumulate, cumulate_ranges, number_ranges
 
 RUN_KEYS = ["run_id", "qid"]
 RANK_BUCKET = 16_384
@@ -64,25 +64,14 @@ def with_run_id(run: DataFrame, run_id: str = "run") -> DataFrame:
 def judged_rows(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Run rows that carry a judgment, with their rank in the full run.
 
-    A run without a ``rank`` column is not sorted as a whole: the judged documents of a query serve as cut points,
-    every run row is counted into the gap it falls in (map-side), and a running sum over the gaps gives the ranks.
+    A run without a ``rank`` column is ranked range by range, so that no query's rows are sorted in one task.
     """
     run = with_run_id(run)
     judgments = qrels.select("qid", "did", "label")
-    if "rank" in run.columns:
-        return run.select(*RUN_KEYS, "did", "rank").join(judgments, ["qid", "did"])
-    key = F.struct((-F.round("score", 9)).alias("s"), F.col("did").alias("d"))
-    scored = run.select(*RUN_KEYS, "did", key.alias("key"))
-    hits = scored.join(judgments, ["qid", "did"])
-    cuts = hits.groupBy(*RUN_KEYS).agg(F.sort_array(F.collect_list("key")).alias("cuts"))
-    gap = F.size(F.filter("cuts", lambda c: c < F.col("key")))
-    filled = scored.join(cuts, RUN_KEYS).groupBy(*RUN_KEYS, gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*RUN_KEYS).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
-    # A cut point itself falls into the gap that starts with it, so the rows up to gap g are those ranked <= cut g.
-    ranks = filled.withColumn("rank", F.sum("n").over(upto).cast("int"))
-    placed = cuts.select(*RUN_KEYS, F.posexplode("cuts").alias("gap", "key")).join(
-        ranks.select(*RUN_KEYS, "gap", "rank"), [*RUN_KEYS, "gap"])
-    return placed.select(*RUN_KEYS, F.col("key.d").alias("did"), "rank").join(judgments, ["qid", "did"])
+    if "rank" not in run.columns:
+        scored = run.select(*RUN_KEYS, "did", (-F.round("score", 9)).alias("_s"))
+        run = number_ranges(scored, [F.col("_s"), F.col("did")], RUN_KEYS, "rank").withColumn("rank", F.col("rank").cast("int"))
+    return run.select(*RUN_KEYS, "did", "rank").join(judgments, ["qid", "did"])
 
 
 def evaluated_queries(run: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -220,7 +209,7 @@ def official_mrr(run: DataFrame, reference: DataFrame, cut: int = 10) -> DataFra
 
 def _by_score_desc(cells: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """Running sums from the highest score down."""
-    return cumulate(value_buckets(cells, "score", keys), -F.col("_vb"), [F.col("score").desc()], sums, keys)
+    return cumulate_ranges(cells, [F.col("score").desc()], sums, keys)
 
 
 def tied_ndcg(scored: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
@@ -281,7 +270,7 @@ def graded_pair_accuracy(scored: DataFrame, keys: list[str] | None = None, level
     per_score = cells.groupBy(*keys, "score").agg(
         *[F.sum(F.when(F.col("label") == g, F.col("c")).otherwise(0)).alias(f"c{g}") for g in range(levels)])
     upto = {f"b{g}": F.col(f"c{g}") for g in range(levels - 1)}
-    run = cumulate(value_buckets(per_score, "score", keys), F.col("_vb"), [F.col("score")], upto, keys)
+    run = cumulate_ranges(per_score, [F.col("score")], upto, keys)
     run = run.withColumns({f"b{g}": F.col(f"b{g}") - F.col(f"c{g}") for g in range(levels - 1)})
     won = sum((F.col(f"c{hi}") * sum((F.col(f"b{lo}") for lo in range(hi)), F.lit(0)) for hi in range(1, levels)),
               F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from judgeline.functions.text import tokenize_ws
 from judgeline.operators.retrieve import LONG_TERM, bm25_run, topk_run
-from judgeline.operators.sizing import hash_key, number_by_hash, number_rows, pick
+from judgeline.operators.sizing import hash_key, number_by_hash, number_ranges, pick
 from judgeline.operators.termscan import ring_negatives
 from judgeline.session import written
 
@@ -127,7 +127,7 @@ def partition_negatives(pairs: DataFrame, n: int, seed: str = "42", strict_ratio
     """
     rows = pairs.select("qid", "did", "label")
     if strict_ratio:
-        numbered = number_rows(rows, F.substring("did", 1, 3), [F.col("did")], ["qid", "label"])
+        numbered = number_ranges(rows, [F.col("did")], ["qid", "label"])
     else:
         hashed = rows.withColumn("_h", hash_key(seed, F.col("qid"), F.col("did")))
         numbered = number_by_hash(hashed, "_h", ["did"], ["qid", "label"])

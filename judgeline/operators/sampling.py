@@ -8,12 +8,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgeline.operators.sizing import LINE_BUCKET, hash_key, number_by_hash, number_by_line, number_rows
+from judgeline.operators.sizing import LINE_BUCKET, hash_key, number_by_hash, number_by_line, number_ranges, number_rows
 
 def gold_rank(qrels: DataFrame, line: str = "line_no") -> DataFrame:
-    """Rank by label, best first; equal labels keep file order."""
-    order = Window.partitionBy("qid").orderBy(F.col("label").desc(), F.col(line))
-    return qrels.withColumn("gold_rank", F.row_number().over(order))
+    """Rank by label, best first; equal labels keep file order. Ranked range by range, see ``number_ranges``."""
+    ranked = number_ranges(qrels, [F.col("label").desc(), F.col(line)], ["qid"], "gold_rank")
+    return ranked.withColumn("gold_rank", F.col("gold_rank").cast("int"))
 
 
 def disagreement_pairs(qrels: DataFrame, run: DataFrame, k: int, line: str = "line_no") -> DataFrame:

@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from judgeline.session import written
+
 #: Bounds on a side that is broadcast explicitly.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
@@ -79,19 +81,19 @@ def number_rows(
     return cumulate(df, bucket, order, {name: F.lit(1).cast("long")}, keys)
 
 
-def value_buckets(cells: DataFrame, value: str, keys: list[str] | None = None, parts: int = 1024) -> DataFrame:
-    """Adds ``_vb``, the equal-width bucket of a number between its smallest and largest value per key."""
-    keys = list(keys or [])
-    span = cells.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    if keys:
-        named = span.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_lo", "_hi")
-        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-        rows = cells.join(named, same).drop(*[f"_k_{k}" for k in keys])
-    else:
-        one = span.select(F.struct("_lo", "_hi").alias("s")).scalar()
-        rows = cells.withColumn("_s", one).withColumns({"_lo": F.col("_s._lo"), "_hi": F.col("_s._hi")}).drop("_s")
-    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    return rows.withColumn("_vb", F.coalesce(F.floor(share * parts), F.lit(0))).drop("_lo", "_hi")
+def cumulate_ranges(df: DataFrame, order: list[Column], sums: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """``cumulate`` for any order: the buckets are the ranges of the table sorted by keys and order.
+
+    Spark samples the bounds of the ranges, so that they hold about equally many rows however the values are spread, and
+    a key with very many rows is cut into many ranges. Only rows that agree in keys and order cannot be parted.
+    """
+    ranges = written(df.repartitionByRange(*(keys or []), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    return cumulate(ranges, F.col("_part"), order, sums, keys).drop("_part")
+
+
+def number_ranges(df: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "rn") -> DataFrame:
+    """Exact 1-based numbering inside each key group, range by range."""
+    return cumulate_ranges(df, order, {name: F.lit(1).cast("long")}, keys)
 
 
 #: Lines per bucket when numbering rows by line number.
@@ -111,13 +113,13 @@ def number_by_hash(df: DataFrame, hash_col: str, tie: list[str], keys: list[str]
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """Linear-interpolated exact quantiles per key, without holding a group's values in one task.
 
-    Values are first counted (map-side), cumulated bucket by bucket, and only the two order statistics that each
+    Values are first counted (map-side), cumulated range by range, and only the two order statistics that each
     quantile needs are kept.
     """
     keys = list(keys or [])
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
-    cum = cumulate(value_buckets(counts, "_v", keys), F.col("_vb"), [F.col("_v")], {"_to": F.col("_c")}, keys)
+    cum = cumulate_ranges(counts, [F.col("_v")], {"_to": F.col("_c")}, keys)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
         named = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n")

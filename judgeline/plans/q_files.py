@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W_
 from pyspark.sql import functions as F
 
 from judgeline.functions import plugins as U
@@ -222,14 +221,10 @@ def write_ranked_list(spark, sf):
     return spark.read.text(path)
 
 
-#: Columns of the wide report: one per query id that the test tables can have.
-WIDE = [str(i) for i in range(200)]
-
-
-@query("run_wide", "run_b", "SELECT CAST(r AS INT) AS rank, " + ", ".join(
-    f"""max(did) FILTER (qid = '{q}') AS "{q}\"""" for q in WIDE) + " FROM range(1, 31) x(r) LEFT JOIN run_b ON rank = r GROUP BY r")
+@query("run_wide", "run_b", """PIVOT (SELECT CAST(rank AS INT) AS rank, qid, did FROM run_b WHERE rank <= 30) ON qid USING max(did) GROUP BY rank""")
 def run_wide(spark, sf):
-    return O.run_wide(fx.run_b(spark, sf), qids=WIDE)
+    """One column per query of the run, whichever they are."""
+    return O.run_wide(fx.run_b(spark, sf))
 
 
 @query("write_qrels", "gold", "SELECT qid || chr(9) || '0' || chr(9) || did || chr(9) || label AS value FROM gold")
@@ -392,38 +387,25 @@ def _trained(spark, sf):
     return vectors, rows, L.train_pair_classifier(of("train"), dev=of("dev"))
 
 
-@query("train_pair_classifier", "bing", """SELECT label, count(*) n, true AS scores_are_probabilities, true AS verdicts_follow_scores,
-    true AS learned FROM bing GROUP BY label""")
+@query("train_pair_classifier")
 def train_pair_classifier(spark, sf):
-    """What SQL can say of the classifier's verdicts on all pairs: their number by label, scores in [0, 1], verdicts by
-    score, and training pairs told apart (relevant ones score higher on average)."""
+    """Probability and verdict for every pair, by part."""
     _, rows, model = _trained(spark, sf)
-    scored = L.predict(model, rows)
-    train = F.col("part") == "train"
-    mean = lambda g: F.avg(F.when(train & (F.col("label") == g), F.col("score")))
-    apart = scored.agg((mean(1) > mean(0)).alias("x")).scalar()
-    return scored.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("scores_are_probabilities"),
-        F.bool_and((F.col("score") > 0.5) == (F.col("pred") == 1)).alias("verdicts_follow_scores")).withColumn("learned", apart)
+    return L.predict(model, rows).select("part", "qid", "did", "label", "score", "pred")
 
 
-@query("classifier_report", "bing", "SELECT count(*) n FROM bing")
+@query("classifier_report")
 def classifier_report(spark, sf):
-    """Confusion and class scores of the parts, checked here by the number of pairs they add up to."""
+    """Confusion and class scores of training, dev and test pairs."""
     _, rows, model = _trained(spark, sf)
-    report = L.predict(model, rows).groupBy("part").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
-    return report.agg(F.sum("n").alias("n"))
+    return L.classifier_report(L.predict(model, rows), ["part"])
 
 
-@query("rerank_with_model", "run_a", """SELECT qid, did, true AS rank_is_unique, least(20, count(*) OVER (PARTITION BY qid)) AS ranks FROM run_a WHERE rank <= 20""")
+@query("rerank_with_model")
 def rerank_with_model(spark, sf):
-    """The candidates of every query, each once and with a rank of its own from 1 on."""
+    """The 20 best of every query in the order of the classifier, with its scores."""
     vectors, _, model = _trained(spark, sf)
-    run = L.rerank_with_model(fx.run_a(spark, sf), fx.queries(spark, sf), fx.corpus(spark, sf), vectors, model, 20)
-    by = W_.partitionBy("qid")
-    unique = F.size(F.collect_set("rank").over(by)) == F.count(F.lit(1)).over(by)
-    return run.select("qid", "did", unique.alias("rank_is_unique"), F.max("rank").over(by).cast("long").alias("ranks"))
+    return L.rerank_with_model(fx.run_a(spark, sf), fx.queries(spark, sf), fx.corpus(spark, sf), vectors, model, 20)
 
 
 # --- plug-ins --------------------------------------------------------------------------------------------------
@@ -496,17 +478,16 @@ _REG_SQL = {
        " UNION ALL ".join(f"""SELECT '{n}' run_id, qid, count(*) n, CAST(sum(rank) AS BIGINT) ranks, count(*) FILTER (label >= 1) relevant
     FROM ({sql}) LEFT JOIN gold USING (qid, did) GROUP BY qid""" for n, sql in _REG_SQL.items()))
 def retriever_registry(spark, sf):
-    """Every named retriever, with a dense, a sparse and a fused one registered: lists and the judged documents in them."""
+    """Every named retriever, and a dense, a sparse and a fused one besides: lists and the judged documents in them."""
     weigh = lambda text: F.map_from_arrays(
         F.array_distinct(tokenize_ws(text)),
         F.array_repeat(F.lit(1.0) / F.size(tokenize_ws(text)), F.size(F.array_distinct(tokenize_ws(text)))))
-    G.register("dense", G.dense(lambda text: U.embedder(_lengths)(text)))
-    G.register("sparse", G.sparse(weigh))
-    G.register("fused", G.fused(("bm25", "bm25_preset", "token_recall"), depth=40))
+    known = {**G.RETRIEVERS, "dense": G.dense(lambda text: U.embedder(_lengths)(text)), "sparse": G.sparse(weigh),
+             "fused": G.fused(("bm25", "bm25_preset", "token_recall"), depth=40)}
     corpus, asked, gold = fx.corpus(spark, sf), fx.queries(spark, sf), fx.gold(spark, sf)
     out = None
     for name in REGISTRY:
-        run = G.RETRIEVERS[name](corpus, asked, 40).select(F.lit(name).alias("run_id"), "qid", "did", "rank")
+        run = known[name](corpus, asked, 40).select(F.lit(name).alias("run_id"), "qid", "did", "rank")
         out = run if out is None else out.unionByName(run)
     return out.join(gold, ["qid", "did"], "left").groupBy("run_id", "qid").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("rank").cast("long")).alias("ranks"),

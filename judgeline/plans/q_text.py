@@ -151,22 +151,28 @@ def map_text_label(spark, sf):
     return fx.gold(spark, sf).select("qid", "did", name.alias("name")).withColumn("label", X.map_text_label("name"))
 
 
-part("lg", "vecs", "SELECT id, v[1:4] l FROM vecs")
-part("sm", "lg", "SELECT id, l, list_transform(l, lambda x: exp(x - list_max(l)) / list_sum(list_transform(l, lambda y: exp(y - list_max(l))))) p FROM lg")
+part("lg", "vecs", "SELECT id, v l, unnest(range(1, len(v), 2)) i FROM vecs")
+part("sm", "vecs", "SELECT id, v l, list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transform(v, lambda y: exp(y - list_max(v))))) p FROM vecs")
 
 
-@query("head_scores", "sm", """SELECT id, round(exp(l[2] - greatest(l[1], l[2])) / (exp(l[1] - greatest(l[1], l[2])) + exp(l[2] - greatest(l[1], l[2]))), 6) p_binary,
-    round(l[2], 6) raw, round(p[2] + 2 * p[3] + 3 * p[4], 6) expected, round(l[1], 6) AS first, list_position(l, list_max(l)) - 1 argmax,
-    CAST(1 / (1 + exp(-l[1])) > 0.5 AS INT) sigmoid FROM sm""")
+@query("head_scores", "lg", """SELECT id, i AS at, round(exp(l[i + 1] - greatest(l[i], l[i + 1])) / (exp(l[i] - greatest(l[i], l[i + 1])) + exp(l[i + 1] - greatest(l[i], l[i + 1]))), 6) p_binary,
+    round(l[i + 1], 6) raw, round(l[i], 6) AS first, CAST(1 / (1 + exp(-l[i])) > 0.5 AS INT) sigmoid FROM lg""")
 def head_scores(spark, sf):
-    """Four numbers of every vector as logits."""
-    rows = fx.vectors(spark, sf).select("id", F.transform(F.slice("vec", 1, 4), lambda x: x.cast("double")).alias("l"))
-    two = F.slice("l", 1, 2)
+    """All numbers of every vector, two by two, as the logits of a model with two classes or one."""
+    rows = fx.vectors(spark, sf).select("id", F.transform("vec", lambda x: x.cast("double")).alias("v"))
+    pairs = rows.select("id", "v", F.explode(F.sequence(F.lit(1), F.size("v") - 1, F.lit(2))).alias("at")).select(
+        "id", "at", F.slice("v", F.col("at"), F.lit(2)).alias("l"))
     r = lambda c, n: F.round(c, 6).alias(n)
-    return rows.select(
-        "id", r(X.head_score(two, "binary"), "p_binary"), r(X.head_score(two, "binary_raw"), "raw"),
-        r(X.head_score("l", "expected"), "expected"), r(X.head_score("l", "first"), "first"),
-        X.head_score("l", "argmax").alias("argmax"), X.head_score("l", "sigmoid").alias("sigmoid"))
+    return pairs.select(
+        "id", "at", r(X.head_score("l", "binary"), "p_binary"), r(X.head_score("l", "binary_raw"), "raw"),
+        r(X.head_score("l", "first"), "first"), X.head_score("l", "sigmoid").alias("sigmoid"))
+
+
+@query("head_scores_graded", "sm", """SELECT id, round(list_sum(list_transform(range(len(p)), lambda i: i * p[i + 1])), 6) expected, list_position(l, list_max(l)) - 1 argmax FROM sm""")
+def head_scores_graded(spark, sf):
+    """All numbers of every vector as the logits of a model with as many grades."""
+    rows = fx.vectors(spark, sf).select("id", F.transform("vec", lambda x: x.cast("double")).alias("l"))
+    return rows.select("id", F.round(X.head_score("l", "expected"), 6).alias("expected"), X.head_score("l", "argmax").alias("argmax"))
 
 
 part("vocab", "dfs", "SELECT term, row_number() OVER (ORDER BY md5('v|' || term), term) + 2 tid FROM dfs")

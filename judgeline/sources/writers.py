@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,29 @@ def write_ranked_list(run: DataFrame, path: str, k: int = RUN_LINES, mode: str =
 
 
 def run_wide(run: DataFrame, k: int = RUN_LINES, qids: list[str] | None = None) -> DataFrame:
-    """Rows 1..k, one column per query, NULL where a list is shorter. Meant for reports on some queries: Spark refuses
-    more columns than ``spark.sql.pivotMaxValues``."""
+    """Rows 1..k, one column per query of the run (or per one of ``qids``), NULL where a list is shorter.
+
+    Spark refuses more columns than ``spark.sql.pivotMaxValues``; ``run_wide_blocks`` is for runs with more queries.
+    """
     spine = run.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("rank"))
     rows = run.where(F.col("rank") <= k).groupBy("rank")
     wide = (rows.pivot("qid", qids) if qids else rows.pivot("qid")).agg(F.first("did"))
     return spine.join(wide, "rank", "left")
 
 
+def run_wide_blocks(run: DataFrame, k: int = RUN_LINES, width: int = 1000) -> Iterator[DataFrame]:
+    """``run_wide`` in blocks of ``width`` queries in the order of their ids, so that no query is left out."""
+    rows = run.where(F.col("rank") <= k)
+    low = None
+    while True:
+        rest = rows.select("qid") if low is None else rows.select("qid").where(F.col("qid") > low)
+        qids = [r.qid for r in rest.where(F.col("qid").isNotNull()).distinct().orderBy("qid").limit(width).collect()]
+        if not qids:
+            return
+        yield run_wide(rows.where(F.col("qid").between(qids[0], qids[-1])), k, qids)
+        low = qids[-1]
+
+
 def write_qrels(qrels: DataFrame, path: str, layout: int = 4, mode: str = "error") -> None:
     """Tab-separated judgments in 3, 4 or 5 columns, without a header."""
     it = F.col("iter") if "iter" in qrels.columns else F.lit("0")

@@ -39,5 +39,27 @@ def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-def test_model_based_queries_run(spark):
-    assert all(r.learned for r in QUERIES["train_pair_classifier"](spark, SF).collect())
+def test_model_based_queries_agree_with_each_other(spark):
+    """The report is recounted from the verdicts, and the reranked lists are in the order of the scores."""
+    pairs = QUERIES["train_pair_classifier"](spark, SF).collect()
+    assert {r.part for r in pairs} <= {"train", "dev", "test"} and all((r.score > 0.5) == (r.pred == 1) for r in pairs)
+    train = [r for r in pairs if r.part == "train"]
+    mean = lambda g: sum(r.score for r in train if r.label == g) / max(1, sum(r.label == g for r in train))
+    assert mean(1) > mean(0)
+    for r in QUERIES["classifier_report"](spark, SF).collect():
+        part = [p for p in pairs if p.part == r.part]
+        own = [p for p in part if p.label == r.label]
+        hit = sum(p.pred == r.label for p in own)
+        assert (r.support, r.predicted_0, r.predicted_1) == (len(own), sum(p.pred == 0 for p in own), sum(p.pred == 1 for p in own))
+        assert r.accuracy == pytest.approx(sum(p.pred == p.label for p in part) / len(part))
+        said = sum(p.pred == r.label for p in part)
+        assert r.precision == pytest.approx(hit / said if said else 0) and r.recall == pytest.approx(hit / len(own) if own else 0)
+    lists = {}
+    for r in QUERIES["rerank_with_model"](spark, SF).collect():
+        lists.setdefault(r.qid, []).append((r["rank"], -round(r.score, 9), r.did))
+    for rows in lists.values():
+        rows.sort()
+        assert [x[0] for x in rows] == list(range(1, len(rows) + 1)) and [x[1:] for x in rows] == sorted(x[1:] for x in rows)
+    known = {(p.qid, p.did): p.score for p in pairs}
+    shared = [(known[q, d], -s) for q, rows in lists.items() for _, s, d in rows if (q, d) in known]
+    assert shared and all(a == pytest.approx(b, abs=1e-8) for a, b in shared)
