@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from judgeline import schemas as C
+from judgeline.sources.splits import PLACE, csv_records, json_object_pairs, read_csv_splits
 
 S = T.StringType()
 
@@ -37,8 +38,8 @@ def read_corpus_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus_json_map(spark: SparkSession, path: str, layout: str = "object") -> DataFrame:
     """Files that hold one JSON object {did: text}.
 
-    ``object`` parses every file as a whole, many files in parallel. ``pairs`` is for files with one pair per line and
-    reads them in splits. Anything but an object fails the job.
+    ``object`` reads files of any layout in byte ranges, see ``splits.json_object_pairs``. ``pairs`` is the shorter way
+    for files with one pair per line. Anything but an object fails the job.
     """
     pairs = T.MapType(S, S)
     if layout == "pairs":
@@ -46,21 +47,16 @@ def read_corpus_json_map(spark: SparkSession, path: str, layout: str = "object")
         rows = spark.read.text(path).where(~F.trim("value").isin("{", "}", ""))
         parsed = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), pairs)
     else:
-        rows = spark.read.text(path, wholetext=True)
-        parsed = F.from_json("value", pairs)
+        return json_object_pairs(spark, path)
     failed = F.raise_error(F.lit("corpus file is not a JSON object")).cast(pairs)
     return rows.select(F.explode(F.coalesce(parsed, failed)).alias("did", "text"))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    return spark.read.csv(path, sep=sep, header=True, multiLine=True, escape='"')
-
-
 def read_corpus_csv(
     spark: SparkSession, path: str, did: str = "Codigo", text: str = "text", title: str | None = None, keep: tuple = ()
 ) -> DataFrame:
-    """CSV with quoted, possibly multi-line texts; only the named columns are read."""
-    rows = read_csv(spark, path)
+    """CSV with quoted, possibly multi-line texts, read in byte ranges; only the named columns are returned."""
+    rows = read_csv_splits(spark, path)
     head = [F.col(did).alias("did"), F.col(title).alias("title") if title else F.lit(None).cast("string").alias("title")]
     return rows.select(*head, F.col(text).alias("text"), *keep)
 
@@ -74,11 +70,12 @@ def read_queries(spark: SparkSession, path: str, sep: str = "\t", header: bool |
 
     ``header=True`` drops the first line of every file, ``None`` drops lines that look like a header.
     """
-    raw = lines(spark, path)
     if sep == ",":
-        fields = F.from_csv("value", F.lit("qid STRING, query STRING"), {"escape": '"', "mode": "PERMISSIVE"})
+        raw = csv_records(spark, path).select("value", F.struct(*PLACE).alias("line_no"))
+        fields = F.from_csv("value", F.lit("qid STRING, query STRING"), {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"})
         rows = raw.select(fields.alias("f"), "line_no").select("f.*", "line_no")
     else:
+        raw = lines(spark, path)
         parts = F.split("value", re.escape(sep), 2)
         rows = raw.select(
             F.get(parts, F.lit(0)).alias("qid"), F.get(parts, F.lit(1)).alias("query"), "line_no")

@@ -147,3 +147,69 @@ def test_templates_do_not_expand_filled_in_text(spark):
     df = spark.createDataFrame([("{doc}", "D")], "q string, d string")
     got = df.select(G.fill_template("Q {query} / {doc} {other}", {"query": F.col("q"), "doc": F.col("d")})).head()[0]
     assert got == "Q {doc} / D {other}"
+
+
+# --- files read in byte ranges -----------------------------------------------------------------------------------
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are cut every 64 bytes, which falls inside texts, escapes and line breaks."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+TEXTS = [
+    "", "plain", 'quoted "text" with, commas', "two\nlines", "three\n\n\"lines\"\nand a tab\t", "back\\slash \\\\ end\\", '\\"', '"',
+    "é 😀 日本", "{[}] : , {", "x" * 300, ': "a"', "\r\n", "ends with \\", " lead and trail ",
+]
+
+
+@pytest.mark.parametrize("layout", [{"indent": None}, {"indent": 1}, {"separators": (",", ":")}, {"ensure_ascii": True}])
+def test_json_object_in_ranges(spark, tmp_path, small_ranges, layout):
+    import json
+
+    whole = {f"id {i}": t for i, t in enumerate(TEXTS)} | {'key "with" quotes\\': "v", "": "empty key"}
+    other = {f"other{i}": "word " * i for i in range(40)}
+    for name, data in (("a.json", whole), ("b.json", other), ("c.json", {})):
+        (tmp_path / name).write_text(json.dumps(data, **{"ensure_ascii": False, **layout}), encoding="utf-8")
+    got = I.read_corpus_json_map(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted((whole | other).items())
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+
+
+def test_json_values_that_are_no_strings(spark, tmp_path, small_ranges):
+    import json
+
+    data = {"n": 1.5, "o": {"a": ["x, }", {"b": ":"}]}, "t": True, "s": "end"}
+    (tmp_path / "a.json").write_text(json.dumps(data))
+    got = {r.did: r.text for r in I.read_corpus_json_map(spark, str(tmp_path)).collect()}
+    assert got["s"] == "end" and {k: json.loads(v) for k, v in got.items() if k != "s"} == {k: v for k, v in data.items() if k != "s"}
+
+
+@pytest.mark.parametrize("text", ['["a", "b"]', '{"a": "b"', '{"a": "b}'])
+def test_json_that_is_no_object_fails(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="not a JSON object"):
+        I.read_corpus_json_map(spark, str(tmp_path)).collect()
+
+
+def test_csv_in_ranges(spark, tmp_path, small_ranges):
+    import csv
+
+    for name, low in (("a.csv", 0), ("b.csv", 100)):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\n" if low else "\r\n", quoting=csv.QUOTE_MINIMAL)
+            out.writerow(["Codigo", "text", "kind"])
+            out.writerows([low + i, t, "k"] for i, t in enumerate(TEXTS))
+    got = {r.did: r.text for r in I.read_corpus_csv(spark, str(tmp_path), keep=("kind",)).collect()}
+    want = {str(low + i): t for low in (0, 100) for i, t in enumerate(TEXTS)}
+    assert {k: v or "" for k, v in got.items()} == {k: v.strip() if v != "\r\n" and v.strip() == "" else v for k, v in want.items()}
+
+
+def test_quoted_queries_with_line_breaks(spark, tmp_path, small_ranges):
+    (tmp_path / "q.csv").write_text('qid,query\n1,"first\nline"\n2,"say ""hi"", then go"\n3,plain\n')
+    got = [(r.qid, r["query"]) for r in I.read_queries(spark, str(tmp_path / "q.csv"), sep=",").orderBy("line_no").collect()]
+    assert got == [("1", "first\nline"), ("2", 'say "hi", then go'), ("3", "plain")]
