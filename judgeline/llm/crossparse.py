@@ -5,8 +5,10 @@ occur in that text; the language that needs the fewest phrases, normalised as ph
 wins. Texts are parsed in lock-step: a batch is cut into windows, all windows take one step at a time through a dense
 transition table, and a missing transition starts a new phrase. Windows of a text are summed, so whole texts count.
 
-Fitting: the bound is ``rows_per_lang`` labelled rows and ``sample_bytes`` bytes per language, chosen by a hash of the
-id among all labelled rows; the automata then need at most 2 * sample_bytes states times the bytes in use.
+Fitting: the bound is ``rows_per_lang`` labelled rows and ``sample_bytes`` bytes per language. Rows are chosen by a hash of
+the id among all labelled rows; each gives an equal share of the bytes, from a place in its text that the hash chooses as
+well, so that no part of a text and no range of ids is preferred. The automata then need at most 2 * sample_bytes states
+times the bytes in use.
 
 Defined cases: a text that is null or has no letter, and any text when nothing was learned, is ``und`` with score 0.
 Ties go to the first language by code point. Null ids pass through; repeated rows get equal answers.
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from judgeline.llm.common import slices, texts
 
-ROWS_PER_LANG, SAMPLE_BYTES, ROW_CHARS = 64, 32_768, 1024
+ROWS_PER_LANG, SAMPLE_BYTES = 64, 32_768
 WINDOW = 512
 UNDETERMINED = "und"
 #: Classes of bytes: padding stays where it is and is never a miss, unseen bytes always are.
@@ -127,7 +129,8 @@ def learn_samples(
     """Bounded text per language from rows with a language; only that text comes to the driver.
 
     Candidates are numbered on narrow rows (``row_number() <= n`` is cut before the shuffle), and texts are read for the
-    chosen ids only.
+    chosen ids only. A row's share is ``sample_bytes`` by the number of rows chosen for its language; a shorter text is
+    taken whole.
     """
     text = F.col(f"`{text_col}`")
     rows = labelled.where(F.col(f"`{lang_col}`").isNotNull()).select(
@@ -136,15 +139,33 @@ def learn_samples(
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select("lang", "id").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= rows_per_lang)
     texts_of = rows.join(chosen.drop("rn").distinct(), ["lang", "id"], "left_semi").where(text_has_letter(F.col("text")))
+    # Code points: at least as many as the bytes that a row can give, with the lowest number of rows that a language has.
+    start = F.pmod(F.xxhash64("id", F.lit("window")), F.greatest(F.length("text") - F.col("share") + 1, F.lit(1))) + 1
+    sizes = chosen.groupBy("lang").agg(F.floor(F.lit(sample_bytes) / F.count(F.lit(1))).cast("int").alias("share"))
+    cut = texts_of.join(sizes, "lang").select(
+        "lang", "id", "share", F.substring("text", start.cast("int"), F.col("share")).alias("text")).distinct()
     found: dict[str, list] = {}
-    for r in texts_of.select("lang", "id", F.substring("text", 1, ROW_CHARS).alias("text")).distinct().collect():
-        found.setdefault(r["lang"], []).append((r["id"], r["text"]))
-    out = []
-    for lang in sorted(found):
-        if lang != UNDETERMINED:
-            data = b"\n".join(t.encode().lower() for _, t in sorted(found[lang]))
-            out.append((lang, data[:sample_bytes]))
-    return tuple(out)
+    for r in cut.collect():
+        found.setdefault(r["lang"], []).append((r["id"], r["text"].encode().lower()[:r["share"] - 1]))
+    return tuple((lang, b"\n".join(t for _, t in sorted(found[lang]))) for lang in sorted(found) if lang != UNDETERMINED)
+
+
+def bit_bounds(
+    labelled: DataFrame, margin: float = 1.25, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
+) -> DataFrame:
+    """``lang_pred, most``: the bits per byte beyond which a text is in no learned language.
+
+    Half of the labelled rows (by a hash of the id) teach, all others are parsed: a text must not be measured by a sample
+    that it is part of. The bound of a language is ``margin`` times the most bits that any of its texts needs, of those
+    that are recognised as that language. At most one row per learned language; a language without one has no bound.
+    """
+    teaches = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit("half")), F.lit(2)) == 0
+    samples = learn_samples(labelled.where(teaches), id_col, lang_col, text_col)
+    lang = F.col(f"`{lang_col}`").cast("string").alias("lang")
+    rows = labelled.where(~teaches & F.col(f"`{lang_col}`").isNotNull()).select(
+        text_has_letter(F.col(f"`{text_col}`")).alias("letter"), lang, F.col(f"`{text_col}`").cast("binary").alias("text"))
+    judged = _mapped(rows, samples, "lang", lambda batch: batch.column("text").cast(pa.binary()).fill_null(b""))
+    return judged.where("lang = lang_pred").groupBy("lang_pred").agg((F.max("bits") * margin).alias("most"))
 
 
 def text_has_letter(text: Column) -> Column:

@@ -87,14 +87,14 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows, groups = digest_groups(docs, id_col, text_col)
-    tied = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("_ties"))
+    tied = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("ties"))
     new = index.append(written(groups, "groups"))
-    keep = new.select("digest", F.col("keep_id").alias("_keep")).join(
-        tied.withColumnRenamed("doc_id", "_keep_id"),
-        "digest").where(F.col("_keep").eqNullSafe(F.col("_keep_id"))).select(
-            F.col("digest").alias("_digest"), "_keep", "_ties")
-    found = docs.withColumn("_own", digest(text_col)).join(
-        keep.hint("merge"),
-        (F.col("_own") == F.col("_digest")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_keep")))
-    once = found.where("_ties = 1").unionByName(found.where("_ties > 1").dropDuplicates(["_own"]))
-    return once.select(*[f"`{c}`" for c in docs.columns])
+    keep = new.select("digest", F.col("keep_id").alias("keep")).join(
+        tied.withColumnRenamed("doc_id", "own"), "digest").where(F.col("keep").eqNullSafe(F.col("own"))).select(
+            "digest", "keep", "ties")
+    # Rows travel as one struct, so that no name of theirs can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    carried = docs.select(whole.alias("row"), digest(text_col).alias("sha"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    found = carried.join(keep.hint("merge"), (F.col("sha") == F.col("digest")) & F.col("id").eqNullSafe(F.col("keep")))
+    once = found.where("ties = 1").unionByName(found.where("ties > 1").dropDuplicates(["sha"]))
+    return once.select("row.*")

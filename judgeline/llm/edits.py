@@ -133,7 +133,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
         tool = walk(seed)
 
         def work(batch: pa.RecordBatch) -> dict:
-            marks = [tool.fingerprint(t, tool.go(t)) for t in (t.decode() for t in batch.column("text").to_pylist())]
+            marks = [tool.fingerprint(t, tool.go(t)) for t in (t.decode("utf-8", "replace") for t in batch.column("text").to_pylist())]
             return {
                 "doc_id": batch.column("doc_id"), "length": [m[0] for m in marks],
                 "words": [m[1].view(np.int64).tolist() for m in marks], "fingerprint": [as_text(*m) for m in marks]}
@@ -277,7 +277,7 @@ def fingerprints_with_next(
             for i, (b, guest, doc_id) in enumerate(zip(*columns)):
                 if b == block and closed:
                     continue
-                now = sketched(data[i].as_py().decode())
+                now = sketched(data[i].as_py().decode("utf-8", "replace"))
                 if b == block:
                     out.append(row(held[0], held[1], now))
                     size += 2 * len(out[-1][2]) + 4096

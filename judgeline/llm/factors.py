@@ -288,7 +288,7 @@ def remove_repeats(
                     kept += words[at:]
                     out["n_words"].append(len(words))
                     out["n_removed"].append(len(words) - len(kept))
-                    out["text"].append(b" ".join(kept).decode())
+                    out["text"].append(b" ".join(kept).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_pydict(out)
 
     return ready.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")

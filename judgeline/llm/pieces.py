@@ -225,7 +225,7 @@ def encode_decode(
         tool = codec(model_path)
 
         def work(batch: pa.RecordBatch) -> dict:
-            found = [tool.encode_joined(t.decode()) for t in batch.column("text").to_pylist()]
+            found = [tool.encode_joined(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
             return {
                 "doc_id": batch.column("doc_id"), "n_tokens": [f[0] for f in found], "ids": [f[1] for f in found],
                 "decoded": [f[2] for f in found]}
