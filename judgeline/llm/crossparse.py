@@ -16,8 +16,6 @@ Ties go to the first language by code point. Null ids pass through; repeated row
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,16 +73,18 @@ class Parser:
         self.tables, self.bits = [], []
         for _, data in samples:
             step, _ = suffix_automaton(data)
-            flat = np.full((len(step), width), -1, np.int64)
+            flat = np.full((len(step), width), -1, np.int32)
             rows = np.repeat(np.arange(len(step)), [len(s) for s in step])
             keys = np.fromiter((c for s in step for c in s), np.int64, len(rows))
             flat[rows, self.classes[keys]] = np.fromiter((v for s in step for v in s.values()), np.int64, len(rows))
+            del step, rows, keys
             missing = flat < 0
             root = np.where(flat[0] < 0, 0, flat[0])
             root[PAD] = 0
-            flat = np.where(missing, ~(np.broadcast_to(root, flat.shape) * width), flat * width)
+            flat *= width
+            np.copyto(flat, np.broadcast_to(~(root * width), flat.shape), where=missing)
             flat[:, PAD] = 0
-            self.tables.append(flat.astype(np.int32).ravel())
+            self.tables.append(flat.ravel())
             self.bits.append(np.log2(max(2, len(data))))
 
     def phrases(self, data: list[bytes]) -> np.ndarray:
@@ -116,10 +116,15 @@ class Parser:
         return self.phrases(data) * np.array(self.bits) / sizes[:, None]
 
 
-@lru_cache(maxsize=2)
+_held: dict[tuple, Parser] = {}
+
+
 def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
-    """One parser per worker process and set of samples."""
-    return Parser(samples)
+    """One parser per worker process; that of other samples is given up before a new one is built."""
+    if samples not in _held:
+        _held.clear()
+        _held[samples] = Parser(samples)
+    return _held[samples]
 
 
 def learn_samples(
