@@ -35,6 +35,9 @@ HEADLINES = [
     "exclude_terms_join",
     "mine_negatives_chunked",
     "incremental_topk",
+    "gold_rank",
+    "train_pair_classifier",
+    "read_corpus_csv",
 ]
 
 
