@@ -15,6 +15,7 @@ from judgeline.operators import retrieve as R
 from judgeline.operators import sampling as S
 from judgeline.operators import selection as E
 from judgeline.operators import sizing as Z
+from judgeline.operators import vectors as V
 
 QRELS = "qid string, did string, label int"
 RUN = "run_id string, qid string, did string, rank int, score double"
@@ -158,10 +159,9 @@ def test_knn_blocks_do_not_change_results(table, monkeypatch):
     vecs = [(str(i), [rng.random() for _ in range(6)]) for i in range(70)]
     q, d = table("qid string, vec array<float>", vecs[:20]), table("did string, vec array<float>", vecs)
     a = rows(R.knn_topk(q, d, k=4, sim="cosine").select("qid", "did", "rank"))
-    monkeypatch.setattr(R, "CELL_NUMBERS", 16 * 6)  # 16 documents at a time
-    monkeypatch.setattr(R, "QUERY_BYTES", 7 * 6 * 8)  # about 7 queries per block
-    monkeypatch.setattr(R, "SLICE", 3)
-    assert rows(R.knn_topk(q, d.repartition(5), k=4, sim="cosine").select("qid", "did", "rank")) == a
+    monkeypatch.setattr(V, "QUERY_BYTES", 7 * 6 * 8)  # about 7 queries per block
+    monkeypatch.setattr(V, "SLICE", 3)
+    assert rows(R.knn_topk(q, d.repartition(5), k=4, sim="cosine", cell_docs=16).select("qid", "did", "rank")) == a
 
 
 def test_topk_ties_go_by_id(table):
@@ -425,8 +425,6 @@ def test_pruned_search_equals_flat_search(table, sim):
     """Documents of several rows count as their best one; a zero vector and a null one are defined."""
     import numpy as np
 
-    from judgeline.operators import vectors as V
-
     rng = random.Random(4)
     rows = [(f"d{i % 420}", v) for i, v in enumerate(_clustered(rng, 500, 9))] + [("zero", [0.0] * 6)]
     asked = [(f"q{i}", v) for i, v in enumerate(_clustered(rng, 25, 9))] + [("d7", rows[7][1])]
@@ -446,8 +444,6 @@ def test_pruned_search_equals_flat_search(table, sim):
 
 
 def test_cells_are_skipped(table):
-    from judgeline.operators import vectors as V
-
     rng = random.Random(5)
     docs = table("did string, vec array<double>", [(f"d{i}", v) for i, v in enumerate(_clustered(rng, 600, 12))])
     queries = table("qid string, vec array<double>", [(f"q{i}", v) for i, v in enumerate(_clustered(rng, 10, 12))])
@@ -471,8 +467,6 @@ def test_one_document_of_many_near_chunks_does_not_crowd_out_the_others(table):
 def test_late_interaction_with_bounds_equals_all_pairs(table):
     import numpy as np
 
-    from judgeline.operators import vectors as V
-
     rng = random.Random(6)
     bag = lambda n: _clustered(rng, n, 7) if n else []
     docs = {f"d{i}": bag(rng.randrange(0, 6)) for i in range(200)}
