@@ -1,12 +1,14 @@
 """URL filter: explicit rules first, then empirical-Bayes host reputation (DataFrame functions only).
 
-Labelled page outcomes are counted per host, and each count is shrunk towards its registered domain, that towards its
+Outcomes come from the pages themselves: a page that a rule fits has that rule's verdict, any other is bad if its text
+holds a word that labelled documents mark as bad. They are counted per host, and each count is shrunk towards its registered domain, that towards its
 public suffix, and that towards all pages, by beta-binomial priors whose strengths are estimated from the counts. A
 host is blocked when the lower bound of its posterior exceeds a threshold, so that few bad pages alone never block.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged like any
 host. Hosts without outcomes get their domain's, suffix's or the overall rate. Repeated pages get equal verdicts.
-Without any outcome every page that no rule blocks is allowed.
+Without any outcome every page that no rule blocks is allowed. A null html has no words; labels without a document, or
+with a null mark, teach nothing bad. Empty tables give empty results, and other columns of a table are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ WEAKEST, STRONGEST = 2.0, 1000.0
 DEVIATIONS = 1.645
 #: Blocked when the lower bound of the bad share is above this.
 BAD_SHARE = 0.5
+#: A word is bad if the share of bad texts among those that hold it is above one half by so many deviations.
+WORD_DEVIATIONS = 3.0
 #: Suffixes of two labels under which domains are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "com.mx", "co.za")
 
@@ -55,6 +59,54 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
+def words_of(text: Column) -> Column:
+    """Distinct runs of letters, A-Z lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(r"\p{L}+"), F.lit(0)))
+
+
+def visible(html: Column) -> Column:
+    """Text between the tags, without scripts and styles."""
+    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ")
+
+
+def bad_words(labelled: DataFrame) -> DataFrame:
+    """``word``: those whose texts are bad by the lower bound of their shrunk share; ``labelled`` has ``text, bad``.
+
+    Equal texts count once, and as bad if any of them is. Counts are summed map-side.
+    """
+    distinct = written(
+        labelled.where("text IS NOT NULL").groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(
+            F.max(F.col("bad").cast("int")).alias("bad"), F.first(words_of(F.col("text"))).alias("words")).drop("digest"),
+        "labelled")
+    prior = distinct.agg(F.avg("bad")).head()[0] or 0.0
+    n = F.col("n")
+    rate = (F.col("a") + WEAKEST * F.lit(float(prior))) / (n + WEAKEST)
+    counts = distinct.select("bad", F.explode("words").alias("word")).groupBy("word").agg(
+        F.sum("bad").alias("a"), F.count(F.lit(1)).alias("n")).withColumn("r", rate)
+    low = F.col("r") - WORD_DEVIATIONS * F.sqrt(F.col("r") * (1 - F.col("r")) / (n + WEAKEST + 1))
+    return counts.where(low > 0.5).select("word")
+
+
+def page_outcomes(
+    pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", html_col: str = "html",
+) -> DataFrame:
+    """``host, bad`` for every page: its rule's verdict, else whether its text holds a bad word.
+
+    Words stay beside the digest of their page, so that what is joined back is one digest per bad page.
+    """
+    html = F.col(f"`{html_col}`")
+    digest = F.md5(html.cast("binary")).alias("digest")
+    words = written(bad_words(labelled), "bad-words")
+    marked = written(
+        pages.select(digest, F.explode(words_of(visible(html))).alias("word")).join(words, "word", "left_semi")
+        .select("digest").distinct().withColumn("marked", F.lit(1)), "bad-pages")
+    url = F.col(f"`{url_col}`")
+    rows = pages.select(host_of(url).alias("host"), path_of(url).alias("path"), digest)
+    _, ruled = rule_of(F.col("host"), F.col("path"), rules)
+    bad = F.coalesce((ruled == "block").cast("int"), "marked", F.lit(0))
+    return rows.join(marked, "digest", "left").select("host", bad.alias("bad"))
+
+
 def _shrunk(groups: DataFrame) -> DataFrame:
     """Adds ``rate`` and ``k``: each group's share shrunk towards its ``prior`` with strength ``k``.
 

@@ -80,9 +80,25 @@ WITH p AS (
     SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN
         translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
         ELSE '' END AS host,
-        coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+        coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, html
     FROM pages),
-o AS (SELECT host, (coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::BIGINT AS bad FROM p JOIN labels ON page_id = doc_id),
+e AS (SELECT text, max((coalesce(toxic, 0) = 1)::INTEGER) AS bad FROM documents JOIN labels USING (doc_id)
+    WHERE text IS NOT NULL GROUP BY text),
+ew AS (SELECT bad, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\p{L}+'))) AS word FROM e),
+et AS (SELECT word, n, (a + 2.0::DOUBLE * m) / (n + 2) AS r FROM (SELECT word, sum(bad)::DOUBLE AS a, count(*)::DOUBLE AS n FROM ew GROUP BY word),
+    (SELECT avg(bad) AS m FROM e)),
+bw AS (SELECT word FROM et WHERE r - 3 * sqrt(r * (1 - r) / (n + 3)) > 0.5),
+hw AS (SELECT html, unnest(list_distinct(regexp_extract_all(translate(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<[^>]*>', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\p{L}+'))) AS word
+    FROM (SELECT DISTINCT html FROM pages)),
+bh AS (SELECT DISTINCT html FROM hw SEMI JOIN bw USING (word)),
+f AS (SELECT p.*, CASE
+        WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
+o AS (SELECT host, (CASE WHEN rule IS NULL THEN bh.html IS NOT NULL ELSE rule NOT IN ('com/', 'www.example.com/en/') END)::BIGINT AS bad
+    FROM f LEFT JOIN bh ON f.html = bh.html),
 c AS (SELECT h.host, array_to_string(list_slice(string_split(h.host, '.'), -2, -1), '.') AS domain,
         string_split(h.host, '.')[-1] AS suffix, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad
     FROM (SELECT DISTINCT host FROM p) h LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS bad FROM o GROUP BY host) USING (host)),
@@ -96,23 +112,17 @@ w AS (SELECT c.*, coalesce(d.rate, s.rate, prior0) AS prior FROM c LEFT JOIN d U
 h_0 AS (SELECT * FROM w WHERE n > 0),
 """ + _SHRUNK.format(name="h") + """,
 r AS (SELECT host, n, kk, (bad + kk * prior) / (n + kk) AS rate FROM w, (SELECT coalesce(max(k), 1000.0) AS kk FROM h_k)),
-v AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + kk + 1)) AS low FROM r),
-f AS (SELECT p.*, CASE
-        WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
-        WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
-        WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
-        WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
-        WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
+v AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + kk + 1)) AS low FROM r)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(rate, 6) AS bad_rate
 FROM f JOIN v USING (host)
 """)
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules, then host reputation from labelled pages: a page counts as bad if its label is toxic or of low quality."""
+    """Rules, then host reputation: pages are bad by a rule's verdict, else by words that mark toxic documents."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
-    marks = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    outcomes = pages.select("page_id", hosts.host_of(F.col("url")).alias("host")).join(marks, "page_id").select("host", "bad")
+    toxic = (F.coalesce("toxic", F.lit(0)) == 1).alias("bad")
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.select("doc_id", toxic), "doc_id")
+    outcomes = hosts.page_outcomes(pages, labelled, URL_RULES)
     out = hosts.filter_urls(pages, outcomes, URL_RULES)
     return out.withColumn("bad_rate", F.round("bad_rate", 6))
 
