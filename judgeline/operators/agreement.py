@@ -99,17 +99,30 @@ def align_annotators(a: DataFrame, b: DataFrame, strict: bool = True) -> DataFra
     return both.select("qid", "did", needed("label_a", "first set"), needed("label_b", "second set"))
 
 
+def _stacked(preds: list[DataFrame]) -> DataFrame:
+    """(qid, did, v STRUCT(set, label)) of all prediction sets."""
+    return reduce(DataFrame.unionByName, [
+        p.select("qid", "did", F.struct(F.lit(i).alias("set"), F.col("label").alias("label")).alias("v"))
+        for i, p in enumerate(preds)])
+
+
 def ensemble_join(gold: DataFrame, preds: list[DataFrame]) -> DataFrame:
     """(qid, did, gold, votes ARRAY) of gold pairs that every prediction set covers; one shuffle for all sets."""
-    tagged = [p.select("qid", "did", F.struct(F.lit(i).alias("set"), F.col("label").alias("label")).alias("v"))
-              for i, p in enumerate(preds)]
-    stacked = reduce(DataFrame.unionByName, tagged)
-    votes = stacked.groupBy("qid", "did").agg(F.sort_array(F.collect_set("v")).alias("v")).where(
+    votes = _stacked(preds).groupBy("qid", "did").agg(F.sort_array(F.collect_set("v")).alias("v")).where(
         F.size("v") == len(preds))
     return gold.select("qid", "did", F.col("label").alias("gold")).join(votes, ["qid", "did"]).select(
         "qid", "did", "gold", F.transform("v", lambda x: x["label"]).alias("votes"))
 
 
+def ensemble_dropped(gold: DataFrame, preds: list[DataFrame]) -> DataFrame:
+    """(qid, did, gold, missing ARRAY) of gold pairs that ``ensemble_join`` drops; sets that lack the pair, from 1."""
+    covered = _stacked(preds).groupBy("qid", "did").agg(F.collect_set(F.col("v.set") + 1).alias("covered"))
+    every = F.array(*[F.lit(i + 1) for i in range(len(preds))])
+    missing = F.coalesce(F.array_except(every, F.col("covered")), every)
+    return gold.select("qid", "did", F.col("label").alias("gold")).join(covered, ["qid", "did"], "left").select(
+        "qid", "did", "gold", missing.alias("missing")).where(F.size("missing") > 0)
+
+
 def majority_label(votes: Column) -> Column:
     """Most frequent vote; 0 when two labels tie for the top."""
     counts = F.transform(F.array_distinct(votes), lambda v: F.struct(

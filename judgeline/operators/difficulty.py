@@ -121,6 +121,24 @@ def set_similarity(pairs: DataFrame) -> DataFrame:
         "jaccard": F.coalesce(F.try_divide(both, F.size(q) + F.size(d) - both), F.lit(0.0))})
 
 
+def overlap_by_dataset(judged: DataFrame, queries: DataFrame, corpora: dict[str, DataFrame]) -> DataFrame:
+    """Mean token recall and Jaccard of judged pairs over several corpora, by data set and by data set and label.
+
+    ``judged`` has ``dataset, qid, did, label`` and ``queries`` ``dataset, qid, query``; the result has a row with a NULL
+    label per data set, and columns ``token_recall_<name>, jaccard_<name>`` per corpus. Unknown queries and documents
+    are empty sets. Texts are cut to the judged documents where they are read, and only token sets are joined.
+    """
+    rows = judged.select("dataset", "qid", "did", "label").join(
+        queries.select("dataset", "qid", token_set_punct("query").alias("qs")), ["dataset", "qid"], "left")
+    for name, corpus in corpora.items():
+        docs = pick(corpus.select("did", "text"), judged).select("did", token_set_punct("text").alias("ds"))
+        rows = set_similarity(rows.join(docs, "did", "left")).drop("ds").withColumnsRenamed(
+            {"token_recall": f"token_recall_{name}", "jaccard": f"jaccard_{name}"})
+    means = [F.avg(f"{kind}_{name}").alias(f"{kind}_{name}") for name in corpora for kind in ("token_recall", "jaccard")]
+    whole = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), *means).withColumn("label", F.lit(None).cast("int"))
+    return rows.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("n"), *means).unionByName(whole)
+
+
 def mean_jaccard_all_pairs(overlap: DataFrame, n_queries: DataFrame, n_docs: DataFrame) -> DataFrame:
     """Mean Jaccard over all query-document pairs from the overlapping ones; the others add 0."""
     total = overlap.agg(F.sum(F.col("h") / (F.col("n") + F.col("m") - F.col("h"))).alias("t"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from judgeline.functions.text import SUMMARY_SECTIONS, extract_numbers, extract_section, section_flags
@@ -145,6 +148,14 @@ def ensemble_join(spark, sf):
     return out.select("qid", "did", "gold", *[F.element_at("votes", i).alias(f"v{i}") for i in (1, 2, 3)])
 
 
+@query("ensemble_dropped", "gold raters pred", """SELECT qid, did, g.label gold, concat_ws(',', CASE WHEN r2 IS NULL THEN '1' END,
+    CASE WHEN r3 IS NULL THEN '2' END, CASE WHEN p.label IS NULL THEN '3' END) missing
+    FROM gold g LEFT JOIN raters USING (qid, did) LEFT JOIN pred p USING (qid, did) WHERE r2 IS NULL OR r3 IS NULL OR p.label IS NULL""")
+def ensemble_dropped(spark, sf):
+    out = A.ensemble_dropped(fx.gold(spark, sf), [_rater(spark, sf, "r2"), _rater(spark, sf, "r3"), fx.pred(spark, sf)])
+    return out.withColumn("missing", F.array_join("missing", ","))
+
+
 part("ens", "gold raters pred", """SELECT qid, did, g.label gold, unnest([r2, r3, p.label]) v
     FROM gold g JOIN raters USING (qid, did) JOIN pred p USING (qid, did)""")
 part("maj", "ens", """SELECT qid, did, gold, CASE WHEN count(*) FILTER (c = mx) > 1 THEN 0 ELSE max(v) FILTER (c = mx) END pred
@@ -304,6 +315,29 @@ def token_recall_means(spark, sf):
         F.count(F.lit(1)).alias("n"), F.avg("token_recall").alias("token_recall"), F.avg("jaccard").alias("jaccard")))
 
 
+part("dsj", "gold pred", f"""SELECT dataset, label, q, f, s, len(list_intersect(q, f)) bf, len(list_intersect(q, s)) bs
+    FROM (SELECT 'gold' dataset, * FROM gold UNION ALL SELECT 'run', qid, did, label FROM pred)
+    LEFT JOIN (SELECT CAST(item_id AS VARCHAR) qid, {PUNCT} q FROM benchmark) USING (qid)
+    LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) did, {PUNCT} f, {PUNCT.replace("lower(text)", "lower(split_part(text, chr(10), 1))")} s
+        FROM documents) USING (did)""")
+
+
+@query("overlap_by_dataset", "dsj", """SELECT dataset, label, count(*) n, round(avg(coalesce(bf / nullif(len(q), 0), 0)), 6) token_recall_full,
+    round(avg(coalesce(bf / nullif(len(q) + len(f) - bf, 0), 0)), 6) jaccard_full,
+    round(avg(coalesce(bs / nullif(len(q), 0), 0)), 6) token_recall_summary,
+    round(avg(coalesce(bs / nullif(len(q) + len(s) - bs, 0), 0)), 6) jaccard_summary
+    FROM dsj GROUP BY GROUPING SETS ((dataset, label), (dataset))""")
+def overlap_by_dataset(spark, sf):
+    """Judged pairs and a run's pairs, over whole texts and over their first lines."""
+    names = {"gold": fx.gold(spark, sf), "run": fx.pred(spark, sf)}
+    judged = written(reduce(DataFrame.unionByName, [
+        t.select(F.lit(n).alias("dataset"), "qid", "did", "label") for n, t in names.items()]), "judged")
+    asked = fx.queries(spark, sf).select(F.explode(F.array(*map(F.lit, names))).alias("dataset"), "qid", "query")
+    corpus = fx.corpus(spark, sf)
+    lines = corpus.select("did", F.substring_index("text", "\n", 1).alias("text"))
+    return r6(D.overlap_by_dataset(judged, asked, {"full": corpus, "summary": lines}), "dataset")
+
+
 part("csov", "", r"""SELECT h, n, m FROM (SELECT qid, did, count(*) h FROM
     (SELECT item_id qid, unnest(list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) t FROM benchmark) JOIN
     (SELECT doc_id did, unnest(list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) t FROM documents) USING (t) GROUP BY qid, did)

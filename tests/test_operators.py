@@ -536,3 +536,31 @@ def test_wide_runs_in_blocks(table):
     blocks = [b.orderBy("rank").collect() for b in O.run_wide_blocks(run, 2, width=3)]
     assert [len(b[0]) - 1 for b in blocks] == [3, 3, 1]
     assert {c: b[1][c] for b in blocks for c in b[1].asDict() if c != "rank"} == {f"q{i}": f"d{i}_2" for i in range(7)}
+
+
+# --- reports over sets of judgments ----------------------------------------------------------------------------
+
+
+def test_dropped_gold_pairs_are_named(table):
+    gold = table(QRELS, [("a", "1", 2), ("a", "2", 0), ("b", "1", 1), ("b", "1", 1)])
+    first = table(QRELS, [("a", "1", 1), ("a", "1", 1), ("x", "9", 1)])
+    second = table(QRELS, [("a", "1", 1), ("a", "2", 1)])
+    assert rows(A.ensemble_dropped(gold, [first, second])) == [
+        ("a", "2", 0, [1]), ("b", "1", 1, [1, 2]), ("b", "1", 1, [1, 2])]
+    kept = A.ensemble_join(gold, [first, second]).count()
+    assert kept + A.ensemble_dropped(gold, [first, second]).count() == gold.count()
+    assert A.ensemble_dropped(gold.limit(0), [first]).count() == 0
+
+
+def test_overlap_means_by_dataset_and_corpus(table):
+    judged = table("dataset string, " + QRELS, [
+        ("x", "a", "1", 1), ("x", "a", "2", 0), ("y", "a", "1", 1), ("y", "b", "1", 1), ("y", "a", "none", 0)])
+    queries = table("dataset string, qid string, query string", [("x", "a", "red house"), ("y", "a", "Blue, house!")])
+    full = table("did string, text string", [("1", "a red house"), ("2", "nothing"), ("3", "red house")])
+    short = table("did string, text string", [("1", "red"), ("2", None)])
+    got = {(r.dataset, r.label): r for r in D.overlap_by_dataset(judged, queries, {"full": full, "short": short}).collect()}
+    assert set(got) == {("x", 1), ("x", 0), ("x", None), ("y", 1), ("y", 0), ("y", None)}
+    x, y = got["x", None], got["y", None]
+    assert (x.n, x.token_recall_full, x.token_recall_short) == (2, 0.5, 0.25)
+    assert x.jaccard_full == pytest.approx((2 / 3 + 0) / 2) and x.jaccard_short == pytest.approx(0.25)
+    assert (y.n, got["y", 1].n) == (3, 2) and y.token_recall_full == pytest.approx(0.5 / 3) and y.jaccard_short == 0
