@@ -1,10 +1,16 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation.
 
-The model predicts the class of a word from the class before it. Classes are the most frequent words, the end of a text,
-and buckets of all other words by their last bytes; within a bucket a word has its smoothed share of the bucket's counts,
-so probabilities are normalised over all words. Scores are bilinear, s(h, w) = r_h . t_w + b_w, and trained on the counts
-of all neighbouring classes in the corpus, with the noise term taken in expectation. One batched product of context and
-target vectors then gives the normalised log-probabilities of every class after every class.
+The model predicts the class of a word from the classes of the words before it. Classes are the most frequent words, the
+end of a text, and buckets of all other words by their last bytes; within a bucket a word has its smoothed share of the
+bucket's counts, so probabilities are normalised over all words. Each of the ``width`` positions before a word has a
+matrix; the context vector is the sum of the earlier words' vectors, each times the matrix of its position, and scores
+are bilinear: s(h, w) = (C_1 r_1 + ... + C_n r_n) . t_w + b_w. A batched product of context and target vectors gives the
+log-probabilities of all classes, which are normalised place by place.
+
+Training has two steps. The counts of all neighbouring classes give the vectors of a model with the first position alone
+(the noise term is taken in expectation). From there every task passes once over its training texts and takes Adagrad
+steps of noise-contrastive estimation on batches of whole contexts, with noise classes shared within a batch; they move
+matrices, target vectors and biases, while the context vectors stay those of the first step. The tasks' models are averaged by their numbers of tokens, in two rounds of sums, so that a bounded list reaches the driver.
 
 Counts of words and of neighbouring classes cover all training texts and grow with them; words are summed in tasks before
 they are shuffled. ``HOT_WORDS`` of the most frequent words (a bound on what is broadcast, not on what is counted) are
@@ -29,10 +35,14 @@ from pyspark.sql import types as T
 from judgeline.llm.common import slices, texts
 from judgeline.session import written
 
-#: Words looked up without a join, words that are classes of their own, buckets of the others.
-HOT_WORDS, CLASS_WORDS, BUCKETS = 262_144, 1024, 256
+#: Words looked up without a join and their bytes, words that are classes of their own, buckets of the others.
+HOT_WORDS, HOT_BYTES, CLASS_WORDS, BUCKETS = 262_144, 16 << 20, 512, 128
 #: Vector length, noise words per observed word, training steps and their size.
 DIMENSIONS, NOISE, STEPS, RATE = 32, 16, 120, 0.05
+#: Words before a word that it is predicted from; places, noise classes and step size of a batch; groups of task models.
+WIDTH, BATCH, BATCH_NOISE, BATCH_RATE, GROUPS = 4, 2048, 64, 0.02, 64
+#: Places whose probabilities are computed at a time.
+PLACES = 1024
 #: The end of a text as a token; no word is empty.
 END = b""
 #: Distinct words that a task sums before it hands them on.
@@ -70,18 +80,18 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def hot_words(counts: DataFrame, most: int = HOT_WORDS) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most ``most``: those above a count that a histogram on a log scale gives.
+def hot_words(counts: DataFrame, most: int = HOT_WORDS, most_bytes: int = HOT_BYTES) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``most`` of ``most_bytes``: those above a count that a log-scale histogram gives.
 
     A few hundred histogram rows and the words themselves come to the driver, whatever the size of ``counts``.
     """
     step = F.floor(F.log2("c") * 16)
-    sizes = sorted(((r["s"], r["k"], r["low"]) for r in counts.groupBy(step.alias("s")).agg(
-        F.count(F.lit(1)).alias("k"), F.min("c").alias("low")).collect()), reverse=True)
-    least, total = None, 0
-    for _, k, low in sizes:
-        total += k
-        if total > most:
+    sizes = sorted(((r["s"], r["k"], r["b"], r["low"]) for r in counts.groupBy(step.alias("s")).agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.length("token")).alias("b"), F.min("c").alias("low")).collect()), reverse=True)
+    least, total, size = None, 0, 0
+    for _, k, b, low in sizes:
+        total, size = total + k, size + b
+        if total > most or size > most_bytes:
             break
         least = low
     if least is None:
@@ -139,8 +149,8 @@ def class_pairs(train: DataFrame, lexicon) -> DataFrame:
     return train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def train_nce(counts: np.ndarray, dims: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, seed: int = 7) -> np.ndarray:
-    """Normalised log10 probabilities (context, word) of a log-bilinear model fitted to a matrix of counts.
+def train_nce(counts: np.ndarray, dims: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, seed: int = 7) -> dict:
+    """Context vectors ``r``, target vectors ``t`` and ``b`` of a model of one position, fitted to a matrix of counts.
 
     Noise-contrastive estimation tells the observed words from ``noise`` draws of the smoothed word frequencies per
     observation; the objective sums over all pairs, so that the draws are taken in expectation. Adam takes the steps.
@@ -170,20 +180,146 @@ def train_nce(counts: np.ndarray, dims: int = DIMENSIONS, noise: int = NOISE, st
             second[k] = 0.99 * second[k] + 0.01 * slope * slope
             move = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
             values[k] += np.float32(RATE * (1 - step / (steps + 1))) * move
-    s = (values["r"] @ values["t"].T + values["b"]).astype(np.float64)
-    s -= s.max(axis=1, keepdims=True)
-    return (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
+    return values
+
+
+class Net:
+    """Context vectors ``r`` (class, dim), position matrices ``c`` (position, dim, dim), targets ``t`` and biases ``b``."""
+
+    NAMES = ("r", "c", "t", "b")
+
+    def __init__(self, r, c, t, b):
+        self.r, self.c, self.t, self.b = r, c, t, b
+        self.width = len(c)
+
+    @classmethod
+    def first(cls, values: dict, width: int) -> Net:
+        """The model of one position: its matrix is the unit matrix, the others are nought."""
+        dims = values["r"].shape[1]
+        c = np.zeros((width, dims, dims), np.float32)
+        c[0] = np.eye(dims)
+        return cls(values["r"].copy(), c, values["t"].copy(), values["b"].copy())
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+
+    def like(self, flat: np.ndarray) -> Net:
+        cuts = np.cumsum([getattr(self, n).size for n in self.NAMES])[:-1]
+        parts = np.split(np.asarray(flat, np.float32), cuts)
+        return Net(*[x.reshape(getattr(self, n).shape) for n, x in zip(self.NAMES, parts)])
+
+    def lines(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(contexts, targets, starts) of texts given by their classes; ends stand before and after each text."""
+        pad, end = np.zeros(self.width, np.int64), np.zeros(1, np.int64)
+        line = np.concatenate([x for text in texts for x in (pad, text, end)])
+        sizes = np.array([len(text) + 1 for text in texts])
+        starts = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat((np.arange(len(texts)) + 1) * self.width, sizes)
+        return line[at[:, None] - 1 - np.arange(self.width)], line[at], starts
+
+    def log10(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Log-probability of every target after its context, normalised over all classes."""
+        tables = [self.r @ c.T for c in self.c]
+        t = np.ascontiguousarray(self.t.T)
+        out = np.empty(len(targets))
+        for i in range(0, len(targets), PLACES):
+            part, want = contexts[i:i + PLACES], targets[i:i + PLACES]
+            h = sum(table[part[:, j]] for j, table in enumerate(tables))
+            s = h @ t
+            s += self.b
+            top = s.max(axis=1, keepdims=True)
+            if np.abs(top).max() > 60:  # beyond what exp of 32-bit numbers can hold
+                s -= top
+            own = s[np.arange(len(want)), want].astype(np.float64)
+            np.exp(s, out=s)
+            out[i:i + PLACES] = own - np.log(s.sum(axis=1, dtype=np.float64))
+        return out / np.log(10)
+
+
+class Trainer:
+    """Adagrad steps of noise-contrastive estimation from a common starting model."""
+
+    def __init__(self, net: Net, q: np.ndarray, seed: int = 7):
+        self.net, self.tokens = net.like(net.flat()), 0
+        self.log_q = np.log(BATCH_NOISE * q).astype(np.float32)
+        self.cut = np.cumsum(q)
+        self.random = np.random.default_rng(seed)
+        self.squares = {n: np.full_like(getattr(net, n), 1e-4) for n in Net.NAMES}
+
+    def _move(self, name: str, slope: np.ndarray, at=slice(None)) -> None:
+        squares = self.squares[name]
+        squares[at] += slope * slope
+        getattr(self.net, name)[at] += np.float32(BATCH_RATE) * slope / np.sqrt(squares[at])
+
+    def step(self, contexts: np.ndarray, targets: np.ndarray) -> None:
+        net, n = self.net, len(targets)
+        drawn = np.minimum(np.searchsorted(self.cut, self.random.random(BATCH_NOISE) * self.cut[-1]), len(self.cut) - 1)
+        words = [net.r[contexts[:, j]] for j in range(net.width)]
+        h = sum(w @ c.T for w, c in zip(words, net.c))
+        t_own, t_noise = net.t[targets], net.t[drawn]
+        own = np.einsum("ij,ij->i", h, t_own) + net.b[targets] - self.log_q[targets]
+        other = h @ t_noise.T + (net.b[drawn] - self.log_q[drawn])
+        up = (1 / (1 + np.exp(np.clip(own, -30, 30)))) / n
+        down = -(1 / (1 + np.exp(np.clip(-other, -30, 30)))) / n
+        slope_h = up[:, None] * t_own + down @ t_noise
+        at, sums = _added(np.concatenate((targets, drawn)), np.concatenate((
+            np.column_stack((up[:, None] * h, up)), np.column_stack((down.T @ h, down.sum(axis=0))))))
+        slopes_c = np.stack([slope_h.T @ w for w in words])
+        self._move("t", sums[:, :-1], at)
+        self._move("b", sums[:, -1], at)
+        self._move("c", slopes_c)
+        self.tokens += n
+
+
+def _added(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(rows[order], starts, axis=0).astype(np.float32)
+
+
+def trained(train: DataFrame, lexicon, net: Net, q: np.ndarray) -> Net:
+    """One pass of every task over its texts, starting from ``net``; the average of their models by tokens."""
+    shared = train.sparkSession.sparkContext.broadcast((net, q))
+
+    def run(batches):
+        lex, tool = lexicon.value, Trainer(*shared.value)
+        for batch in batches:
+            for part in slices(batch):
+                contexts, targets, _ = tool.net.lines([lex.codes(words_of(t))[1] for t in part.column("text").to_pylist()])
+                order = tool.random.permutation(len(targets))
+                for i in range(0, len(order), BATCH):
+                    chosen = order[i:i + BATCH]
+                    tool.step(contexts[chosen], targets[chosen])
+        if tool.tokens:
+            values = tool.net.flat().astype(np.float64) * tool.tokens
+            yield pa.RecordBatch.from_pydict({"n": pa.array([tool.tokens], pa.int64()), "v": pa.array([values.tobytes()], pa.binary())})
+
+    def add(batches):
+        n, total = 0, None
+        for batch in batches:
+            for count, values in zip(batch.column("n").to_pylist(), batch.column("v").to_pylist()):
+                values = np.frombuffer(values, np.float64)
+                n, total = n + count, values.copy() if total is None else total + values
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "v": pa.array([total.tobytes()], pa.binary())})
+
+    models = train.mapInArrow(run, "n long, v binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    found = models.repartition("g").select("n", "v").mapInArrow(add, "n long, v binary").collect()
+    total = sum(np.frombuffer(r["v"], np.float64) for r in found)
+    return net.like(total / sum(r["n"] for r in found))
 
 
 class Model:
-    """Counts of words (a written table), the broadcast lexicon and the broadcast class log-probabilities."""
+    """Counts of words (a written table), the broadcast lexicon and the broadcast network."""
 
-    def __init__(self, counts: DataFrame, lexicon, logs, total: int):
-        self.counts, self.lexicon, self.logs, self.total = counts, lexicon, logs, total
+    def __init__(self, counts: DataFrame, lexicon, net, total: int):
+        self.counts, self.lexicon, self.net, self.total = counts, lexicon, net, total
 
 
-def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts all texts of ``train`` and fits the model to them."""
+def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> Model:
+    """Counts all texts of ``train`` and fits a model of ``width`` context words to them."""
     spark = train.sparkSession
     rows = texts(train, id_col, text_col)
     counts = written(token_counts(rows), "token-counts")
@@ -196,12 +332,16 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> M
     lexicon = Lexicon(hot, sums["n"], sums["v"], {r["b"]: (r["n"], r["v"]) for r in bucket_sums})
     shared = spark.sparkContext.broadcast(lexicon)
     k = lexicon.n_classes
+    if not sums["n"]:
+        empty = {"r": np.zeros((k, DIMENSIONS), np.float32), "t": np.zeros((k, DIMENSIONS), np.float32), "b": np.zeros(k, np.float32)}
+        return Model(counts, shared, spark.sparkContext.broadcast(Net.first(empty, width)), 0)
     matrix = np.zeros(k * k, np.int64)
-    if sums["n"]:
-        pairs = class_pairs(rows, shared).toArrow()
-        matrix[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    logs = train_nce(matrix.reshape(k, k)) if sums["n"] else np.zeros((k, k))
-    return Model(counts, shared, spark.sparkContext.broadcast(logs.astype(np.float32)), sums["n"])
+    pairs = class_pairs(rows, shared).toArrow()
+    matrix[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
+    matrix = matrix.reshape(k, k)
+    q = matrix.sum(axis=0) + 0.5
+    net = trained(rows, shared, Net.first(train_nce(matrix), width), q / q.sum())
+    return Model(counts, shared, spark.sparkContext.broadcast(net), sums["n"])
 
 
 def score(
@@ -211,7 +351,7 @@ def score(
 
     ``base_score`` is the smoothed unigram log10 probability, ``score`` the model's.
     """
-    lexicon, logs, trained = model.lexicon, model.logs, model.total > 0
+    lexicon, net, fitted = model.lexicon, model.net, model.total > 0
     rows = texts(docs, id_col, text_col, *more)
     passed = [c for c in rows.columns if c != "text"]
     names = ("n_tokens", "hot_known", "base_part", "part", "cold", "cold_n")
@@ -220,24 +360,25 @@ def score(
         "n_tokens long, hot_known long, base_part double, part double, cold array<binary>, cold_n array<long>").fields)
 
     def run(batches):
-        lex, table = lexicon.value, logs.value
+        lex, tool = lexicon.value, net.value
         for batch in batches:
             for part in slices(batch):
-                out = {n: [] for n in names}
+                out, lines = {n: [] for n in names}, []
                 for text in part.column("text").to_pylist():
                     words = words_of(text)
                     codes, classes, cold = lex.codes(words)
                     hot = codes[codes >= 0]
-                    line = np.concatenate(([0], classes, [0]))
+                    lines.append(classes)
                     rare = Counter(cold)
                     out["n_tokens"].append(len(words) + 1)
-                    out["hot_known"].append(len(hot) + int(trained))
+                    out["hot_known"].append(len(hot) + int(fitted))
                     out["base_part"].append(float(lex.base[hot].sum() + lex.base[0] - len(cold) * lex.all_log))
                     cold_log = lex.bucket_log[classes[codes < 0] - lex.own].sum() if cold else 0.0
-                    out["part"].append(float(
-                        table[line[:-1], line[1:]].sum(dtype=np.float64) + lex.within[hot].sum() - cold_log))
+                    out["part"].append(float(lex.within[hot].sum() - cold_log))
                     out["cold"].append(list(rare.keys()))
                     out["cold_n"].append(list(rare.values()))
+                contexts, targets, starts = tool.lines(lines)
+                out["part"] = np.add.reduceat(tool.log10(contexts, targets), starts) + np.array(out["part"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in passed] + [pa.array(out[n], k) for n, k in zip(names, kinds)],
                     names=[*passed, *names])
@@ -254,4 +395,4 @@ def score(
     return both.select(
         *passed, "n_tokens",
         (F.col("hot_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), base.alias("base_score"),
-        (F.col("part") + added if trained else base).alias("score"))
+        (F.col("part") + added if fitted else base).alias("score"))

@@ -537,17 +537,75 @@ def test_base_scores_equal_brute_force_and_the_model_beats_them(spark):
 
 def test_probabilities_are_normalised():
     counts = np.random.default_rng(0).integers(0, 50, (40, 40))
-    logs = logbilinear.train_nce(counts, steps=150)
-    assert np.allclose((10**logs).sum(axis=1), 1)
+    net = logbilinear.Net.first(logbilinear.train_nce(counts, steps=150), 3)
+    contexts = np.column_stack((np.repeat(np.arange(40), 40), np.full((1600, 2), 7)))
+    logs = net.log10(contexts, np.tile(np.arange(40), 40)).reshape(40, 40)
+    assert np.allclose((10**logs).sum(axis=1), 1, atol=1e-5)
     observed = counts / counts.sum(axis=1, keepdims=True)
     gain = (counts * logs).sum() - (counts * np.log10((counts.sum(axis=0) + 0.5) / (counts.sum() + 20))).sum()
     assert gain > 0 and np.corrcoef(observed.ravel(), (10**logs).ravel())[0, 1] > 0.6
 
 
+def test_scores_and_normalisation_equal_brute_force(spark):
+    """Every probability from its definition, one word at a time; over all words and one unseen word a bucket they sum to 1."""
+    words = [f"w{i}" + "abc"[i % 3] for i in range(700)]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(words[:40 if rng.random() < 0.6 else 700]) for _ in range(50))) for i in range(80)]
+    rows += [(900, None), (901, " "), (902, "never seen words " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = logbilinear.learn(docs.where("doc_id < 80"), width=3)
+    net, lex = model.net.value, model.lexicon.value
+    counts = Counter(w for _, t in rows[:80] for w in [*t.encode().split(), b""])
+    own = set(list(lex.code)[:lex.own])
+    buckets = [[w for w in counts if w not in own and logbilinear.bucket_of(w) == b] for b in range(logbilinear.BUCKETS)]
+
+    def place(w):
+        return list(lex.code).index(w) if w in own else lex.own + logbilinear.bucket_of(w)
+
+    def chances(before):
+        h = sum(net.c[j].astype(float) @ net.r[place(w)] for j, w in enumerate(reversed(before[-3:])))
+        s = net.t.astype(float) @ h + net.b
+        return np.exp(s) / np.exp(s).sum()
+
+    def share(w):
+        if w in own:
+            return 1.0
+        held = buckets[logbilinear.bucket_of(w)]
+        return (counts[w] + 0.5) / (sum(counts[x] for x in held) + 0.5 * (len(held) + 1))
+
+    got = {r.doc_id: r.score for r in logbilinear.score(docs, model).collect()}
+    for i in (0, 33, 900, 901, 902):
+        line = [b""] * 3 + (dict(rows)[i] or "").encode().split() + [b""]
+        want = sum(math.log10(chances(line[:p])[place(line[p])] * share(line[p])) for p in range(3, len(line)))
+        assert got[i] == pytest.approx(want, rel=1e-4)
+    p = chances([b"", b"", words[3].encode()])
+    whole = sum(p[place(w)] * share(w) for w in counts)
+    unseen = sum(p[lex.own + b] * 0.5 / (sum(counts[x] for x in held) + 0.5 * (len(held) + 1)) for b, held in enumerate(buckets))
+    assert whole + unseen == pytest.approx(1)
+
+
+def test_earlier_words_count(spark):
+    """The word two places before decides the next one, which the word before says nothing about."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        line = []
+        for _ in range(60):
+            line += rng.choice([["left", f"x{rng.randrange(5)}", "aa"], ["right", f"x{rng.randrange(5)}", "bb"]])
+        rows.append((i, " ".join(line)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = logbilinear.learn(docs.coalesce(1))
+    net, code = model.net.value, model.lexicon.value.code
+    contexts = np.array([[code[b"x1"], code[b"left"], code[b"aa"], code[b"x2"]], [code[b"x1"], code[b"right"], code[b"aa"], code[b"x2"]]])
+    logs = [net.log10(contexts, np.full(2, code[w])) for w in (b"aa", b"bb")]
+    assert logs[0][0] > logs[1][0] + 0.5 and logs[1][1] > logs[0][1] + 0.5
+
+
 def test_hot_words_are_bounded(spark):
     counts = spark.createDataFrame([(bytes([65 + i]), 2 ** (i % 8)) for i in range(40)], "token binary, c long")
     assert {c for _, c in logbilinear.hot_words(counts, 12)} == {64, 128}
     assert len(logbilinear.hot_words(counts, 100)) == 40
+    assert {c for _, c in logbilinear.hot_words(counts, 100, 12)} == {64, 128}
 
 
 # --- op10 --------------------------------------------------------------------------------------------------------
