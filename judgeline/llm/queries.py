@@ -66,6 +66,9 @@ URL_RULES = [
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
 
+#: Labelled rows that the words of op6 are learned from, at most: the first by md5 of their id.
+LABELLED = 20_000
+
 _SHRUNK = """
 {name}_s AS (SELECT sum(n)::DOUBLE AS n, sum(n::DOUBLE * n) AS nn, sum(prior * (1 - prior)) AS chance,
     sum(n * prior * (1 - prior)) AS n_chance, sum(n * pow(bad / n::DOUBLE - prior, 2)) AS spread FROM {name}_0),
@@ -82,7 +85,8 @@ WITH p AS (
         ELSE '' END AS host,
         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, html
     FROM pages),
-e AS (SELECT text, max((coalesce(toxic, 0) = 1)::INTEGER) AS bad FROM documents JOIN labels USING (doc_id)
+e AS (SELECT text, max((coalesce(toxic, 0) = 1)::INTEGER) AS bad FROM documents
+    JOIN (FROM labels WHERE doc_id IS NOT NULL ORDER BY md5(doc_id::VARCHAR), coalesce(toxic, 0) = 1 LIMIT 20000) USING (doc_id)
     WHERE text IS NOT NULL GROUP BY text),
 ew AS (SELECT bad, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\p{L}+'))) AS word FROM e),
 et AS (SELECT word, n, (a + 2.0::DOUBLE * m) / (n + 2) AS r FROM (SELECT word, sum(bad)::DOUBLE AS a, count(*)::DOUBLE AS n FROM ew GROUP BY word),
@@ -121,7 +125,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, then host reputation: pages are bad by a rule's verdict, else by words that mark toxic documents."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     toxic = (F.coalesce("toxic", F.lit(0)) == 1).alias("bad")
-    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.select("doc_id", toxic), "doc_id")
+    sample = labels.where("doc_id IS NOT NULL").select("doc_id", toxic).orderBy(
+        F.md5(F.col("doc_id").cast("string").cast("binary")), "bad").limit(LABELLED)
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     outcomes = hosts.page_outcomes(pages, labelled, URL_RULES)
     out = hosts.filter_urls(pages, outcomes, URL_RULES)
     return out.withColumn("bad_rate", F.round("bad_rate", 6))
