@@ -42,7 +42,9 @@ DIMENSIONS, NOISE, STEPS, RATE = 32, 16, 120, 0.05
 #: Words before a word that it is predicted from; places, noise classes and step size of a batch; groups of task models.
 WIDTH, BATCH, BATCH_NOISE, BATCH_RATE, GROUPS = 4, 2048, 64, 0.02, 64
 #: Places whose probabilities are computed at a time.
-PLACES = 1024
+PLACES = 256
+#: Texts of training handed to one step, as classes of two bytes.
+LINE_BYTES = 1 << 20
 #: The end of a text as a token; no word is empty.
 END = b""
 #: Distinct words that a task sums before it hands them on.
@@ -128,25 +130,39 @@ class Lexicon:
         return codes, classes, cold
 
 
-def class_pairs(train: DataFrame, lexicon) -> DataFrame:
-    """``pair, n``: how often class h is followed by class w, pair = h * classes + w. ``lexicon`` is a broadcast."""
+def class_lines(train: DataFrame, lexicon) -> DataFrame:
+    """``classes``: the classes of every text's words, two bytes each, so that texts are split once for all steps of training."""
     def run(batches):
         lex = lexicon.value
-        k, pairs = lex.n_classes, None
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for text in part.column("text").to_pylist():
-                    rows += [[0], lex.codes(words_of(text))[1]]
-                line = np.concatenate([*rows, [0]]).astype(np.int64)
-                counts = np.bincount(line[:-1] * k + line[1:], minlength=k * k)
-                pairs = counts if pairs is None else pairs + counts
+                lines = [lex.codes(words_of(t))[1].astype(np.int16).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["classes"])
+
+    return train.mapInArrow(run, "classes binary")
+
+
+def _lines(batches):
+    """Lists of texts, given by their classes, that sum to about ``LINE_BYTES``."""
+    for batch in batches:
+        for part in slices(batch, "classes", LINE_BYTES):
+            yield [np.frombuffer(x, np.int16) for x in part.column("classes").to_pylist()]
+
+
+def class_pairs(lines: DataFrame, n_classes: int) -> DataFrame:
+    """``pair, n``: how often class h is followed by class w, pair = h * classes + w."""
+    def run(batches):
+        k, pairs, end = n_classes, None, np.zeros(1, np.int16)
+        for texts in _lines(batches):
+            line = np.concatenate([x for text in texts for x in (end, text)] + [end]).astype(np.int64)
+            counts = np.bincount(line[:-1] * k + line[1:], minlength=k * k)
+            pairs = counts if pairs is None else pairs + counts
         if pairs is not None:
             at = np.flatnonzero(pairs)
             for i in range(0, len(at), 100_000):
                 yield pa.RecordBatch.from_pydict({"pair": at[i:i + 100_000], "n": pairs[at[i:i + 100_000]]})
 
-    return train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return lines.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def train_nce(counts: np.ndarray, dims: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, seed: int = 7) -> dict:
@@ -210,7 +226,7 @@ class Net:
 
     def lines(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(contexts, targets, starts) of texts given by their classes; ends stand before and after each text."""
-        pad, end = np.zeros(self.width, np.int64), np.zeros(1, np.int64)
+        pad, end = np.zeros(self.width, np.int32), np.zeros(1, np.int32)
         line = np.concatenate([x for text in texts for x in (pad, text, end)])
         sizes = np.array([len(text) + 1 for text in texts])
         starts = np.cumsum(sizes) - sizes
@@ -219,20 +235,30 @@ class Net:
 
     def log10(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Log-probability of every target after its context, normalised over all classes."""
-        tables = [self.r @ c.T for c in self.c]
-        t = np.ascontiguousarray(self.t.T)
+        tables = [np.pad(self.r @ c.T, ((0, 0), (0, 1))) for c in self.c]
+        tables[0][:, -1] = 1  # the last column meets the biases
+        t = np.vstack((self.t.T, self.b[None]))
+        ones = np.ones(len(self.b), np.float32)
         out = np.empty(len(targets))
+        s, h = np.empty((PLACES, len(ones)), np.float32), np.empty((PLACES, len(t)), np.float32)
         for i in range(0, len(targets), PLACES):
             part, want = contexts[i:i + PLACES], targets[i:i + PLACES]
-            h = sum(table[part[:, j]] for j, table in enumerate(tables))
-            s = h @ t
-            s += self.b
-            top = s.max(axis=1, keepdims=True)
-            if np.abs(top).max() > 60:  # beyond what exp of 32-bit numbers can hold
-                s -= top
-            own = s[np.arange(len(want)), want].astype(np.float64)
-            np.exp(s, out=s)
-            out[i:i + PLACES] = own - np.log(s.sum(axis=1, dtype=np.float64))
+            n = len(want)
+            h, s = h[:n], s[:n]
+            np.take(tables[0], part[:, 0], axis=0, out=h, mode="clip")
+            for j, table in enumerate(tables[1:], 1):
+                h += table.take(part[:, j], axis=0)
+            np.matmul(h, t, out=s)
+            own = s[np.arange(n), want].astype(np.float64)
+            with np.errstate(over="ignore"):
+                np.exp(s, out=s)
+            total = s @ ones
+            top = np.zeros(n)
+            if not (np.isfinite(total) & (total > 1e-30)).all():  # beyond what 32-bit numbers can hold
+                np.matmul(h, t, out=s)
+                top = s.max(axis=1)
+                total = np.exp(s - top[:, None]) @ ones
+            out[i:i + PLACES] = own - top - np.log(total)
         return out / np.log(10)
 
 
@@ -254,17 +280,20 @@ class Trainer:
     def step(self, contexts: np.ndarray, targets: np.ndarray) -> None:
         net, n = self.net, len(targets)
         drawn = np.minimum(np.searchsorted(self.cut, self.random.random(BATCH_NOISE) * self.cut[-1]), len(self.cut) - 1)
-        words = [net.r[contexts[:, j]] for j in range(net.width)]
-        h = sum(w @ c.T for w, c in zip(words, net.c))
-        t_own, t_noise = net.t[targets], net.t[drawn]
+        words = net.r.take(contexts.ravel(), axis=0).reshape(n, -1)  # positions side by side
+        h = words @ net.c.transpose(0, 2, 1).reshape(words.shape[1], -1)
+        t_own, t_noise = net.t.take(targets, axis=0), net.t[drawn]
         own = np.einsum("ij,ij->i", h, t_own) + net.b[targets] - self.log_q[targets]
-        other = h @ t_noise.T + (net.b[drawn] - self.log_q[drawn])
+        other = h @ t_noise.T
+        other += net.b[drawn] - self.log_q[drawn]
         up = (1 / (1 + np.exp(np.clip(own, -30, 30)))) / n
-        down = -(1 / (1 + np.exp(np.clip(-other, -30, 30)))) / n
+        np.exp(np.clip(np.negative(other, out=other), -30, 30, out=other), out=other)
+        other += 1
+        down = np.divide(np.float32(-1 / n), other, out=other)
         slope_h = up[:, None] * t_own + down @ t_noise
         at, sums = _added(np.concatenate((targets, drawn)), np.concatenate((
             np.column_stack((up[:, None] * h, up)), np.column_stack((down.T @ h, down.sum(axis=0))))))
-        slopes_c = np.stack([slope_h.T @ w for w in words])
+        slopes_c = (slope_h.T @ words).reshape(len(slope_h.T), net.width, -1).transpose(1, 0, 2)
         self._move("t", sums[:, :-1], at)
         self._move("b", sums[:, -1], at)
         self._move("c", slopes_c)
@@ -273,25 +302,24 @@ class Trainer:
 
 def _added(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their rows."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys.astype(np.int16), kind="stable")  # there are fewer classes than 2^15, and short keys sort faster
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[starts], np.add.reduceat(rows[order], starts, axis=0).astype(np.float32)
 
 
-def trained(train: DataFrame, lexicon, net: Net, q: np.ndarray) -> Net:
+def trained(lines: DataFrame, net: Net, q: np.ndarray) -> Net:
     """One pass of every task over its texts, starting from ``net``; the average of their models by tokens."""
-    shared = train.sparkSession.sparkContext.broadcast((net, q))
+    shared = lines.sparkSession.sparkContext.broadcast((net, q))
 
     def run(batches):
-        lex, tool = lexicon.value, Trainer(*shared.value)
-        for batch in batches:
-            for part in slices(batch):
-                contexts, targets, _ = tool.net.lines([lex.codes(words_of(t))[1] for t in part.column("text").to_pylist()])
-                order = tool.random.permutation(len(targets))
-                for i in range(0, len(order), BATCH):
-                    chosen = order[i:i + BATCH]
-                    tool.step(contexts[chosen], targets[chosen])
+        tool = Trainer(*shared.value)
+        for texts in _lines(batches):
+            contexts, targets, _ = tool.net.lines(texts)
+            order = tool.random.permutation(len(targets))
+            for i in range(0, len(order), BATCH):
+                chosen = order[i:i + BATCH]
+                tool.step(contexts.take(chosen, axis=0), targets[chosen])
         if tool.tokens:
             values = tool.net.flat().astype(np.float64) * tool.tokens
             yield pa.RecordBatch.from_pydict({"n": pa.array([tool.tokens], pa.int64()), "v": pa.array([values.tobytes()], pa.binary())})
@@ -305,7 +333,7 @@ def trained(train: DataFrame, lexicon, net: Net, q: np.ndarray) -> Net:
         if n:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "v": pa.array([total.tobytes()], pa.binary())})
 
-    models = train.mapInArrow(run, "n long, v binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    models = lines.mapInArrow(run, "n long, v binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
     found = models.repartition("g").select("n", "v").mapInArrow(add, "n long, v binary").collect()
     total = sum(np.frombuffer(r["v"], np.float64) for r in found)
     return net.like(total / sum(r["n"] for r in found))
@@ -336,11 +364,12 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         empty = {"r": np.zeros((k, DIMENSIONS), np.float32), "t": np.zeros((k, DIMENSIONS), np.float32), "b": np.zeros(k, np.float32)}
         return Model(counts, shared, spark.sparkContext.broadcast(Net.first(empty, width)), 0)
     matrix = np.zeros(k * k, np.int64)
-    pairs = class_pairs(rows, shared).toArrow()
+    lines = written(class_lines(rows, shared), "class-lines")
+    pairs = class_pairs(lines, k).toArrow()
     matrix[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     matrix = matrix.reshape(k, k)
     q = matrix.sum(axis=0) + 0.5
-    net = trained(rows, shared, Net.first(train_nce(matrix), width), q / q.sum())
+    net = trained(lines, Net.first(train_nce(matrix), width), q / q.sum())
     return Model(counts, shared, spark.sparkContext.broadcast(net), sums["n"])
 
 
