@@ -78,7 +78,8 @@ def mine_negatives(
         "qid", "did", F.lit(1).alias("tier"))
     if run is None:
         asked = queries.join(plan.select("qid"), "qid", "left_semi")
-        run = topk_run(bm25_run(corpus, asked, k1=k1, b=b, lower=lower), med_top_k, offset=med_offset)
+        run = topk_run(
+            bm25_run(corpus, asked, k1=k1, b=b, lower=lower, k=med_offset + med_top_k), med_top_k, offset=med_offset)
     taken = pos.unionByName(hard) if blocked is None else blocked.select("qid", "did").unionByName(hard)
     window = run.select("qid", "did", "rank").join(taken, ["qid", "did"], "left_anti")
     by_rank = Window.partitionBy("qid").orderBy("rank")
