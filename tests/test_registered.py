@@ -31,6 +31,15 @@ def test_query_equals_sql(spark, con, name):
     assert _rows(df.columns, df.collect()) == _rows(cols, cur.fetchall())
 
 
+def test_maxsim_run_asks_every_fiftieth_vector(spark, con):
+    got = QUERIES["maxsim_run"](spark, SF)
+    asked = {r[0] for r in con.execute("SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 50 = 0").fetchall()}
+    rows = got.collect()
+    assert asked and {r.qid for r in rows} == asked
+    assert _rows(got.columns, rows) == _rows(["qid", "did", "rank", "score"], con.execute(
+        f"SELECT qid, did, rank, score FROM ({SQL['maxsim_run']})").fetchall())
+
+
 def test_entry_runs(spark):
     assert entry_point.entry(spark).count() == 1
 
