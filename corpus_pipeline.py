@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgeline.llm import crossparse, digest_index, minhash, mixing, pieces
+from judgeline.llm import crossparse, digest_index, mixing, pieces, simhash
 from judgeline.llm.common import fold, table
 from judgeline.llm.queries import piece_model_path
 from judgeline.session import written
@@ -40,8 +40,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, the one with the smallest id."""
-    return minhash.drop_near(docs, SIMILARITY, WIDTH)
+    """One row of each group of near copies, the one with the smallest id: SimHash, then an exact check of what it finds."""
+    return simhash.drop_near(docs, SIMILARITY, WIDTH)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,13 @@
-"""Near copies by exact shingle similarity; MinHash bands only say which texts are compared.
+"""Near copies: SimHash finds texts that may be near, and exact shingle similarity decides.
 
 A text is the set of its shingles: ``width`` consecutive white-space words, A-Z lower-cased, as 64-bit hashes. Texts of
-equal sets are one class, and one text stands for it. Classes that agree in one of ``BANDS`` bands of ``ROWS`` minima each
-are candidates: a pair of Jaccard similarity s meets with probability 1 - (1 - s^ROWS)^BANDS, whatever the texts' length
+equal sets are one class, and one text stands for it. Every class has a SimHash of ``LANES`` lanes; multi-index hashing
+(``simhash.links``) looks up all its segments of ``SEGMENT`` bits, and classes that share one and differ in at most
+``APART`` bits are candidates. At a Jaccard similarity of 0.8 a bit differs with probability 0.15 and a pair is met with
+95 %, at 0.9 with 99.8 %.
+
+MinHash complements that search: classes that agree in one of ``BANDS`` bands of ``ROWS`` minima each are candidates as
+well, so a pair of similarity s meets with probability 1 - (1 - s^ROWS)^BANDS at least, whatever the texts' length
 (99.9 % at 0.8). A band's classes all hang on its smallest one, so a band costs a row per class, never pairs.
 
 Inside a component of candidates the classes' whole sets come together, and links are the pairs whose exact Jaccard
@@ -20,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from judgeline.llm import simhash
 from judgeline.llm.common import map_texts, meet, shingle_hashes, slices, texts
 from judgeline.llm.components import components
 from judgeline.operators.sizing import hinter
 from judgeline.session import written
 
+#: SimHash: lanes, most differing bits of candidates (at similarity 0.8: the mean and over three deviations), bits of a segment.
+LANES, APART, SEGMENT = 4, 58, 12
 BANDS, ROWS = 30, 7
 #: Shingles of a component that are compared in one place; more are dealt out in blocks of this size.
 BLOCK = 1 << 20
@@ -64,21 +72,26 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def _classes_of(rows: DataFrame, width: int) -> DataFrame:
-    """``doc_id, mark`` with ``s1, s2, n`` (the set's digest and size) and ``bands``."""
+    """``doc_id, mark`` with ``s1, s2, n`` (the set's digest and size), ``bands`` and the lanes of the SimHash."""
+    names = simhash.lane_columns(LANES)
+
     def make():
         from xxhash import xxh64_intdigest
 
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingle_set(t, width, xxh64_intdigest) for t in batch.column("text").to_pylist()]
+            fps = np.array([simhash.bits_of(s, LANES) for s in sets], np.uint64).reshape(-1, LANES).view(np.int64)
             return {
                 "doc_id": batch.column("doc_id"), "mark": batch.column("mark"),
                 "s1": np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                 "s2": np.array([_mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                "n": np.array([len(s) for s in sets], np.int64), "bands": [bands(s) for s in sets]}
+                "n": np.array([len(s) for s in sets], np.int64), "bands": [bands(s) for s in sets],
+                **{c: np.ascontiguousarray(fps[:, k]) for k, c in enumerate(names)}}
 
         return work
 
-    return map_texts(rows, make, "doc_id long, mark long, s1 long, s2 long, n long, bands array<long>")
+    lanes = ", ".join(f"{c} long" for c in names)
+    return map_texts(rows, make, f"doc_id long, mark long, s1 long, s2 long, n long, bands array<long>, {lanes}")
 
 
 def _sets_of(rows: DataFrame, width: int) -> DataFrame:
@@ -155,17 +168,23 @@ def _links_of_batches(batches, least: float):
         yield links()
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """``a, b``: links that hold together all classes which SimHash or a band finds near."""
+    plan = [(lane, at, SEGMENT, 0) for lane in range(LANES) for at in range(0, simhash.BITS - SEGMENT + 1, SEGMENT)]
+    near = simhash.links(nodes.where("n > 0"), APART, plan, LANES)
+    spots = nodes.select("id", F.explode("bands").alias("key"))
+    low = spots.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    hung = spots.join(written(low.select("key", "low"), "bands").hint("merge"), "key").where("id > low")
+    return near.union(hung.select(F.col("id").alias("a"), F.col("low").alias("b")))
+
+
 def similar(rows: DataFrame, nodes: DataFrame, least: float, width: int) -> DataFrame:
     """``a, b``: links between the ids of ``nodes`` whose components are those of all candidates of the similarity.
 
-    ``nodes`` is a written table: ``id, bands, n, first`` with the ``doc_id`` and ``mark`` of the row of ``rows`` that
+    ``nodes`` is a written table: ``id, bands, n, first`` and the lanes of the SimHash, with the ``doc_id`` and ``mark`` of the row of ``rows`` that
     stands for the class.
     """
-    spots = nodes.select("id", F.explode("bands").alias("key"))
-    low = spots.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    hung = spots.join(written(low.select("key", "low"), "bands").hint("merge"), "key").where("id > low")
-    loose = written(
-        components(hung.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "id"), "loose")
+    loose = written(components(candidates(nodes)).withColumnRenamed("node", "id"), "loose")
     wanted = written(loose.join(nodes.hint("merge"), "id").select(
         "id", "root", "n", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), "wanted")
     held = rows.join(hinter(wanted)(wanted), (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -186,8 +205,9 @@ def drop_near(
     rows = texts(docs, id_col, text_col, mark.alias("mark"))
     marked = written(_classes_of(rows, width), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    classes = marked.groupBy("s1", "s2", "n").agg(F.min(order).alias("first"), F.first("bands").alias("bands"))
-    nodes = written(classes.select("n", "first", "bands", F.monotonically_increasing_id().alias("id")), "nodes")
+    same_of_class = [F.first(c).alias(c) for c in ("bands", *simhash.lane_columns(LANES))]
+    classes = marked.groupBy("s1", "s2", "n").agg(F.min(order).alias("first"), *same_of_class)
+    nodes = written(classes.drop("s1", "s2").withColumn("id", F.monotonically_increasing_id()), "nodes")
     roots = components(similar(rows, nodes, similarity, width)).withColumnRenamed("node", "id")
     named = written(nodes.select("id", "first").join(roots.hint("merge"), "id", "left").select(
         "first", F.coalesce("root", "id").alias("root")), "roots")

@@ -217,6 +217,20 @@ def test_drop_near_equals_brute_force_in_blocks(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in got) == sorted(set(want.values()))
 
 
+def test_simhash_alone_finds_near_texts(spark):
+    """Without bands, SimHash finds sets of Jaccard similarity 190 / 200 and leaves sets of 50 / 250 alone."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(40):
+        pool = rng.integers(0, 2**64, 250, dtype=np.uint64)
+        for i, part in enumerate((pool[:200], pool[10:200] if k < 20 else pool[150:])):
+            fps = np.array(simhash.bits_of(part, minhash.LANES), np.uint64).view(np.int64).tolist()
+            rows.append((2 * k + i, len(part), [], *fps))
+    lanes = ", ".join(f"{c} long" for c in simhash.lane_columns(minhash.LANES))
+    nodes = spark.createDataFrame([*rows, (100, 0, [], *[0] * 4), (101, 0, [], *[0] * 4)], f"id long, n int, bands array<long>, {lanes}")
+    found = {(min(r), max(r)) for r in minhash.candidates(nodes).collect()}
+    assert found == {(2 * k, 2 * k + 1) for k in range(20)}
+
+
 # --- op2 ---------------------------------------------------------------------------------------------------------
 
 LICENCE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
