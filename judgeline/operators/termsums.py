@@ -1,13 +1,16 @@
 """The k best documents per query by sums over shared terms, without a row per (query, document) pair.
 
-Query terms are few against a corpus and are held by every task; a document becomes one row per term that some query
-asks for. The rows of a document meet in one of as many partitions as there are rows to hold, and a task keeps k documents
-per query while it goes through its documents in the order of their ids. Its memory is bounded whatever the corpus' size.
+Query terms are few against a corpus and are held by every task; a document becomes one row with the list of those of its
+terms that some query asks for. Lists are summed where they are read, as a document whose id occurs once is whole in its
+row. Only documents that share their id become one row per term; these meet in one of as many partitions as there are rows
+to hold. A task keeps k documents per query while it goes through its documents in the order of their ids. Its memory is
+bounded whatever the corpus' size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,8 @@ from judgeline.session import written
 PART_ROWS = 1 << 18
 #: Rows that are summed at a time, and products or (document, query) cells held for them.
 STEP_ROWS, STEP_CELLS = 1 << 16, 1 << 21
+#: Lists that are summed at a time.
+STEP_DOCS = 1 << 10
 #: Documents that a task keeps for all queries together; a run with more is joined instead.
 MOST_KEPT = 1 << 21
 #: The number of a term that every document has once.
@@ -34,8 +39,19 @@ def bounded(queries: DataFrame, terms: DataFrame, k: int) -> bool:
     return fits(terms) and queries.count() * k <= MOST_KEPT
 
 
-def term_rows(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
-    """A written table ``did, dl, tid, tf``: for each row (did, toks) its terms by place in ``vocabulary``, and ``PRESENT``."""
+class TermLists:
+    """The terms of a corpus that some query asks for, by place in ``vocabulary``.
+
+    ``lists`` (did, dl, tids, tfs) has a row per document whose id occurs once, ``rows`` (did, dl, tid, tf) has a row per
+    term, and one of ``PRESENT``, of the documents that share their id, see ``by_document``; it is None when there are none.
+    """
+
+    def __init__(self, vocabulary: pa.Array, lists: DataFrame, rows: DataFrame | None):
+        self.vocabulary, self.lists, self.rows = vocabulary, lists, rows
+
+
+def term_lists(docs: DataFrame, vocabulary: pa.Array) -> TermLists:
+    """Written lists of the terms of ``vocabulary`` in each row (did, toks); texts are tokenized once for all runs on them."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -51,15 +67,23 @@ def term_rows(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), sizes)[code >= 0]
             key, tf = np.unique(row * max(1, len(known)) + code[code >= 0], return_counts=True)
             row, tid = np.divmod(key, max(1, len(known)))
-            row = np.concatenate((np.arange(batch.num_rows), row))
-            tid = np.concatenate((np.full(batch.num_rows, PRESENT), tid))
-            tf = np.concatenate((np.ones(batch.num_rows, np.int64), tf))
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("did").take(pa.array(row)), pa.array(sizes[row], pa.int32()), pa.array(tid, pa.int32()), pa.array(tf)],
-                names=["did", "dl", "tid", "tf"])
+                [batch.column("did"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(tid, pa.int32())),
+                 pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))],
+                names=["did", "dl", "tids", "tfs"])
 
     kind = docs.schema["did"].dataType.simpleString()
-    return written(docs.select("did", "toks").mapInArrow(run, f"did {kind}, dl int, tid int, tf long"), "term-rows")
+    every = written(docs.select("did", "toks").mapInArrow(
+        run, f"did {kind}, dl int, tids array<int>, tfs array<bigint>"), "term-lists")
+    often = written(every.groupBy("did").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("did").alias("_did")), "ids")
+    if often.isEmpty():
+        return TermLists(vocabulary, every, None)
+    same = F.col("did").eqNullSafe(F.col("_did"))
+    terms = F.concat(F.array(F.struct(F.lit(PRESENT).alias("tid"), F.lit(1).cast("long").alias("tf"))), F.transform(
+        F.arrays_zip("tids", "tfs"), lambda x: F.struct(x["tids"].alias("tid"), x["tfs"].alias("tf"))))
+    rows = every.join(often, same, "left_semi").select("did", "dl", F.explode(terms).alias("x")).select("did", "dl", "x.tid", "x.tf")
+    return TermLists(vocabulary, written(every.join(often, same, "left_anti"), "term-lists"), written(rows, "term-rows"))
 
 
 def by_document(rows: DataFrame) -> DataFrame:
@@ -67,6 +91,32 @@ def by_document(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(1, math.ceil(rows.count() / PART_ROWS)), "did")
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """``did, dl, tid, tf``: rows that agree in id and length count as one document."""
+    return by_document(rows).groupBy("did", "dl", "tid").agg(F.sum("tf").alias("tf"))
+
+
+def counts(held: TermLists) -> dict[int, tuple[int, float]]:
+    """Documents that hold a term and the sum of their lengths, by ``tid``; ``PRESENT`` stands for all documents."""
+    size = len(held.vocabulary)
+
+    def run(batches):
+        df, dl = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        for batch in batches:
+            tids = batch.column("tids").flatten().to_numpy(zero_copy_only=False)
+            df[:size] += np.bincount(tids, minlength=size)
+            df[size] += batch.num_rows
+            dl[size] += pc.sum(batch.column("dl")).as_py() or 0
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.where(at == size, PRESENT, at), pa.int32()), pa.array(df[at]), pa.array(dl[at])], names=["tid", "df", "dl"])
+
+    found = held.lists.select("dl", "tids").mapInArrow(run, "tid int, df long, dl long")
+    if held.rows is not None:
+        found = found.unionByName(merged(held.rows).groupBy("tid").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl")))
+    return {r["tid"]: (r["df"], r["dl"]) for r in found.groupBy("tid").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).collect()}
+
+
 class TermWeights:
     """Weights (qid, tid, w) in lists by term, for tasks."""
 
@@ -175,3 +225,41 @@ def best_sums(rows: DataFrame, weights: pa.Table, k: int, qid: str = "string") -
     asked = rows.where(F.col("tid") != PRESENT).select("did", "tid", F.col("s").cast("double").alias("s"))
     kind = rows.schema["did"].dataType.simpleString()
     return asked.sortWithinPartitions("did", "tid").mapInArrow(run, f"qid {qid}, did {kind}, score double")
+
+
+def best_of_lists(
+    held: TermLists, weights: pa.Table, k: int, share: Callable[[np.ndarray, np.ndarray], np.ndarray], qid: str = "string",
+) -> DataFrame:
+    """``best_sums`` over the rows of ``held.lists``, where ``s`` is ``share(tf, dl)``."""
+    lists = held.lists
+    kind = lists.schema["did"].dataType.simpleString()
+    if not weights.num_rows:
+        return lists.where("false").select(F.lit(None).cast(qid).alias("qid"), "did", F.lit(0.0).alias("score"))
+    shared = lists.sparkSession.sparkContext.broadcast(TermWeights(weights))
+
+    def run(batches):
+        of = shared.value
+        best = Best(k, len(of.names))
+        for batch in (b.slice(i, STEP_DOCS) for b in batches for i in range(0, b.num_rows, STEP_DOCS)):
+            tids = batch.column("tids")
+            sizes = pc.list_value_length(tids).to_numpy(zero_copy_only=False).astype(np.int64)
+            tid = tids.flatten().to_numpy(zero_copy_only=False)
+            tf = batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
+            dl = batch.column("dl").to_numpy(zero_copy_only=False)
+            s = share(tf, np.repeat(dl, sizes)).astype(np.float64)
+            ends = np.append(0, np.cumsum(sizes))
+            work = np.append(0, np.cumsum(of.many[tid]))[ends]
+            at = 0
+            while at < batch.num_rows:
+                end = int(np.searchsorted(work, work[at] + STEP_CELLS, side="right")) - 1
+                end = min(max(end, at + 1), at + max(1, STEP_CELLS // len(of.names)), batch.num_rows)
+                part = slice(ends[at], ends[end])
+                doc = np.repeat(np.arange(end - at), sizes[at:end])
+                best.add(*of.sums(doc, end - at, tid[part], s[part]), batch.column("did").slice(at, end - at))
+                at = end
+        if best.query:
+            best.cut()
+            yield pa.RecordBatch.from_arrays(
+                [of.names.take(pa.array(best.query[0])), best.dids[0], pa.array(best.score[0])], names=["qid", "did", "score"])
+
+    return lists.sortWithinPartitions("did").mapInArrow(run, f"qid {qid}, did {kind}, score double")

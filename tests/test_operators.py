@@ -174,6 +174,28 @@ def test_runs_of_a_depth_write_no_row_per_pair(table, monkeypatch):
     assert R.bm25_run(corpus.where("false"), q, k=3).count() == 0
 
 
+def test_runs_share_term_lists(table, monkeypatch):
+    """Texts are read once for all runs; only documents that share their id become a row per term."""
+    from judgeline.operators import termsums
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(15)]
+    once = [(f"d{i:03}", " ".join(r.choice(words) for _ in range(r.randint(0, 12)))) for i in range(200)] + [(None, "w1 w2"), ("none", None)]
+    twice = once + [("d003", once[3][1]), ("d004", "w5 w5 w6"), (None, "w1 w7")]
+    q = table("qid string, query string", [(f"q{i}", " ".join(r.choice(words) for _ in range(4))) for i in range(12)] + [("w", "w1 W1 unknown")])
+    monkeypatch.setattr(termsums, "STEP_DOCS", 32)
+    monkeypatch.setattr(termsums, "STEP_CELLS", 200)
+    of = lambda df: sorted(((x.qid, x.did, x["rank"], round(x.score, 9)) for x in df.collect()), key=repr)
+    for docs in (once, twice):
+        corpus = table("did string, text string", docs)
+        held, unread = R.term_lists(corpus, q), corpus.where("false")
+        assert (held.rows is None) == (docs is once) and held.lists.count() == 199 + 3 * (docs is once)
+        for form in ("plus1", "rsj"):
+            want = R.topk_run(R.bm25_run(corpus, q, k1=0.9, b=0.4, idf=form), 7)
+            assert of(R.bm25_run(unread, q, k1=0.9, b=0.4, idf=form, k=7, lists=held)) == of(want)
+        assert of(R.token_recall_run(unread, q, k=7, lists=held)) == of(R.topk_run(R.token_recall_run(corpus, q), 7))
+
+
 def test_plans_do_not_change_without_broadcast(texts, monkeypatch):
     docs, queries, corpus, q = texts
     a = rows(R.bm25_run(corpus, q, k=5).select("qid", "did", "rank"))
