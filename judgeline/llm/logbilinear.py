@@ -4,8 +4,8 @@ The model predicts the class of a word from the classes of the words before it.
 end of a text, and buckets of all other words by their last bytes; within a bucket a word has its smoothed share of the
 bucket's counts, so probabilities are normalised over all words. Each of the ``width`` positions before a word has a
 matrix; the context vector is the sum of the earlier words' vectors, each times the matrix of its position, and scores
-are bilinear: s(h, w) = (C_1 r_1 + ... + C_n r_n) . t_w + b_w. A batched product of context and target vectors gives the
-log-probabilities of all classes, which are normalised place by place.
+are bilinear: s(h, w) = (C_1 r_1 + ... + C_n r_n) . t_w + b_w. Products of all context and target vectors, one table per
+position, give the log-probabilities of all classes, which are normalised place by place.
 
 Training has two steps. The counts of all neighbouring classes give the vectors of a model with the first position alone
 (the noise term is taken in expectation). From there every task passes once over its training texts and takes Adagrad
@@ -234,31 +234,39 @@ class Net:
         return line[at[:, None] - 1 - np.arange(self.width)], line[at], starts
 
     def log10(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Log-probability of every target after its context, normalised over all classes."""
-        tables = [np.pad(self.r @ c.T, ((0, 0), (0, 1))) for c in self.c]
-        tables[0][:, -1] = 1  # the last column meets the biases
-        t = np.vstack((self.t.T, self.b[None]))
+        """Log-probability of every target after its context, normalised over all classes.
+
+        A score is a sum over positions, so its exponential is a product of one table row per position; the tables are
+        computed once a call, each row as shares of its largest value, and a place takes neither a product of matrices nor
+        an exponential.
+        """
+        logs = [self.r @ c.T @ self.t.T for c in self.c]
+        logs[0] = logs[0] + self.b
+        tables = [np.exp(x - x.max(axis=1, keepdims=True)) for x in logs]
+        tops = [x.max(axis=1).astype(np.float64) for x in logs]
+        out = np.zeros(len(targets))
+        for j, x in enumerate(logs):
+            out += x[contexts[:, j], targets].astype(np.float64) - tops[j].take(contexts[:, j])
+        places, more = np.empty((2, PLACES, len(self.b)), np.float32)
         ones = np.ones(len(self.b), np.float32)
-        out = np.empty(len(targets))
-        s, h = np.empty((PLACES, len(ones)), np.float32), np.empty((PLACES, len(t)), np.float32)
         for i in range(0, len(targets), PLACES):
-            part, want = contexts[i:i + PLACES], targets[i:i + PLACES]
-            n = len(want)
-            h, s = h[:n], s[:n]
-            np.take(tables[0], part[:, 0], axis=0, out=h, mode="clip")
+            part = contexts[i:i + PLACES]
+            n = len(part)
+            s, row = places[:n], more[:n]
+            np.take(tables[0], part[:, 0], axis=0, out=s, mode="clip")
             for j, table in enumerate(tables[1:], 1):
-                h += table.take(part[:, j], axis=0)
-            np.matmul(h, t, out=s)
-            own = s[np.arange(n), want].astype(np.float64)
-            with np.errstate(over="ignore"):
-                np.exp(s, out=s)
+                np.take(table, part[:, j], axis=0, out=row, mode="clip")
+                s *= row
             total = s @ ones
-            top = np.zeros(n)
-            if not (np.isfinite(total) & (total > 1e-30)).all():  # beyond what 32-bit numbers can hold
-                np.matmul(h, t, out=s)
-                top = s.max(axis=1)
-                total = np.exp(s - top[:, None]) @ ones
-            out[i:i + PLACES] = own - top - np.log(total)
+            low = np.flatnonzero(~(total > 1e-30))  # the positions' largest values lie apart beyond what 32-bit numbers can hold
+            if len(low):
+                exact = sum(x[part[low, j]].astype(np.float64) - tops[j][part[low, j], None] for j, x in enumerate(logs))
+                top = exact.max(axis=1)
+                total = np.log(total, where=total > 1e-30, out=np.zeros(n, np.float64))
+                total[low] = top + np.log(np.exp(exact - top[:, None]).sum(axis=1))
+            else:
+                total = np.log(total.astype(np.float64))
+            out[i:i + PLACES] -= total
         return out / np.log(10)
 
 

@@ -678,3 +678,23 @@ def test_near_documents(spark):
             assert root[100 * k + 11] == root[100 * k + 10]
         assert near >= 0.8 or root[100 * k + 11] != root[100 * k + 10]
         assert root[100 * k + 12] == 100 * k + 12
+
+
+def test_normalised_scores_take_no_exponential_per_place(monkeypatch):
+    """Log-probabilities are those of the full sum, also where positions disagree wildly; exponentials are per table, not per place."""
+    from judgeline.llm import logbilinear as M
+
+    random = np.random.default_rng(3)
+    for spread in (0.3, 4.0):
+        r, t = (random.normal(0, spread, (30, 8)).astype(np.float32) for _ in "rt")
+        net = M.Net(r, random.normal(0, 1, (3, 8, 8)).astype(np.float32), t, random.normal(0, 1, 30).astype(np.float32))
+        contexts, targets = random.integers(0, 30, (2000, 3)), random.integers(0, 30, 2000)
+        exact = sum(net.r.astype(float)[contexts[:, j]] @ net.c[j].T.astype(float) for j in range(3)) @ net.t.T.astype(float) + net.b
+        top = exact.max(axis=1, keepdims=True)
+        want = (exact - top - np.log(np.exp(exact - top).sum(axis=1, keepdims=True)))[np.arange(2000), targets] / math.log(10)
+        taken, plain = [], np.exp
+        monkeypatch.setattr(M.np, "exp", lambda x, *a, **b: taken.append(np.size(x)) or plain(x, *a, **b))
+        got = net.log10(contexts, targets)
+        monkeypatch.setattr(M.np, "exp", plain)
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+        assert spread > 1 or sum(taken) <= 3 * 30 * 30
