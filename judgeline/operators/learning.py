@@ -103,13 +103,17 @@ def train_pair_classifier(
     """Weighted boosted trees on (features, label 0/1); positives weigh as much as there are negatives per positive.
 
     With ``dev``, training stops when the error on it falls by less than ``tolerance``, and keeps the best number of
-    rounds. Without it all ``rounds`` are trained, so hand in fewer.
+    rounds. Without it all ``rounds`` are trained, so hand in fewer. Training pairs without a negative leave positives
+    without weight; if ``dev`` has no negative either, its error is 0 / 0, no round is better than the first, and only that
+    one is trained.
     """
     ratio = positive_weight(train).select("positive_weight").scalar()
     rows = train.select("features", "label", F.lit(False).alias("dev"))
     if dev is not None:
         rows = rows.unionByName(dev.select("features", "label", F.lit(True).alias("dev")))
     weighted = rows.withColumn("weight", F.when(F.col("label") == 1, ratio).otherwise(F.lit(1.0)))
+    if dev is not None and weighted.where("dev").agg(F.sum("weight")).head()[0] == 0:
+        rounds = 1
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol="weight", seed=seed, validationTol=tolerance)
     return (trees if dev is None else trees.setValidationIndicatorCol("dev")).fit(weighted)
 

@@ -552,6 +552,23 @@ def test_probabilities_are_those_of_the_trees(spark):
         assert r.score == pytest.approx(1 / (1 + math.exp(-2 * margin))) and r.pred == int(r.score > 0.5)
 
 
+def test_pairs_without_a_negative_train_one_round(spark):
+    """Positives without weight: the error on dev is undefined, so later rounds are neither kept nor trained."""
+    from pyspark.ml.linalg import Vectors
+
+    train, dev = (spark.createDataFrame([(Vectors.dense([i / n, 1.0]), 1) for i in range(n)], ["features", "label"]) for n in (20, 8))
+    spark.sparkContext.setJobGroup("one-class", "rounds")
+    try:
+        model = L.train_pair_classifier(train, rounds=60, dev=dev)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-class"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert model.getNumTrees == 1 and jobs < 60
+    assert {(r.score, r.pred) for r in L.predict(model, dev).collect()} == {(0.5, 0)}
+    mixed = dev.unionByName(dev.withColumn("label", F.col("label") - 1))  # a negative in dev gives an error to compare
+    assert L.train_pair_classifier(train, rounds=60, dev=mixed).getMaxIter() == 60
+
+
 def test_one_query_of_many_rows_is_ranked_in_ranges(spark):
     """One key with all rows: ranks are those of a full sort, and no range holds much more than its share."""
     from judgeline.operators.sampling import gold_rank
