@@ -74,12 +74,16 @@ def pair_terms(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def class_weights(labels: DataFrame, alpha: float = 1.0, classes: int | None = None) -> DataFrame:
-    """(label, n, weight): (total / (C * n)) ** alpha, scaled to mean 1; an empty class fails the job."""
+def class_weights(labels: DataFrame, alpha: float = 1.0, classes: int | None = None, strict: bool = True) -> DataFrame:
+    """(label, n, weight): (total / (C * n)) ** alpha, scaled to mean 1; C counts the classes.
+
+    One of the ``classes`` without a row has no weight: it fails the job, or is left out and not counted when not ``strict``.
+    """
     counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     if classes is not None:
         spine = labels.sparkSession.range(classes).select(F.col("id").cast("int").alias("label"))
         counts = spine.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+        counts = counts if strict else counts.where(F.col("n") > 0)
     everything = Window.partitionBy()
     total, c = F.sum("n").over(everything), F.count(F.lit(1)).over(everything)
     empty = F.raise_error(F.concat(F.lit("no rows of class "), F.col("label").cast("string"))).cast("double")

@@ -394,6 +394,12 @@ def test_class_weights_need_every_class(table):
         L.class_weights(q, classes=3).collect()
 
 
+def test_class_weights_may_leave_empty_classes_out(table):
+    q = table(QRELS, [("q", "a", 0), ("q", "b", 0), ("q", "c", 2)])
+    got = {r.label: (r.n, r.weight) for r in L.class_weights(q, classes=3, strict=False).collect()}
+    assert got == {0: (2, pytest.approx(2 / 3)), 2: (1, pytest.approx(4 / 3))}
+
+
 def test_constant_feature_has_no_correlation(table):
     t = table("a double, b double", [(1.0, 2.0), (1.0, 3.0)])
     assert D.feature_correlation(t, ["a"], ["b"]).head().pearson is None
