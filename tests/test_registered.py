@@ -31,15 +31,27 @@ def test_query_equals_sql(spark, con, name):
     assert _rows(df.columns, df.collect()) == _rows(cols, cur.fetchall())
 
 
-def test_maxsim_run_asks_every_fiftieth_vector(spark, con):
+def test_maxsim_run_asks_every_vector(spark, con):
     got = QUERIES["maxsim_run"](spark, SF)
-    asked = {r[0] for r in con.execute("SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 50 = 0").fetchall()}
+    asked = {r[0] for r in con.execute("SELECT CAST(vec_id AS VARCHAR) FROM embeddings").fetchall()}
     rows = got.collect()
     assert asked and {r.qid for r in rows} == asked
     assert _rows(got.columns, rows) == _rows(["qid", "did", "rank", "score"], con.execute(
         f"SELECT qid, did, rank, score FROM ({SQL['maxsim_run']})").fetchall())
 
 
+def test_class_weights_of_judgments_without_some_grades(spark, monkeypatch):
+    from judgeline.plans import q_files
+
+    gold = [("q", "a", 2), ("q", "b", 3), ("q", "c", 3), ("r", "a", 3)]
+    monkeypatch.setattr(q_files.fx, "gold", lambda *_: spark.createDataFrame(gold, "qid string, did string, label int"))
+    own = duckdb.connect()
+    own.execute("CREATE TABLE gold AS SELECT * FROM (VALUES ('q', 'a', 2), ('q', 'b', 3), ('q', 'c', 3), ('r', 'a', 3)) t(qid, did, label)")
+    got = QUERIES["class_weights"](spark, SF)
+    want = own.execute(SQL["class_weights"][SQL["class_weights"].rindex("SELECT label, n, round(w * c"):])
+    assert _rows(got.columns, got.collect()) == _rows([d[0] for d in want.description], want.fetchall())
+
+
 def test_entry_runs(spark):
     assert entry_point.entry(spark).count() == 1
 
