@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from judgeline.functions.scoring import dot, norm
 from judgeline.operators.sizing import cumulate, cumulate_ranges, number_ranges
+from judgeline.session import written
 
 RUN_KEYS = ["run_id", "qid"]
 RANK_BUCKET = 16_384
@@ -247,16 +248,24 @@ def pairwise_accuracy(pairs: DataFrame, keys: list[str] | None = None) -> DataFr
 
 
 def triplet_accuracy(triplets: DataFrame, vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Pairwise accuracy of (anchor, positive, negative) ids by the cosine of their vectors (id, vec)."""
-    def of(name: str) -> DataFrame:
-        return vectors.select(F.col("id").alias(name), F.col("vec").alias(f"_{name}"))
+    """Pairwise accuracy of (anchor, positive, negative) ids by the cosine of their vectors (id, vec).
 
-    def cosine(a: str, b: str) -> Column:
-        return F.round(F.try_divide(dot(F.col(a), F.col(b)), norm(F.col(a)) * norm(F.col(b))), 9)
-
-    rows = triplets.join(of("anchor"), "anchor").join(of("positive"), "positive").join(of("negative"), "negative")
-    return pairwise_accuracy(rows.select(
-        *(keys or []), cosine("_anchor", "_positive").alias("score_pos"), cosine("_anchor", "_negative").alias("score_neg")), keys)
+    A pair's cosine is taken once, however many triplets it is in, so that triplets move as ids and numbers. Vectors that share
+    an id are combined with each other; the two scores of a triplet have the same vector of the anchor.
+    """
+    held = vectors.groupBy("id").agg(F.collect_list(F.struct("vec")).alias("held"))
+
+    def cosine(a: Column, b: Column) -> Column:
+        return F.round(F.try_divide(dot(a, b), norm(a) * norm(b)), 9)
+
+    pairs = triplets.select("anchor", F.explode(F.array("positive", "negative")).alias("id")).distinct()
+    anchors = held.select(F.col("id").alias("anchor"), F.posexplode("held").alias("at", "own"))
+    cosines = written(pairs.join(anchors, "anchor").join(held, "id").select(
+        "anchor", "at", "id", F.transform("held", lambda o: cosine(F.col("own.vec"), o["vec"])).alias("scores")), "cosines")
+    of = lambda name: cosines.withColumnsRenamed({"id": name, "scores": f"_{name}"})
+    rows = triplets.join(of("positive"), ["anchor", "positive"]).join(of("negative"), ["anchor", "negative", "at"])
+    rows = rows.select(*(keys or []), "_negative", F.explode("_positive").alias("score_pos"))
+    return pairwise_accuracy(rows.select(*(keys or []), "score_pos", F.explode("_negative").alias("score_neg")), keys)
 
 
 def graded_pair_accuracy(scored: DataFrame, keys: list[str] | None = None, levels: int = 4) -> DataFrame:

@@ -508,6 +508,73 @@ def test_cells_are_skipped(table):
     assert first.count() + cells.visits(queries, 3, low).count() < 10 * len(cells.stats) / 2
 
 
+def test_a_query_is_one_row_however_many_cells_it_visits(table):
+    rng = random.Random(8)
+    docs = table("did string, vec array<float>", [(f"d{i}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)])
+    queries = table("qid string, vec array<float>", [(f"q{i}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(12)])
+    cells = V.Cells(docs, "dot", 10)
+    low = table("qid string, low double", [(f"q{i}", -100.0) for i in range(12)])
+    seen = cells.visits(queries, 3, low)
+    looked = sum(bin(b).count("1") for r in seen.collect() for b in r.cells)
+    assert len(cells.stats) > 20 and looked > 12 * 20 and seen.count() == 12
+    near = table("qid string, low double", [(f"q{i}", 100.0) for i in range(12)])
+    assert cells.visits(queries, 3, near).count() == 0
+
+
+@pytest.mark.parametrize("sim, scale, skip", [("dot", 1.0, True), ("dot", 3.0, False), ("cosine", 100.0, True)])
+def test_slots_and_stripes_do_not_change_results(table, monkeypatch, sim, scale, skip):
+    """Unclustered vectors, documents of several rows, equal vectors and repeated queries against the flat search."""
+    import numpy as np
+
+    rng = random.Random(9)
+    some = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(150)]
+    rows = [(f"d{i % 260}", some[i % 150] if i % 7 else some[0]) for i in range(330)] + [("zero", [0.0] * 5)]
+    asked = [(f"d{i}", some[i]) for i in range(25)] + [("d3", some[40]), ("d4", some[4]), ("zero", [0.0] * 5)]
+    monkeypatch.setattr(V, "QUERY_BYTES", 8 * (12 * 5 + 96 * 6))
+    monkeypatch.setattr(V, "SLICE", 3)
+    monkeypatch.setattr(V, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(V, "STEP_ROWS", 5)
+    monkeypatch.setattr(V, "STEP_PAIRS", 40)
+    out = V.dense_run(table("qid string, vec array<double>", asked), table("did string, vec array<double>", rows), 6, sim=sim,
+                      scale=scale, skip_self=skip, cell_docs=20).collect()
+    want = {}
+    for qid, q in asked:
+        for did, v in rows:
+            size = float(np.linalg.norm(q) * np.linalg.norm(v)) if sim == "cosine" else 1.0
+            score = scale * (float(np.dot(q, v)) / size if size else 0.0)
+            if not (skip and did == qid):
+                best = want.setdefault(qid, {})
+                best[did] = max(score, best.get(did, -1e9))
+    assert {r.qid for r in out} == set(want)
+    for qid, best in want.items():
+        got = [(r.did, round(r.score, 6)) for r in sorted((r for r in out if r.qid == qid), key=lambda r: r["rank"])]
+        assert [d for d, _ in got] == [d for d, _ in _ranked(best, 6)]
+        assert [x for _, x in got] == pytest.approx([x for _, x in _ranked(best, 6)], abs=2e-6)
+
+
+def test_search_among_no_documents_finds_nothing(table):
+    docs, queries = table("did string, vec array<float>", []), table("qid string, vec array<float>", [("q", [1.0, 2.0])])
+    assert V.dense_run(queries, docs, 3).collect() == []
+
+
+def test_triplets_by_cosines_of_pairs(table):
+    """Against a join of all vectors, with an id of two vectors, one without a vector and an unknown one."""
+    import numpy as np
+
+    from judgeline.operators import metrics as M
+
+    vecs = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [2.0, 1.0]), ("b", [1.0, 3.0]), ("c", [1.0, 1.0]), ("z", [0.0, 0.0]), ("n", None)]
+    trips = [(k, *t) for k in ("x", "y") for t in itertools.product("abczn", "abc", "abczn?") if k == "x" or t[0] < "c"] + [("x", "a", "b", "c")]
+    got = M.triplet_accuracy(
+        table("k string, anchor string, positive string, negative string", trips), table("id string, vec array<double>", vecs), ["k"])
+    cos = lambda a, b: None if a is None or b is None or not (np.any(a) and np.any(b)) else round(
+        float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    for r in got.collect():
+        pairs = [(cos(a, p), cos(a, n)) for k, x, y, z in trips if k == r.k for i, a in vecs if i == x for j, p in vecs if j == y for m, n in vecs if m == z]
+        right = [p > n for p, n in pairs if p is not None and n is not None]
+        assert r.n_pairs == len(pairs) and r.pairwise_accuracy == pytest.approx(sum(right) / len(right))
+
+
 def test_one_document_of_many_near_chunks_does_not_crowd_out_the_others(table):
     from judgeline.functions.plugins import embedder
     from judgeline.operators import registry as G
