@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, VectorAssembler
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from judgeline.operators.agreement import class_report, confusion
 from judgeline.operators.ranks import topk_run
 from judgeline.operators.sizing import pick
+from judgeline.session import written
 
 WORD = r"[\p{L}\p{N}_]{2,}"  # Fixed value: a feature word has at least two word characters.
 
@@ -21,22 +25,114 @@ def _texts(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         corpus.select(F.lit("d").alias("kind"), F.col("did").alias("id"), "text"))
 
 
+#: Terms that tasks hold with their document frequency, and their longest length; other terms meet theirs in a join.
+HELD_TERMS, HELD_LENGTH = 500_000, 64
+#: Texts that are counted at a time.
+STEP_TEXTS = 512
+
+
+def _counted(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, place in the vocabulary, count) for every row of word lists and each of its words, and that vocabulary."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.dictionary_encode(words.flatten())
+    key, tf = np.unique(
+        np.repeat(np.arange(len(words)), sizes) * max(1, len(code.dictionary)) + code.indices.to_numpy(zero_copy_only=False),
+        return_counts=True)
+    row, term = np.divmod(key.astype(np.int64), max(1, len(code.dictionary)))
+    return row, term, tf, code.dictionary
+
+
+def _steps(batches):
+    return (b.slice(i, STEP_TEXTS) for b in batches for i in range(0, b.num_rows, STEP_TEXTS))
+
+
 def tfidf_features(queries: DataFrame, corpus: DataFrame, max_terms: int | None = None) -> DataFrame:
     """(kind, id, term, weight): smoothed tf-idf fitted on queries and documents together, unit length per text.
 
-    ``max_terms`` keeps the most frequent terms of the collection as the vocabulary.
+    ``max_terms`` keeps the most frequent terms of the collection as the vocabulary. A text is weighted where it is read: tasks
+    hold the document frequencies of the most common terms, and only its rare terms meet theirs in a join. Texts that share
+    their id count as one and are a row per term.
     """
     texts = _texts(queries, corpus)
-    words = texts.select("kind", "id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("term"))
-    tf = words.groupBy("kind", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    n = texts.count()
+    split = F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1)).alias("words")
+    often = written(texts.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(
+        F.col("kind").alias("_kind"), F.col("id").alias("_id")), "ids")
+    same = (F.col("kind") == F.col("_kind")) & F.col("id").eqNullSafe(F.col("_id"))
+    once, shared = texts, None
+    if not often.isEmpty():
+        once = texts.join(often, same, "left_anti")
+        shared = texts.join(often, same, "left_semi").select("kind", "id", F.explode(split).alias("term")).groupBy(
+            "kind", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    def totals(batches):
+        for batch in _steps(batches):
+            _, term, tf, names = _counted(batch.column("words"))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(term, minlength=len(names)), pa.int64()), pa.array(
+                np.bincount(term, tf, minlength=len(names)).astype(np.int64))], names=["term", "df", "cf"])
+
+    found = once.select(split).mapInArrow(totals, "term string, df long, cf long")
+    if shared is not None:
+        found = found.unionByName(shared.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+    vocab = written(found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), "vocabulary")
     if max_terms is not None:
-        vocab = vocab.orderBy(F.col("cf").desc(), "term").limit(max_terms)
-    n = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = F.ln((n + 1) / (F.col("df") + 1)) + 1.0
-    raw = tf.join(vocab, "term").select("kind", "id", "term", (F.col("tf") * idf).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("kind", "id")))
-    return raw.select("kind", "id", "term", (F.col("w") / length).alias("weight"))
+        vocab = written(vocab.orderBy(F.col("cf").desc(), "term").limit(max_terms), "vocabulary")
+
+    short, least, many = F.length("term") <= HELD_LENGTH, None, 0
+    for r in sorted(vocab.where(short).groupBy("df").agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["df"]):
+        many += r["c"]
+        if many > HELD_TERMS:
+            break
+        least = r["df"]
+    common = short & (F.col("df") >= least) if least is not None else F.lit(False)
+    held = vocab.where(common).select("term", "df").toArrow()
+    known = texts.sparkSession.sparkContext.broadcast((held.column("term").combine_chunks(), held.column("df").to_numpy()))
+    rare = vocab.where(~common).select("term", "df")
+    id_kind = texts.schema["id"].dataType.simpleString()
+
+    def others(batches):
+        for batch in _steps(batches):
+            row, term, _, names = _counted(batch.column("words"))
+            at = np.flatnonzero(pc.is_null(pc.index_in(names, value_set=known.value[0])).to_numpy(zero_copy_only=False)[term])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(row[at])) for c in ("kind", "id")), names.take(pa.array(term[at]))],
+                names=["kind", "id", "term"])
+
+    whole = once.select("kind", "id", "text")
+    if rare.isEmpty():
+        whole = whole.withColumn("rare", F.lit(None).cast("array<struct<term:string,df:bigint>>"))
+    else:
+        met = once.select("kind", "id", split).mapInArrow(others, f"kind string, id {id_kind}, term string").join(rare, "term")
+        lists = met.groupBy(F.col("kind").alias("_kind"), F.col("id").alias("_id")).agg(
+            F.collect_list(F.struct("term", "df")).alias("rare"))
+        whole = whole.join(lists, same, "left")
+
+    def weigh(batches):
+        terms, dfs = known.value
+        for batch in _steps(batches):
+            row, term, tf, names = _counted(batch.column("words"))
+            place = pc.index_in(names, value_set=terms)
+            hit = place.is_valid().to_numpy(zero_copy_only=False)
+            df = np.zeros(len(names))
+            df[hit] = dfs[place.drop_null().to_numpy()]
+            more = batch.column("rare").flatten()
+            at = pc.index_in(more.field("term"), value_set=names).to_numpy()
+            df[at] = more.field("df").to_numpy(zero_copy_only=False)
+            in_vocabulary = df[term] > 0
+            row, term, tf = row[in_vocabulary], term[in_vocabulary], tf[in_vocabulary]
+            w = tf * (np.log((n + 1) / (df[term] + 1)) + 1.0)
+            length = np.sqrt(np.bincount(row, w * w, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(row)) for c in ("kind", "id")), names.take(pa.array(term)), pa.array(w / length[row])],
+                names=["kind", "id", "term", "weight"])
+
+    out = whole.select("kind", "id", split, "rare").mapInArrow(weigh, f"kind string, id {id_kind}, term string, weight double")
+    if shared is None:
+        return out
+    raw = shared.join(vocab, "term").select(
+        "kind", "id", "term", (F.col("tf") * (F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1.0)).alias("w"))
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("kind", "id")))
+    return out.unionByName(raw.select("kind", "id", "term", (F.col("w") / size).alias("weight")))
 
 
 def fit_text_vectors(queries: DataFrame, corpus: DataFrame, cells: int = 1024) -> PipelineModel:
@@ -68,10 +164,11 @@ def pair_terms(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
     ``features`` is the result of ``tfidf_features``: the whole vocabulary, one unit vector per text.
     """
-    sides = [
-        pairs.join(features.where(F.col("kind") == kind).select(F.col("id").alias(key), F.lit(kind).alias("side"), "term", "weight"), key)
-        for kind, key in (("q", "qid"), ("d", "did"))]
-    return sides[0].unionByName(sides[1])
+    sides = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(key).alias("id")) for kind, key in (("q", "qid"), ("d", "did"))]))
+    asked = pairs.withColumn("_side", sides).select(*pairs.columns, "_side.kind", "_side.id")
+    first = ["qid", "did"]  # features are read once for both sides
+    return asked.join(features, ["kind", "id"]).select(
+        *first, *[c for c in pairs.columns if c not in first], F.col("kind").alias("side"), "term", "weight")
 
 
 def class_weights(labels: DataFrame, alpha: float = 1.0, classes: int | None = None, strict: bool = True) -> DataFrame:

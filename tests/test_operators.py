@@ -607,6 +607,38 @@ def test_late_interaction_with_bounds_equals_all_pairs(table):
         assert (block.bounds(np.array(vecs)) >= block.scores(np.array(vecs), every)).all()
 
 
+# --- tf-idf ------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("held, cap", [(500_000, None), (3, None), (0, None), (3, 8)])
+def test_tfidf_weights_by_hand(table, monkeypatch, held, cap):
+    """Common and rare terms, texts that share an id, null and empty texts, a null id and a long word."""
+    from collections import Counter
+
+    monkeypatch.setattr(L, "HELD_TERMS", held)
+    monkeypatch.setattr(L, "STEP_TEXTS", 2)
+    docs = [("a", "the cat the dog x"), ("b", "the Owl sat"), ("b", "cat cat " + "long" * 30), ("c", None), ("d", ""), (None, "the owl"), ("e", "dog rare_1")]
+    asked = [("a", "the cat"), ("q", "nothing known")]
+    got = {(r.kind, r.id, r.term): r.weight for r in L.tfidf_features(
+        table("qid string, query string", asked), table("did string, text string", docs), cap).collect()}
+    tf = Counter((k, i, w) for k, t in (("d", docs), ("q", asked)) for i, x in t for w in (x or "").lower().split() if len(w) > 1)
+    df, cf = Counter(w for _, _, w in tf), Counter()
+    for (_, _, w), c in tf.items():
+        cf[w] += c
+    keep = sorted(cf, key=lambda w: (-cf[w], w))[:cap]
+    raw = {x: c * (math.log(10 / (df[x[2]] + 1)) + 1) for x, c in tf.items() if x[2] in keep}
+    size = Counter()
+    for (k, i, _), w in raw.items():
+        size[k, i] += w * w
+    assert got == {x: pytest.approx(w / math.sqrt(size[x[:2]])) for x, w in raw.items()}
+
+
+def test_tfidf_does_not_move_a_row_per_term(table):
+    docs = table("did string, text string", [(str(i), f"the cat {i}") for i in range(20)])
+    plan = L.tfidf_features(table("qid string, query string", [("q", "cat")]), docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 # --- learning and ranges -----------------------------------------------------------------------------------------
 
 def test_probabilities_are_those_of_the_trees(spark):
