@@ -52,6 +52,18 @@ def test_class_weights_of_judgments_without_some_grades(spark, monkeypatch):
     assert _rows(got.columns, got.collect()) == _rows([d[0] for d in want.description], want.fetchall())
 
 
+def test_retriever_registry_of_a_corpus_with_a_blank_text(spark, monkeypatch):
+    from judgeline.plans import q_files
+
+    gold = q_files.fx.gold(spark, SF)
+    corpus = q_files.fx.corpus(spark, SF)
+    blank = spark.createDataFrame([("blank", " \n", "s", "en"), ("empty", "", "s", "en")], corpus.schema)
+    monkeypatch.setattr(q_files.fx, "corpus", lambda *_: corpus.unionByName(blank))
+    monkeypatch.setattr(q_files.fx, "gold", lambda *_: gold)
+    got = {(r.run_id, r.qid): r.n for r in QUERIES["retriever_registry"](spark, SF).collect()}
+    assert {run for run, _ in got} == set(q_files.REGISTRY) and all(n <= 40 for n in got.values())
+
+
 def test_entry_runs(spark):
     assert entry_point.entry(spark).count() == 1
 
